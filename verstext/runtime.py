@@ -37,3 +37,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back.
+
+    Later steps start from files with known sizes and only the columns they need, and a lost
+    executor costs at most the steps after the write.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
