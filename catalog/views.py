@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from verstext.config import MatchConfig
 from verstext.functions.text import sentence_pieces, tokens
 from verstext.functions.vector import l2_normalise
-from verstext.operators import diff, match, labels, sentences as sent
+from verstext.operators import diff, labels, match, moves, sentences as sent
+from verstext.runtime import materialise, scratch_path
 
 # Fixed value: 2024-01-01T00:00:00Z in seconds.
 START = 1704067200
@@ -25,12 +26,28 @@ CONFIG = MatchConfig()
 
 
 class Views:
-    """Frames of one data folder. Every frame is lazy."""
+    """Frames of one data folder.
+
+    Tables that the workflow keeps between its steps (sentences, matches, diffs, labels, moves)
+    are written once per session and read by the steps after them; the query that makes such a
+    table computes it itself.
+    """
+
+    _stored: dict[tuple[str, str, str], DataFrame] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
 
+    def stored(self, name: str, make) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in self._stored:
+            self._stored[key] = materialise(make(), name)
+        return self._stored[key]
+
+    def scratch(self, label: str) -> str:
+        return scratch_path(self.spark, label)
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
@@ -63,12 +80,15 @@ class Views:
         """One row per (entry, version) with the array of its sentences."""
         return versions_of(self.documents)
 
-    @cached_property
-    def sentences(self) -> DataFrame:
+    def make_sentences(self) -> DataFrame:
         return self.versions.select(
             "source", "entry_id", "version", F.posexplode("kept").alias("sent_idx", "sentence")
         )
 
+    @cached_property
+    def sentences(self) -> DataFrame:
+        return self.stored("sentences", self.make_sentences)
+
     @cached_property
     def entryversion(self) -> DataFrame:
         hours = F.col("entry_id") + F.col("version") * (F.col("entry_id") % 5 + 1)
@@ -98,9 +118,16 @@ class Views:
         """Token rows of the derived sentences; a token is its own word id."""
         return sent.words(self.sentences, ["source", "entry_id", "version", "sent_idx"])
 
+    def make_matched(self) -> DataFrame:
+        return match.match_bidirectional(self.sentences, config=CONFIG)
+
     @cached_property
     def matched(self) -> DataFrame:
-        return match.match_bidirectional(self.sentences, config=CONFIG)
+        return self.stored("matched", self.make_matched)
+
+    @cached_property
+    def moved(self) -> DataFrame:
+        return self.stored("moved", lambda: moves.moved_edges(self.matched))
 
     @cached_property
     def turns(self) -> DataFrame:
@@ -126,9 +153,12 @@ class Views:
         rows = sent.words(self.turns, ["source", "entry_id", "version", "sent_idx"])
         return rows.withColumn("word", digest % n)
 
+    def make_near(self) -> DataFrame:
+        return match.near_vectors(self.vectors, VECTOR_CONFIG.word_cutoff)
+
     @cached_property
     def near(self) -> DataFrame:
-        return match.near_vectors(self.vectors, VECTOR_CONFIG.word_cutoff)
+        return self.stored("near", self.make_near)
 
     @cached_property
     def turn_pairs(self) -> DataFrame:
@@ -142,7 +172,9 @@ class Views:
 
     @cached_property
     def sentence_diffs(self) -> DataFrame:
-        return diff.sentence_diffs_long(self.sentences, self.matched)
+        return self.stored(
+            "sentence_diffs", lambda: diff.sentence_diffs_long(self.sentences, self.matched)
+        )
 
     @cached_property
     def word_diffs(self) -> DataFrame:
@@ -152,9 +184,16 @@ class Views:
     def blocks(self) -> DataFrame:
         return diff.diff_blocks(self.sentence_diffs)
 
+    def make_labels(self) -> DataFrame:
+        return labels.sentence_labels(self.matched, self.sentences, moved=self.moved)
+
     @cached_property
     def sentence_labels(self) -> DataFrame:
-        return labels.sentence_labels(self.matched, self.sentences)
+        return self.stored("sentence_labels", self.make_labels)
+
+    @cached_property
+    def doc_labels(self) -> DataFrame:
+        return labels.doc_labels(self.sentence_labels)
 
 
 def versions_of(documents: DataFrame) -> DataFrame:
