@@ -24,9 +24,19 @@ PAIR = ["entry_id", "version_x", "version_y"]
 EDGE = ["sent_idx_x", "sent_idx_y"]
 
 
+def _by_pair(df: DataFrame) -> DataFrame:
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *PAIR)
+
+
 def ranked_edges(matched: DataFrame) -> DataFrame:
-    """Edges with both ends, and dense ranks of both ends within their pair of versions."""
-    edges = matched.where("sent_idx_x IS NOT NULL AND sent_idx_y IS NOT NULL").select(*PAIR, *EDGE).distinct()
+    """Edges with both ends, and dense ranks of both ends within their pair of versions.
+
+    Rows are placed by pair first. Every window and aggregation on them has the pair among its
+    keys and keeps that placement. A pair holds the sentences of one text.
+    """
+    edges = _by_pair(
+        matched.where("sent_idx_x IS NOT NULL AND sent_idx_y IS NOT NULL").select(*PAIR, *EDGE)
+    ).distinct()
     wx = Window.partitionBy(*PAIR).orderBy("sent_idx_x")
     wy = Window.partitionBy(*PAIR).orderBy("sent_idx_y")
     return edges.withColumn("rx", F.dense_rank().over(wx)).withColumn("ry", F.dense_rank().over(wy))
@@ -41,35 +51,34 @@ def _spread_digits(edges: DataFrame, bits: int) -> DataFrame:
     )
 
 
-def _seen_before(value: Column, kind: Column, order: str, descending: bool) -> Column:
-    """Running total over the strictly smaller (or larger) values of ``order`` in a digit group."""
-    col = F.desc(order) if descending else F.asc(order)
-    return _window_agg(F.sum, F.when(kind, value), col)
-
+def _digit_group() -> Window:
+    return Window.partitionBy(*PAIR, "digit", "prefix")
 
-def _window_agg(agg, value: Column, order: Column) -> Column:
-    group = Window.partitionBy(*PAIR, "digit", "prefix").orderBy(order)
-    return agg(value).over(group.rangeBetween(Window.unboundedPreceding, -1))
 
+def count_crossings(edges: DataFrame, bits: int, present: Column | None = None) -> DataFrame:
+    """Edges with the number of ``present`` edges they cross; shared ends do not cross.
 
-def count_crossings(edges: DataFrame, bits: int) -> DataFrame:
-    """Edges with the number of edges they cross; shared ends do not cross."""
-    spread = _spread_digits(edges, bits).withColumn("rx_back", -F.col("rx"))
-    one = F.col("one")
-    left = _window_agg(F.sum, F.when(one, 1).otherwise(0), F.col("rx"))
-    right = _window_agg(F.sum, F.when(one, 0).otherwise(1), F.col("rx_back"))
-    # an edge with digit 0 meets smaller x with digit 1; an edge with digit 1 meets larger x with digit 0
-    crossed = F.coalesce(F.when(one, right).otherwise(left), F.lit(0))
+    An edge with digit 0 meets the edges with digit 1 at smaller x, an edge with digit 1 those
+    with digit 0 at larger x: all of them less those up to its own x.
+    """
+    here = F.lit(True) if present is None else present
+    spread = _spread_digits(edges, bits)
+    before = _digit_group().orderBy("rx").rangeBetween(Window.unboundedPreceding, -1)
+    up_to = _digit_group().orderBy("rx").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ones = F.when(F.col("one") & here, 1).otherwise(0)
+    zeros = F.when(~F.col("one") & here, 1).otherwise(0)
+    crossed = F.when(
+        F.col("one"), F.sum(zeros).over(_digit_group()) - F.sum(zeros).over(up_to)
+    ).otherwise(F.coalesce(F.sum(ones).over(before), F.lit(0)))
+    kept = [c for c in edges.columns if c != "crossings"]
     return (
-        spread.withColumn("_c", crossed)
-        .groupBy(*PAIR, *EDGE, "rx", "ry")
-        .agg(F.sum("_c").cast("long").alias("crossings"))
+        spread.withColumn("_c", crossed).groupBy(*kept).agg(F.sum("_c").cast("long").alias("crossings"))
     )
 
 
 def crossing_edges(matched: DataFrame) -> DataFrame:
     """Number of crossings of every edge of a match table."""
-    edges = ranked_edges(matched)
+    edges = cut_lineage(ranked_edges(matched))
     return count_crossings(edges, _bits(edges)).select(*PAIR, *EDGE, "crossings")
 
 
@@ -90,32 +99,30 @@ def _strength() -> Column:
     )
 
 
-def _strongest_neighbour(edges: DataFrame, bits: int) -> DataFrame:
-    """Edges with the greatest strength among the edges they cross."""
+def _unbeaten(edges: DataFrame, bits: int) -> DataFrame:
+    """Edges with ``gone``: whether the edge beats all edges it crosses."""
     spread = _spread_digits(edges.withColumn("power", _strength()), bits)
     spread = spread.withColumn("rx_back", -F.col("rx"))
-    one = F.col("one")
-    left = _window_agg(F.max, F.when(one, F.col("power")), F.col("rx"))
-    right = _window_agg(F.max, F.when(~one, F.col("power")), F.col("rx_back"))
+    one, power = F.col("one"), F.col("power")
+    left = _digit_group().orderBy("rx").rangeBetween(Window.unboundedPreceding, -1)
+    right = _digit_group().orderBy("rx_back").rangeBetween(Window.unboundedPreceding, -1)
+    rival = F.when(one, F.max(F.when(~one, power)).over(right)).otherwise(F.max(F.when(one, power)).over(left))
+    beaten = F.coalesce(rival > power, F.lit(False))
     return (
-        spread.withColumn("_r", F.when(one, right).otherwise(left))
-        .groupBy(*PAIR, *EDGE, "rx", "ry", "crossings", "power")
-        .agg(F.max("_r").alias("rival"))
+        spread.withColumn("_b", beaten).groupBy(*PAIR, *EDGE, "rx", "ry").agg((~F.bool_or("_b")).alias("gone"))
     )
 
 
 def moved_edges(matched: DataFrame) -> DataFrame:
     """Edges (entry_id, version_x, version_y, sent_idx_x, sent_idx_y) whose removal leaves no crossing."""
-    edges = ranked_edges(matched)
+    edges = cut_lineage(ranked_edges(matched))
     bits = _bits(edges)
     active = cut_lineage(count_crossings(edges, bits).where("crossings > 0"))
     moved = active.where("false").select(*PAIR, *EDGE)
     while not active.isEmpty():
-        judged = cut_lineage(_strongest_neighbour(active, bits))
-        gone = judged.where(F.col("rival").isNull() | (F.col("power") > F.col("rival")))
-        moved = moved.unionByName(gone.select(*PAIR, *EDGE))
-        left = judged.where(F.col("power") <= F.col("rival")).select(*PAIR, *EDGE, "rx", "ry")
-        active = cut_lineage(count_crossings(left, bits).where("crossings > 0"))
+        state = cut_lineage(count_crossings(_unbeaten(_by_pair(active), bits), bits, ~F.col("gone")))
+        moved = moved.unionByName(state.where("gone").select(*PAIR, *EDGE))
+        active = state.where("NOT gone AND crossings > 0").drop("gone")
     return moved
 
 
