@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from verstext.sources.schema import MATCHED
+from verstext.sources.schema import MATCHED_BY_SOURCE
 
 
 def scan_versions(spark: SparkSession, path: str, schema, done: DataFrame | None = None) -> DataFrame:
@@ -35,7 +35,7 @@ def scan_json_tolerant(spark: SparkSession, path: str, schema: str) -> DataFrame
 
 
 def scan_matches(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(MATCHED.add("source", "string")).parquet(path)
+    return spark.read.schema(MATCHED_BY_SOURCE).parquet(path)
 
 
 def source_from_path(df: DataFrame) -> DataFrame:
