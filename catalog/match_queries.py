@@ -10,7 +10,6 @@ from catalog.views import CONFIG, VECTOR_CONFIG, Views
 from verstext.functions import grams, similarity, vector
 from verstext.functions import text as tx
 from verstext.operators import align, match
-from verstext.operators.diff import bag_ratio
 
 DIST = ["avg_sentence_distance_x", "avg_sentence_distance_y"]
 
@@ -187,8 +186,7 @@ def edit_similarity_sql(v: Views):
     c AS (SELECT {EDGE_COLS}, w, sum(a) AS a, sum(b) AS b FROM bx GROUP BY ALL)
     SELECT {EDGE_COLS}, round(2 * sum(least(a, b)) / sum(a + b), 6) AS ratio FROM c GROUP BY ALL"""))
 def token_bag_ratio(v: Views):
-    e = _edges(v)
-    return _rounded(bag_ratio(e, e, EDGE, "sentence_x", "sentence_y"), "ratio")
+    return _rounded(grams.token_bag_ratio(_edges(v), EDGE, "sentence_x", "sentence_y"), "ratio")
 
 
 @query("ngram_precision_similarity", with_ctes("matched sentences", EDGES_SQL + f"""

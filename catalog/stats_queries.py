@@ -11,6 +11,7 @@ from catalog.text_queries import content_sql
 from catalog.views import Views
 from verstext.functions import text as tx
 from verstext.operators import labels, match, stats
+from verstext.runtime import materialise
 
 FLAGS = {
     "addition": "sent_idx_x IS NULL",
@@ -30,7 +31,7 @@ RATE_COLS = [f"{n}_rate" for n in FLAGS]
 @query("pair_change_rates", with_ctes("matched", f"SELECT entry_id, version_x, version_y, {RATES} FROM matched GROUP BY ALL"))
 def pair_change_rates(v: Views):
     """From raw texts to rates: derive versions, split, match, aggregate."""
-    return _rounded(stats.pair_change_rates(match.match_bidirectional(v.make_sentences())), *RATE_COLS)
+    return _rounded(stats.pair_change_rates(match.match_bidirectional(materialise(v.make_sentences(), "sentences"))), *RATE_COLS)
 
 
 @query("change_by_version", with_ctes("matched", """

@@ -54,3 +54,24 @@ def ngram_precision(pairs: DataFrame, keys: list[str], x: str, y: str, weights:
             total = total + F.lit(w) * F.log(F.when(F.col(f"p{n}") > 0, F.col(f"p{n}")))
     penalty = F.least(F.lit(1.0), F.exp(1 - F.size("ty") / F.when(usable, F.size("tx"))))
     return rows.select(*keys, F.coalesce(penalty * F.exp(total), F.lit(0.0)).alias("score"))
+
+
+def token_bag_ratio(pairs: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """Shared tokens of the two texts of a row, 2 * common / (n_x + n_y).
+
+    Rows with equal texts are settled as they are; only the others are spread into tokens.
+    """
+    same = F.col(x) == F.col(y)
+    equal = pairs.where(same & (F.size(tx.tokens(x)) > 0)).select(*keys, F.lit(1.0).alias("ratio"))
+
+    def side(column, in_x, in_y):
+        return F.transform(
+            tx.tokens(column), lambda t: F.struct(t.alias("t"), F.lit(in_x).alias("x"), F.lit(in_y).alias("y"))
+        )
+
+    spread = pairs.where(~same).select(*keys, F.explode(F.concat(side(x, 1, 0), side(y, 0, 1))).alias("_w"))
+    counts = spread.groupBy(*keys, "_w.t").agg(F.sum("_w.x").alias("nx"), F.sum("_w.y").alias("ny"))
+    other = counts.groupBy(*keys).agg(
+        (2 * F.sum(F.least("nx", "ny")) / F.sum(F.col("nx") + F.col("ny"))).alias("ratio")
+    )
+    return equal.unionByName(other)

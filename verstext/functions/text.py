@@ -74,13 +74,15 @@ def token_count(text) -> Column:
     return F.size(raw_tokens(text))
 
 
+# ASCII punctuation at the beginning or the end of a token
+_EDGE_PUNCTUATION = r"(?<!\S)[!-/:-@\[-`{-~]++|[!-/:-@\[-`{-~]++(?!\S)"
+
+
 def content_tokens(text) -> Column:
     """Lower-cased tokens without surrounding ASCII punctuation, function words left out."""
-    bare = F.transform(
-        tokens(text), lambda t: F.regexp_replace(t, r"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$", "")
-    )
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.filter(bare, lambda t: (t != "") & ~F.array_contains(stop, t))
+    bare = F.regexp_replace(F.lower(as_column(text)), _EDGE_PUNCTUATION, "")
+    # a long literal list is looked up in a hash set
+    return F.filter(F.split(bare, r"\s+", -1), lambda t: (t != "") & ~t.isin(*STOP_WORDS))
 
 
 def fold_latin(text) -> Column:
@@ -126,17 +128,17 @@ def is_boilerplate(
 ) -> Column:
     """True where a sentence is site furniture."""
     s = as_column(sentence)
-    low = F.lower(s)
-    test = F.lit(False)
-    for p in phrases:
-        test = test | low.contains(p)
-    for p in starts:
-        test = test | s.startswith(p)
-    for p in inside:
-        test = test | s.contains(p)
-    for p in ends:
-        test = test | s.endswith(p)
-    return test
+
+    def any_of(tests):
+        out = F.lit(False)
+        for t in tests:
+            out = out | t
+        return out
+
+    # one-element array: the lower-cased text is made once, not once per phrase
+    in_phrases = F.exists(F.array(F.lower(s)), lambda low: any_of(low.contains(p) for p in phrases))
+    rules = [s.startswith(p) for p in starts] + [s.contains(p) for p in inside] + [s.endswith(p) for p in ends]
+    return any_of(rules) | in_phrases
 
 
 def dateline(text, dash: str = "—", max_tokens: int = 6) -> Column:

@@ -22,14 +22,15 @@ from verstext.runtime import cut_lineage
 
 PAIR = ["entry_id", "version_x", "version_y"]
 EDGE = ["sent_idx_x", "sent_idx_y"]
+KEY = ["entry_id", "version_x"]
 
 
 def _by_pair(df: DataFrame) -> DataFrame:
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *PAIR)
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *KEY)
 
 
 def ranked_edges(matched: DataFrame) -> DataFrame:
-    """Edges with both ends, and dense ranks of both ends within their pair of versions.
+    """Edges with both ends, dense ranks of both ends in their pair, and the digits of the largest.
 
     Rows are placed by pair first. Every window and aggregation on them has the pair among its
     keys and keeps that placement. A pair holds the sentences of one text.
@@ -37,54 +38,59 @@ def ranked_edges(matched: DataFrame) -> DataFrame:
     edges = _by_pair(
         matched.where("sent_idx_x IS NOT NULL AND sent_idx_y IS NOT NULL").select(*PAIR, *EDGE)
     ).distinct()
-    wx = Window.partitionBy(*PAIR).orderBy("sent_idx_x")
-    wy = Window.partitionBy(*PAIR).orderBy("sent_idx_y")
-    return edges.withColumn("rx", F.dense_rank().over(wx)).withColumn("ry", F.dense_rank().over(wy))
+    pair = Window.partitionBy(*KEY)
+    ranked = edges.withColumn("rx", F.dense_rank().over(pair.orderBy("sent_idx_x"))).withColumn(
+        "ry", F.dense_rank().over(pair.orderBy("sent_idx_y"))
+    )
+    digits = F.length(F.bin(F.max("ry").over(pair)))
+    return ranked.withColumn("bits", digits)
 
 
-def _spread_digits(edges: DataFrame, bits: int) -> DataFrame:
-    digits = F.explode(F.sequence(F.lit(0), F.lit(bits - 1)))
-    return (
-        edges.withColumn("digit", digits)
-        .withColumn("prefix", F.call_function("shiftright", F.col("ry"), F.col("digit") + 1))
-        .withColumn("one", F.call_function("shiftright", F.col("ry"), F.col("digit")) % 2 == 1)
-    )
+def _spread_digits(edges: DataFrame) -> DataFrame:
+    """One row per edge and binary digit of its y rank.
+
+    ``node`` numbers the ranks that agree on all higher digits, as in a binary heap; ``one`` is
+    the digit itself.
+    """
+    spread = edges.withColumn("digit", F.explode(F.sequence(F.lit(0), F.col("bits") - 1)))
+    leaf = F.call_function("shiftleft", F.lit(1), F.col("bits")) + F.col("ry")
+    half = F.call_function("shiftright", leaf, F.col("digit"))
+    return spread.withColumn("node", F.call_function("shiftright", half, F.lit(1))).withColumn(
+        "one", half % 2 == 1
+    ).drop("digit")
 
 
-def _digit_group() -> Window:
-    return Window.partitionBy(*PAIR, "digit", "prefix")
+def _in_node(order: str | None = None) -> Window:
+    w = Window.partitionBy(*KEY, "node")
+    return w.orderBy(order) if order else w
 
 
-def count_crossings(edges: DataFrame, bits: int, present: Column | None = None) -> DataFrame:
+def count_crossings(edges: DataFrame, present: Column | None = None) -> DataFrame:
     """Edges with the number of ``present`` edges they cross; shared ends do not cross.
 
     An edge with digit 0 meets the edges with digit 1 at smaller x, an edge with digit 1 those
     with digit 0 at larger x: all of them less those up to its own x.
     """
     here = F.lit(True) if present is None else present
-    spread = _spread_digits(edges, bits)
-    before = _digit_group().orderBy("rx").rangeBetween(Window.unboundedPreceding, -1)
-    up_to = _digit_group().orderBy("rx").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    order = _in_node("rx")
+    before = order.rangeBetween(Window.unboundedPreceding, -1)
+    up_to = order.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ones = F.when(F.col("one") & here, 1).otherwise(0)
     zeros = F.when(~F.col("one") & here, 1).otherwise(0)
-    crossed = F.when(
-        F.col("one"), F.sum(zeros).over(_digit_group()) - F.sum(zeros).over(up_to)
-    ).otherwise(F.coalesce(F.sum(ones).over(before), F.lit(0)))
+    crossed = F.when(F.col("one"), F.sum(zeros).over(whole) - F.sum(zeros).over(up_to)).otherwise(
+        F.coalesce(F.sum(ones).over(before), F.lit(0))
+    )
     kept = [c for c in edges.columns if c != "crossings"]
     return (
-        spread.withColumn("_c", crossed).groupBy(*kept).agg(F.sum("_c").cast("long").alias("crossings"))
+        _spread_digits(edges).withColumn("_c", crossed).groupBy(*kept)
+        .agg(F.sum("_c").cast("long").alias("crossings"))
     )
 
 
 def crossing_edges(matched: DataFrame) -> DataFrame:
     """Number of crossings of every edge of a match table."""
-    edges = cut_lineage(ranked_edges(matched))
-    return count_crossings(edges, _bits(edges)).select(*PAIR, *EDGE, "crossings")
-
-
-def _bits(edges: DataFrame) -> int:
-    top = edges.agg(F.max("ry")).first()[0] or 1
-    return max(1, int(top).bit_length())
+    return count_crossings(ranked_edges(matched)).select(*PAIR, *EDGE, "crossings")
 
 
 def _strength() -> Column:
@@ -99,31 +105,30 @@ def _strength() -> Column:
     )
 
 
-def _unbeaten(edges: DataFrame, bits: int) -> DataFrame:
+def _unbeaten(edges: DataFrame) -> DataFrame:
     """Edges with ``gone``: whether the edge beats all edges it crosses."""
-    spread = _spread_digits(edges.withColumn("power", _strength()), bits)
-    spread = spread.withColumn("rx_back", -F.col("rx"))
+    spread = _spread_digits(edges.withColumn("power", _strength())).withColumn("rx_back", -F.col("rx"))
     one, power = F.col("one"), F.col("power")
-    left = _digit_group().orderBy("rx").rangeBetween(Window.unboundedPreceding, -1)
-    right = _digit_group().orderBy("rx_back").rangeBetween(Window.unboundedPreceding, -1)
+    left = _in_node("rx").rangeBetween(Window.unboundedPreceding, -1)
+    right = _in_node("rx_back").rangeBetween(Window.unboundedPreceding, -1)
     rival = F.when(one, F.max(F.when(~one, power)).over(right)).otherwise(F.max(F.when(one, power)).over(left))
     beaten = F.coalesce(rival > power, F.lit(False))
     return (
-        spread.withColumn("_b", beaten).groupBy(*PAIR, *EDGE, "rx", "ry").agg((~F.bool_or("_b")).alias("gone"))
+        spread.withColumn("_b", beaten).groupBy(*KEY, "rx", "ry", "bits").agg((~F.bool_or("_b")).alias("gone"))
     )
 
 
 def moved_edges(matched: DataFrame) -> DataFrame:
     """Edges (entry_id, version_x, version_y, sent_idx_x, sent_idx_y) whose removal leaves no crossing."""
     edges = cut_lineage(ranked_edges(matched))
-    bits = _bits(edges)
-    active = cut_lineage(count_crossings(edges, bits).where("crossings > 0"))
-    moved = active.where("false").select(*PAIR, *EDGE)
+    rank = [*KEY, "rx", "ry"]
+    active = cut_lineage(count_crossings(edges.select(*rank, "bits")).where("crossings > 0"))
+    moved = active.where("false").select(*rank)
     while not active.isEmpty():
-        state = cut_lineage(count_crossings(_unbeaten(_by_pair(active), bits), bits, ~F.col("gone")))
-        moved = moved.unionByName(state.where("gone").select(*PAIR, *EDGE))
+        state = cut_lineage(count_crossings(_unbeaten(_by_pair(active)), ~F.col("gone")))
+        moved = moved.unionByName(state.where("gone").select(*rank))
         active = state.where("NOT gone AND crossings > 0").drop("gone")
-    return moved
+    return edges.join(moved, rank, "left_semi").select(*PAIR, *EDGE)
 
 
 def num_moves(matched: DataFrame, moved: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from verstext.config import UNCHANGED_DISTANCE
 from verstext.operators.match import adjacent_versions
 from verstext.operators.ordering import average_rank, quantiles, weighted_quantiles
+from verstext.runtime import materialise
 
 PAIR = ["entry_id", "version_x", "version_y"]
 
@@ -102,7 +103,7 @@ def p75_by_source(versions: DataFrame) -> DataFrame:
 
 def power_of_two_bin(n: Column) -> Column:
     """Lower end of the power-of-two bin of a positive count."""
-    return F.pow(F.lit(2.0), F.floor(F.log2(n))).cast("long")
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(n)) - 1)
 
 
 def version_histogram(versions: DataFrame) -> DataFrame:
@@ -283,6 +284,7 @@ def ngram_lift(grams: DataFrame, flag: str, k: int) -> DataFrame:
     ``grams`` has one row per occurrence with a 0/1 ``flag``; the k highest and the k lowest.
     """
     per = grams.groupBy("ngram").agg(F.sum(flag).alias("_f"), F.count(F.lit(1)).alias("n"))
+    per = materialise(per, "ngrams")
     flagged, total = per.agg(F.sum("_f")).scalar(), per.agg(F.sum("n")).scalar()
     lift = per.where("_f > 0").select(
         "ngram", "n", F.round((F.col("_f") / flagged) / (F.col("n") / total), 9).alias("lift")
