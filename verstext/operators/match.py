@@ -459,8 +459,10 @@ def _one_side(side: _Side, settled: DataFrame, heavy: DataFrame | None, rungs) -
     exact = own.where("partner IS NOT NULL").select(
         *PAIR, "sent_idx", "partner", F.lit(0.0).alias("avg_sentence_distance")
     )
-    open_rows = own.where("partner IS NULL")
     shift = 0 if side.name == "x" else -1
+    if not side.own_norm:
+        return _named(_with_foreign_norm(side, own, exact, shift), side.name)
+    open_rows = own.where("partner IS NULL")
     if heavy is None:
         best = _search_direct(side, _spread_words(open_rows, side.words, shift))
     else:
@@ -470,11 +472,28 @@ def _one_side(side: _Side, settled: DataFrame, heavy: DataFrame | None, rungs) -
             _search_in_rungs(side, _spread_words(heavy_rows, side.words, shift), rungs)
         )
     opened = open_rows.select(*PAIR, "sent_idx").join(best, [*PAIR, "sent_idx"], "left")
-    other = "y" if side.name == "x" else "x"
-    return exact.unionByName(opened).select(
+    return _named(exact.unionByName(opened), side.name)
+
+
+def _with_foreign_norm(side: _Side, own: DataFrame, exact: DataFrame, shift: int) -> DataFrame:
+    """Divided by the partner's word count a distance can fall below zero, so an equal text does
+    not settle a sentence: every sentence is searched, and the equal text only wins a tie."""
+    found = _search_direct(side, _spread_words(own, side.words, shift))
+    rank = F.struct("avg_sentence_distance", "inexact", "partner")
+    best = (
+        exact.withColumn("inexact", F.lit(0)).unionByName(found.withColumn("inexact", F.lit(1)))
+        .groupBy(*PAIR, "sent_idx").agg(F.min(rank).alias("_b"))
+        .select(*PAIR, "sent_idx", "_b.partner", "_b.avg_sentence_distance")
+    )
+    return own.select(*PAIR, "sent_idx").join(best, [*PAIR, "sent_idx"], "left")
+
+
+def _named(rows: DataFrame, own: str) -> DataFrame:
+    other = "y" if own == "x" else "x"
+    return rows.select(
         *PAIR,
         (F.col("version_x") + 1).alias("version_y"),
-        F.col("sent_idx").alias(f"sent_idx_{side.name}"),
+        F.col("sent_idx").alias(f"sent_idx_{own}"),
         F.col("partner").alias(f"sent_idx_{other}"),
         "avg_sentence_distance",
     )
@@ -505,7 +524,8 @@ def match_bidirectional(
     combinations of sentences) are searched in rungs, all others directly; both are exact.
     """
     settled = exact_partners(sentences).join(version_pairs(sentences), PAIR, "left_semi")
-    settled = settled.withColumn("sentence", F.when(F.col("partner").isNull(), F.col("sentence")))
+    if config.norm == "own":
+        settled = settled.withColumn("sentence", F.when(F.col("partner").isNull(), F.col("sentence")))
     settled = materialise(settled, "settled")
     heavy = None
     if config.norm == "own":

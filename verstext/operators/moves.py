@@ -16,6 +16,8 @@ outcome equals that of removing one edge at a time.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from verstext.runtime import cut_lineage
@@ -118,16 +120,46 @@ def _unbeaten(edges: DataFrame) -> DataFrame:
     )
 
 
-def moved_edges(matched: DataFrame) -> DataFrame:
-    """Edges (entry_id, version_x, version_y, sent_idx_x, sent_idx_y) whose removal leaves no crossing."""
+def _finish_pair(group: pd.DataFrame) -> pd.DataFrame:
+    """Remove the strongest edge of one pair until none cross, for a pair of bounded size."""
+    x, y = group["rx"].to_numpy("int64"), group["ry"].to_numpy("int64")
+    n = len(group)
+    place = np.empty(n, "int64")
+    place[np.lexsort((y, x, y >= x, -abs(y - x)))] = np.arange(n)
+    # crossings decide, then the place in the fixed order of the other criteria
+    power = group["crossings"].to_numpy("int64") * n + (n - 1 - place)
+    gone = []
+    while (top := power.argmax()) >= 0 and power[top] >= n:
+        gone.append(top)
+        power[((x - x[top]) * (y - y[top]) < 0) & (power >= n)] -= n
+        power[top] = -1
+    return group.iloc[gone][[*KEY, "rx", "ry"]]
+
+
+def moved_edges(matched: DataFrame, rounds: int = 8, pair_limit: int = 4096) -> DataFrame:
+    """Edges (entry_id, version_x, version_y, sent_idx_x, sent_idx_y) whose removal leaves no crossing.
+
+    Most pairs need few rounds, some a long tail of single removals. After every ``rounds`` rounds
+    the pairs with at most ``pair_limit`` edges left are finished in one pass, each in one task;
+    larger ones go on in rounds.
+    """
     edges = cut_lineage(ranked_edges(matched))
     rank = [*KEY, "rx", "ry"]
     active = cut_lineage(count_crossings(edges.select(*rank, "bits")).where("crossings > 0"))
     moved = active.where("false").select(*rank)
+    n_round = 0
     while not active.isEmpty():
+        n_round += 1
         state = cut_lineage(count_crossings(_unbeaten(_by_pair(active)), ~F.col("gone")))
         moved = moved.unionByName(state.where("gone").select(*rank))
         active = state.where("NOT gone AND crossings > 0").drop("gone")
+        if n_round % rounds == 0:
+            size = F.count(F.lit(1)).over(Window.partitionBy(*KEY))
+            active = cut_lineage(_by_pair(active).withColumn("_size", size))
+            small = active.where(F.col("_size") <= pair_limit).drop("_size")
+            schema = small.select(*rank).schema
+            moved = moved.unionByName(small.groupBy(*KEY).applyInPandas(_finish_pair, schema))
+            active = active.where(F.col("_size") > pair_limit).drop("_size")
     return edges.join(moved, rank, "left_semi").select(*PAIR, *EDGE)
 
 
