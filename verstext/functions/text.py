@@ -62,12 +62,12 @@ def sentence_pieces(text) -> Column:
 
 def tokens(text) -> Column:
     """Array of lower-cased tokens, empty ones left out."""
-    return F.filter(F.split(F.lower(as_column(text)), r"\s+", -1), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(as_column(text)), r"\s+", -1), "")
 
 
 def raw_tokens(text) -> Column:
     """Array of tokens as written, empty ones left out."""
-    return F.filter(F.split(as_column(text), r"\s+", -1), lambda t: t != "")
+    return F.array_remove(F.split(as_column(text), r"\s+", -1), "")
 
 
 def token_count(text) -> Column:

@@ -345,20 +345,21 @@ class _Side:
         return self.config.norm == "own" or self.name == "x"
 
 
-def _other_words(sentences: DataFrame, words: DataFrame | None, shift: int) -> DataFrame:
-    """Distinct words of the sentences that can be partners."""
+def _other_words(sentences: DataFrame, words: DataFrame | None, shift: int, sized: bool) -> DataFrame:
+    """Distinct words of the sentences that can be partners, with their word count if ``sized``."""
+    size = ["n_other"] if sized else []
     if words is None:
         rows = sentences.select(
             "entry_id", (F.col("version") + shift).alias("version_x"), F.col("sent_idx").alias("other"),
             tx.tokens("sentence").alias("_t"),
         )
-        return rows.select(
-            *PAIR, "other", F.size("_t").alias("n_other"), F.explode(F.array_distinct("_t")).alias("word_b")
+        return rows.withColumn("n_other", F.size("_t")).select(
+            *PAIR, "other", *size, F.explode(F.array_distinct("_t")).alias("word_b")
         )
     return words.select(
         "entry_id", (F.col("version") + shift).alias("version_x"), F.col("sent_idx").alias("other"),
         F.col("num_words").alias("n_other"), F.col("word").alias("word_b"),
-    ).distinct()
+    ).select(*PAIR, "other", *size, "word_b").distinct()
 
 
 def _hits(side: _Side, rows: DataFrame, on: list[str]) -> DataFrame:
@@ -367,7 +368,8 @@ def _hits(side: _Side, rows: DataFrame, on: list[str]) -> DataFrame:
     ``rows`` holds (pair, sent_idx, word, c, n); ``on`` adds ``other`` when the partner is given.
     """
     keys = [*PAIR, "sent_idx", "other"]
-    sizes = [F.max("n").alias("_own"), F.max("n_other").alias("_other")]
+    sized = not side.own_norm
+    sizes = [F.max("n").alias("_own"), *([F.max("n_other").alias("_other")] if sized else [])]
     if side.near is None:
         found = rows.withColumnRenamed("word", "word_b").join(side.others, [*PAIR, *on, "word_b"])
         return found.groupBy(*keys).agg(F.lit(0.0).alias("_s"), F.sum("c").alias("_m"), *sizes)
@@ -376,7 +378,7 @@ def _hits(side: _Side, rows: DataFrame, on: list[str]) -> DataFrame:
     )
     nearest = found.groupBy(*keys, "word").agg(
         F.min("distance").alias("d"), F.max("c").alias("c"), F.max("n").alias("n"),
-        F.max("n_other").alias("n_other"),
+        *([F.max("n_other").alias("n_other")] if sized else []),
     )
     return nearest.groupBy(*keys).agg(
         F.sum(F.col("c") * F.col("d")).alias("_s"), F.sum("c").alias("_m"), *sizes
@@ -446,7 +448,7 @@ def _search_in_rungs(side: _Side, spread: DataFrame, rungs: tuple[float, ...]) -
             bags.where(F.col("cum") <= spare), [*PAIR, "sent_idx"]
         )
         sums = first.unionByName(_hits(side, rest, ["other"])).groupBy(*PAIR, "sent_idx", "other").agg(
-            *[F.sum(c).alias(c) for c in ("_s", "_m")], *[F.max(c).alias(c) for c in ("_own", "_other")]
+            F.sum("_s").alias("_s"), F.sum("_m").alias("_m"), F.max("_own").alias("_own")
         )
         found = materialise(_nearest(side, sums, tau), "rung")
         bags = bags.join(found, [*PAIR, "sent_idx"], "left_anti")
@@ -532,6 +534,6 @@ def match_bidirectional(
         heavy = _heavy_pairs(settled, heavy_limit)
         if heavy.isEmpty():
             heavy = None
-    x = _Side("x", words, near, config, _other_words(sentences, words, -1))
-    y = _Side("y", words, near, config, _other_words(sentences, words, 0))
+    x = _Side("x", words, near, config, _other_words(sentences, words, -1, sized=False))
+    y = _Side("y", words, near, config, _other_words(sentences, words, 0, sized=config.norm != "own"))
     return combine_sides(_one_side(x, settled, heavy, rungs), _one_side(y, settled, heavy, rungs))

@@ -11,35 +11,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 WIDTH = 65536
+LEVELS = 3
 
 
 def running_total(
-    counts: DataFrame, keys: list[str], value: str, weight: str, out: str = "below", width: int = WIDTH
+    counts: DataFrame, keys: list[str], value: str, weight: str, out: str = "below", width: int = WIDTH,
+    levels: int = LEVELS,
 ) -> DataFrame:
     """Add the total weight of the smaller values of the same key.
 
-    ``counts`` must hold each (keys, value) once, with an integer ``value``.
+    ``counts`` must hold each (keys, value) once, with an integer ``value`` and keys that are not
+    NULL. The totals of the bands are summed in the same way one level up, so that values spread
+    over all 64 bits still give small groups on every level.
     """
-    banded = counts.withColumn("_band", F.floor(F.col(value) / F.lit(width)))
-    inside = Window.partitionBy(*keys, "_band").orderBy(value)
-    local = banded.withColumn(
-        "_local", F.sum(weight).over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col(weight)
-    )
-    across = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_band")
-    offsets = (
-        banded.groupBy(*keys, "_band")
-        .agg(F.sum(weight).alias("_weight"))
-        .withColumn(
-            "_offset",
-            F.sum("_weight").over(across.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_weight"),
-        )
-        .drop("_weight")
-    )
-    # keys hold no NULL here, so plain equality keeps every row
+    if levels == 0:
+        order = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(value)
+        upto = F.sum(weight).over(order.rowsBetween(Window.unboundedPreceding, 0))
+        return counts.withColumn(out, upto - F.col(weight))
+    band, local, offset, total = (f"_{n}{levels}" for n in ("band", "local", "offset", "total"))
+    banded = counts.withColumn(band, F.floor(F.col(value) / F.lit(width)))
+    inside = Window.partitionBy(*keys, band).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    numbered = banded.withColumn(local, F.sum(weight).over(inside) - F.col(weight))
+    totals = banded.groupBy(*keys, band).agg(F.sum(weight).alias(total))
+    offsets = running_total(totals, keys, band, total, offset, width, levels - 1).drop(total)
     return (
-        local.join(offsets, [*keys, "_band"])
-        .withColumn(out, F.col("_offset") + F.col("_local"))
-        .drop("_band", "_local", "_offset")
+        numbered.join(offsets, [*keys, band])
+        .withColumn(out, F.col(offset) + F.col(local))
+        .drop(band, local, offset)
     )
 
 

@@ -23,7 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
         return current
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can read")
-    return tempfile.mkdtemp(prefix="verstext-")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="verstext-"))
+    return sc.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
