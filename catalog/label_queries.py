@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from catalog.ctes import part, with_ctes
 from catalog.registry import query
-from catalog.views import CONFIG, Views
-from verstext.operators import labels, match, moves
+from catalog.views import Views
+from verstext.operators import labels, moves
 
 part("edges", ("matched",), """
     SELECT entry_id, version_x, version_y, sent_idx_x, sent_idx_y,

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from catalog.ctes import with_ctes
 from catalog.registry import query
 from catalog.views import Views
-from verstext.functions.text import SENT_SEPARATOR
 from verstext.operators import match
 from verstext.plans import payload
 from verstext.sources import readers, schema, writers

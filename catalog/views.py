@@ -12,7 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from verstext.config import MatchConfig
-from verstext.functions.text import sentence_pieces, tokens
+from verstext.functions.text import sentence_pieces
 from verstext.functions.vector import l2_normalise
 from verstext.operators import diff, labels, match, moves, sentences as sent
 from verstext.runtime import materialise, scratch_path
@@ -198,14 +198,14 @@ class Views:
 
 def versions_of(documents: DataFrame) -> DataFrame:
     """Derive the versions of every document inside its row, without a shuffle."""
-    i_of, doc = F.col, F.col("entry_id")
+    doc = F.col("entry_id")
     rows = documents.select(
         "source",
         F.col("doc_id").alias("entry_id"),
         (F.col("doc_id") % 4 + 2).cast("int").alias("num_versions"),
         F.array_join(F.slice(F.split("text", r"\s+", -1), 1, 6), " ").alias("lead"),
         sentence_pieces("text").alias("pieces"),
-    ).withColumn("version", F.explode(F.sequence(F.lit(0), i_of("num_versions") - 1)))
+    ).withColumn("version", F.explode(F.sequence(F.lit(0), F.col("num_versions") - 1)))
     version = F.col("version")
     numbered = F.transform(
         "pieces",
