@@ -34,6 +34,7 @@ class ToxicityConfig:
     toxic_rows: int = 2000
     clean_rows: int = 4000
     epochs: int = 6
+    least_steps: int = 270
     batch: int = 128
     rate: float = 0.04
     seed: int = 7
@@ -105,7 +106,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, config:
     first = [np.zeros_like(p) for p in params]
     second = [np.zeros_like(p) for p in params]
     step = 0
-    for _ in range(config.epochs):
+    for _ in range(max(config.epochs, -(-config.least_steps * config.batch // len(bags)))):
         order = rng.permutation(len(bags))
         for start in range(0, len(order), config.batch):
             rows = order[start : start + config.batch]
