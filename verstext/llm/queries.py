@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verstext.llm import decontamination, mixing, secrets, sharding, simhash, token_counts, toxicity, url_filter, vector_dedup
+from verstext.llm import decontamination, mixing, secrets, sharding, simhash, substring_dedup, token_counts, toxicity, url_filter, vector_dedup
 
 SHARDS = [f"shard-{n:03d}" for n in range(64)]
 RULES = [
@@ -45,6 +45,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeat_report(table(spark, sf_dir, "documents"))
+
+
 def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), RULES)
 
@@ -77,6 +81,6 @@ def oracle_sql() -> dict[str, str]:
 
 
 OPERATORS = [
-    op1_toxicity, op2_mix_sources, op3_vector_dedup, op4_decontaminate, op6_url_reputation, op7_token_counts, op8_simhash,
+    op1_toxicity, op2_mix_sources, op3_vector_dedup, op4_decontaminate, op5_substring_dedup, op6_url_reputation, op7_token_counts, op8_simhash,
     op9_secrets, op10_sharding,
 ]
