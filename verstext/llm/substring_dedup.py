@@ -5,8 +5,9 @@
    several documents have can hold a repeat. Anchors are dealt by hash; the text on both sides of
    an anchor that the strings with this anchor can reach is its segment.
 2. *Classes.* Occurrences with equal segments form a class, which the smallest document stands for:
-   all strings of the other members are repeats. Only the classes of anchors that have more than
-   one class need their text.
+   all strings of the other members are repeats. A string reaches at least half of its other bytes
+   to one side of the anchor, so a class shares a string with another only if the bytes next to the
+   anchor, on the left or on the right, agree as well. Only such classes need their text.
 3. *Run-length index.* The segments of these classes are indexed by a Burrows-Wheeler transform,
    stored as runs with samples at the run ends, sorted to a depth of ``length`` bytes and by
    document among equal strings. Runs are also cut where a string of several documents begins, so the
@@ -32,6 +33,7 @@ from verstext.llm.rows import map_keyed
 from verstext.runtime import materialise
 
 PART_ANCHORS = 300_000
+PART_SEGMENTS = 4_000
 PIECE_BYTES = 8_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -48,6 +50,11 @@ class RepeatConfig:
         """Places of the anchor inside a string, and bytes of a segment on each side of it, plus one."""
         return self.length - self.seed + 1
 
+    @property
+    def side(self) -> int:
+        """Bytes that a string has on the left or on the right of its anchor at least."""
+        return (self.length - self.seed + 1) // 2
+
 
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * MIX
@@ -89,10 +96,13 @@ def sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
 
 
 def find_anchors(text: bytes, hasher: Hasher, config: RepeatConfig):
-    """(place, anchor hash, segment hash) of the anchors of one text."""
+    """(place, anchor hash, segment hash, hashes of both neighbours in one number) of the anchors of a text.
+
+    A neighbour is the ``config.side`` bytes next to the anchor; 0 stands for one that does not exist.
+    """
     n, reach = len(text), config.reach
     if n < config.length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint32)
     data = np.frombuffer(text, dtype=np.uint8)
     sums = hasher.prefix(data, 0)
     seeds = n - config.seed + 1
@@ -103,14 +113,29 @@ def find_anchors(text: bytes, hasher: Hasher, config: RepeatConfig):
     places = np.flatnonzero(sliding(padded, reach, np.maximum) == hashes)
     start, stop = np.maximum(places - (reach - 1), 0), np.minimum(places + config.length, n)
     segment = hasher.ranges(hasher.prefix(data, 1), start, stop)
-    return places, hashes[places], mixed(segment + mixed(((places - start) * 64 + (stop - places)).astype(np.uint64)))
+    segment = mixed(segment + mixed(((places - start) * 64 + (stop - places)).astype(np.uint64)))
+    after = places + config.seed
+    left = mixed(hasher.ranges(sums, np.maximum(places - config.side, 0), places)) >> np.uint64(48) | np.uint64(1)
+    right = mixed(hasher.ranges(sums, after, np.minimum(after + config.side, n))) >> np.uint64(48) | np.uint64(1)
+    left[places < config.side] = 0
+    right[after + config.side > n] = 0
+    return places, hashes[places], segment, (left << np.uint64(16) | right).astype(np.uint32)
 
 
-ANCHOR = np.dtype([("hash", "<u8"), ("segment", "<u8"), ("doc", "<u4"), ("at", "<u4")])
+def pack_marks(docs: np.ndarray, at: np.ndarray, more: np.ndarray) -> list[tuple]:
+    """One (document, places, values) row for each document."""
+    order = np.lexsort((at, docs))
+    docs, at, more = docs[order], at[order], more[order]
+    cut = np.flatnonzero(np.concatenate(([True], docs[1:] != docs[:-1]))) if len(docs) else np.zeros(0, np.int64)
+    return [(int(docs[s]), at[s:e].astype("<u4").tobytes(), more[s:e].astype("<u8").tobytes()) for s, e in zip(cut, np.append(cut[1:], len(docs)), strict=False)]
 
 
 def anchor_pieces(rows: DataFrame, parts: int, config: RepeatConfig) -> DataFrame:
-    """``part, ids, anchors``: the anchors of a piece of the documents that go to one part, packed column by column."""
+    """The anchors of a piece of the documents that go to one part, packed column by column.
+
+    Of a class that a piece has several times only the smallest document goes on; the others are
+    repeats already. Their marks (``repeat_*``) travel with one of the rows of the piece.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -118,20 +143,28 @@ def anchor_pieces(rows: DataFrame, parts: int, config: RepeatConfig) -> DataFram
         size = 0
 
         def out() -> pa.RecordBatch:
-            ids = np.array([k for k, _ in held], dtype=np.int64)
-            doc = np.repeat(np.arange(len(held), dtype=np.uint32), [len(a[0]) for _, a in held])
-            at, hashes, segments = (np.concatenate([a[i] for _, a in held]) for i in range(3))
+            keys = np.repeat(np.array([k for k, _ in held], dtype=np.int64), [len(a[0]) for _, a in held])
+            at, hashes, segments, sides = (np.concatenate([a[i] for _, a in held]) for i in range(4))
             part = (hashes >> np.uint64(16)) % np.uint64(parts)
-            order = np.argsort(part, kind="stable")
-            at, hashes, segments, doc, part = at[order], hashes[order], segments[order], doc[order], part[order]
+            order = np.lexsort((at, keys, segments, hashes, part))
+            at, hashes, segments, sides, keys, part = (x[order] for x in (at, hashes, segments, sides, keys, part))
+            new = np.ones(len(at), dtype=bool)
+            new[1:] = (hashes[1:] != hashes[:-1]) | (segments[1:] != segments[:-1])
+            smallest = np.repeat(keys[new], np.diff(np.append(np.flatnonzero(new), len(at)))) if len(at) else keys
+            again = keys > smallest
+            marks = pack_marks(keys[again], at[again], np.full(int(again.sum()), FULL))
+            at, hashes, segments, sides, keys, part = (x[~again] for x in (at, hashes, segments, sides, keys, part))
             cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.zeros(0, np.int64)
             made = []
             for s, e in zip(cut, np.append(cut[1:], len(part)), strict=False):
-                own, number = np.unique(doc[s:e], return_inverse=True)
-                made.append((int(part[s]), ids[own].tobytes(), hashes[s:e].tobytes(), segments[s:e].tobytes(), number.astype("<u4").tobytes(), at[s:e].astype("<u4").tobytes()))
-            columns = list(zip(*made, strict=True)) or [[]] * 6
-            types = [pa.int32()] + [pa.binary()] * 5
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["part", "ids", "hash", "segment", "doc", "at"])
+                own, number = np.unique(keys[s:e], return_inverse=True)
+                packed = (own, hashes[s:e], segments[s:e], sides[s:e], number.astype("<u4"), at[s:e].astype("<u4"))
+                made.append([int(part[s]), *(x.tobytes() for x in packed), [], [], []])
+            if made:
+                made[0][-3:] = [list(c) for c in zip(*marks, strict=True)] or [[], [], []]
+            columns = list(zip(*made, strict=True)) or [[]] * 10
+            types = [pa.int32(), *[pa.binary()] * 6, pa.list_(pa.int64()), *[pa.list_(pa.binary())] * 2]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], PIECE)
 
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -143,40 +176,49 @@ def anchor_pieces(rows: DataFrame, parts: int, config: RepeatConfig) -> DataFram
         if held:
             yield out()
 
-    return rows.mapInArrow(run, "part int, ids binary, hash binary, segment binary, doc binary, at binary")
+    kinds = ["int", *["binary"] * 6, "array<long>", "array<binary>", "array<binary>"]
+    return rows.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(PIECE, kinds, strict=True)))
+
 
+PIECE = ["part", "ids", "hash", "segment", "side", "doc", "at", "repeat_key", "repeat_at", "repeat_value"]
 
-def unpack(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    hashes = np.concatenate([np.frombuffer(b, "<u8") for b in batch["hash"]])
-    segments = np.concatenate([np.frombuffer(b, "<u8") for b in batch["segment"]])
+
+def unpack(batch: pd.DataFrame) -> list[np.ndarray]:
+    hashes, segments, sides, at = (
+        np.concatenate([np.frombuffer(b, kind) for b in batch[c]]) for c, kind in (("hash", "<u8"), ("segment", "<u8"), ("side", "<u4"), ("at", "<u4"))
+    )
     docs = np.concatenate([np.frombuffer(i, "<i8")[np.frombuffer(d, "<u4")] for i, d in zip(batch["ids"], batch["doc"], strict=True)])
-    return hashes, segments, docs, np.concatenate([np.frombuffer(b, "<u4") for b in batch["at"]])
+    return [hashes, segments, sides, docs, at]
+
 
+def meets_another(hashes: np.ndarray, side: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Rows whose anchor and neighbour (which must exist) are those of a row of another document as well."""
+    order = np.lexsort((side, hashes))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (side[order][1:] != side[order][:-1])
+    first = np.flatnonzero(new)
+    own = docs[order]
+    several = np.minimum.reduceat(own, first) < np.maximum.reduceat(own, first)
+    out = np.zeros(len(order), dtype=bool)
+    out[order] = np.repeat(several, np.diff(np.append(first, len(order))))
+    return out & (side != 0)
 
-def classify(hashes, segments, docs, at):
+
+def classify(hashes, segments, sides, docs, at):
     """Which anchors lie in a repeated segment, and which stand for a class whose text is needed."""
     order = np.lexsort((at, docs, segments, hashes))
-    hashes, segments, docs, at = hashes[order], segments[order], docs[order], at[order]
-    new_hash = np.concatenate(([True], hashes[1:] != hashes[:-1]))
-    new_class = new_hash | np.concatenate(([True], segments[1:] != segments[:-1]))
-    first_class, first_hash = np.flatnonzero(new_class), np.flatnonzero(new_hash)
-    class_doc = docs[first_class]
-    full = docs > np.repeat(class_doc, np.diff(np.append(first_class, len(docs))))
-    n_classes = np.add.reduceat(new_class.astype(np.int64), first_hash)
-    low, high = np.minimum.reduceat(docs, first_hash), np.maximum.reduceat(docs, first_hash)
-    sizes = np.diff(np.append(first_hash, len(docs)))
-    ask = new_class & np.repeat((n_classes > 1) & (low < high), sizes)
+    hashes, segments, sides, docs, at = (x[order] for x in (hashes, segments, sides, docs, at))
+    new_class = np.ones(len(hashes), dtype=bool)
+    new_class[1:] = (hashes[1:] != hashes[:-1]) | (segments[1:] != segments[:-1])
+    first = np.flatnonzero(new_class)
+    full = docs > np.repeat(docs[first], np.diff(np.append(first, len(docs))))
+    near = meets_another(hashes[first], sides[first] >> np.uint32(16), docs[first])
+    near |= meets_another(hashes[first], sides[first] & np.uint32(0xFFFF), docs[first])
+    ask = np.zeros(len(docs), dtype=bool)
+    ask[first[near]] = True
     return hashes, docs, at, full, ask
 
 
-def pack_marks(docs: np.ndarray, at: np.ndarray, more: np.ndarray) -> list[tuple]:
-    """One (document, places, values) row for each document."""
-    order = np.lexsort((at, docs))
-    docs, at, more = docs[order], at[order], more[order]
-    cut = np.flatnonzero(np.concatenate(([True], docs[1:] != docs[:-1]))) if len(docs) else np.zeros(0, np.int64)
-    return [(int(docs[s]), at[s:e].astype("<u4").tobytes(), more[s:e].astype("<u8").tobytes()) for s, e in zip(cut, np.append(cut[1:], len(docs)), strict=False)]
-
-
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -186,6 +228,8 @@ def first_round(pieces: DataFrame) -> DataFrame:
     def run(part: pd.DataFrame) -> pd.DataFrame:
         hashes, docs, at, full, ask = classify(*unpack(part))
         marks = [(0, *row) for row in pack_marks(docs[full], at[full], np.full(int(full.sum()), FULL))]
+        for keys, places, values in zip(part["repeat_key"], part["repeat_at"], part["repeat_value"], strict=True):
+            marks += [(0, *row) for row in zip(keys, places, values, strict=True)]
         asks = [(1, *row) for row in pack_marks(docs[ask], at[ask], hashes[ask])]
         return pd.DataFrame(marks + asks, columns=["kind", "key", "at", "value"])
 
@@ -366,7 +410,8 @@ def remove_repeats(docs: DataFrame, config: RepeatConfig = RepeatConfig(), key:
         return marks.groupBy("key").agg(F.collect_list("at").alias("at"), F.collect_list("value").alias("value"))
 
     asked = rows.join(lists(found.where("kind = 1")), "key").select("key", "text", "at", "value")
-    segments = cut_segments(asked, parts, config)
+    n_asked = found.where("kind = 1").agg(F.sum(F.octet_length("at"))).first()[0] or 0
+    segments = cut_segments(asked, int(n_asked / 4 / PART_SEGMENTS) + 1, config)
     more = materialise(second_round(segments, config), "repeat_matches")
     marks = lists(found.where("kind = 0").unionAll(more)).withColumnRenamed("key", "marked")
     joined = whole.join(marks, F.col("key") == F.col("marked"), "left").select("key", "text", "at", "value")
