@@ -23,7 +23,7 @@ from verstext.llm.rows import map_keyed
 
 @dataclass(frozen=True)
 class ToxicityConfig:
-    """``toxic_rows`` and ``clean_rows`` bound the labelled rows that are fitted."""
+    """``toxic_rows`` and ``clean_rows`` bound the labelled rows that are fitted; at most 65,536 buckets."""
 
     buckets: int = 1 << 16
     dim: int = 8
@@ -97,7 +97,10 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, config:
     """Adam on the cross entropy of the softmax, embeddings and layer together."""
     rng = np.random.default_rng(config.seed)
     table = rng.normal(0, 0.01, (config.buckets, config.dim)).astype(np.float32)
-    seen = np.bincount(np.concatenate([ids for ids, _ in bags]), minlength=config.buckets) >= config.least_texts
+    texts = np.zeros(config.buckets, dtype=np.int64)
+    for ids, _ in bags:  # an n-gram is in a bag once
+        texts[ids] += 1
+    seen = texts >= config.least_texts
     bags = [(ids[seen[ids]], share[seen[ids]]) for ids, share in bags]  # rare n-grams say nothing
     table[~seen] = 0
     layer = rng.normal(0, 0.5, (config.dim, 2)).astype(np.float32)
@@ -153,7 +156,7 @@ def labelled_bags(docs: DataFrame, labels: DataFrame, key: str, text: str, label
             bags = [pack_words(t, config, ids) for t in batch["text"]]
             yield pd.DataFrame({
                 "key": batch[key], "label": batch["label"],
-                "grams": [b.astype(np.int32).tobytes() for b, _ in bags], "share": [s.tobytes() for _, s in bags],
+                "grams": [b.astype(np.uint16).tobytes() for b, _ in bags], "share": [s.tobytes() for _, s in bags],
             })
 
     kind = docs.schema[key].dataType.simpleString()
@@ -176,7 +179,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         share = (targets.sum() + 1) / (len(targets) + 2)
         bias = np.array([0, math.log(share / (1 - share))], dtype=np.float32)
         return ToxicityModel(np.zeros((config.buckets, 1), np.float32), np.zeros((1, 2), np.float32), bias)
-    bags = [(np.frombuffer(g, np.int32), np.frombuffer(s, np.float32)) for g, s in zip(sample["grams"], sample["share"], strict=True)]
+    bags = [(np.frombuffer(g, np.uint16), np.frombuffer(s, np.float32)) for g, s in zip(sample["grams"], sample["share"], strict=True)]
+    del sample
     return train(bags, targets, config)
 
 
