@@ -379,15 +379,15 @@ def second_round(segments: DataFrame, config: RepeatConfig) -> DataFrame:
 
 def repeated(n: int, at: list[bytes], values: list[bytes], config: RepeatConfig) -> np.ndarray:
     """Which of the ``n`` bytes are covered by a marked string."""
-    edge = np.zeros(n + 1, dtype=np.int64)
-    places = np.frombuffer(b"".join(at), "<u4").astype(np.int64)
+    places = np.frombuffer(b"".join(at), "<u4").astype(np.int64) - config.reach + 1
     bits = np.frombuffer(b"".join(values), "<u8")
+    begins = np.zeros(n, dtype=bool)
     for b in range(config.reach):
-        start = places[(bits >> np.uint64(b)) & np.uint64(1) > 0] - config.reach + 1 + b
-        start = start[(start >= 0) & (start + config.length <= n)]
-        np.add.at(edge, start, 1)
-        np.add.at(edge, start + config.length, -1)
-    return np.cumsum(edge[:-1]) > 0
+        start = places[(bits >> np.uint64(b)) & np.uint64(1) > 0] + b
+        begins[start[(start >= 0) & (start + config.length <= n)]] = True
+    begun = np.cumsum(begins)  # a byte goes if a marked string begins in the ``length`` places up to it
+    begun[config.length :] -= begun[: -config.length].copy()
+    return begun > 0
 
 
 def remove_repeats(docs: DataFrame, config: RepeatConfig = RepeatConfig(), key: str = "doc_id", text: str = "text") -> DataFrame:
