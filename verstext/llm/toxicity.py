@@ -80,17 +80,8 @@ def pack_words(text: str, config: ToxicityConfig, ids: dict[str, list[int]]) ->
 class ToxicityModel:
     """``gram_score`` is the embedding table times the layer: what one n-gram adds to the margin."""
 
-    embeddings: np.ndarray
-    layer: np.ndarray
-    bias: np.ndarray
-
-    @property
-    def gram_score(self) -> np.ndarray:
-        return self.embeddings @ (self.layer[:, 1] - self.layer[:, 0])
-
-    @property
-    def margin_bias(self) -> float:
-        return float(self.bias[1] - self.bias[0])
+    gram_score: np.ndarray
+    margin_bias: float
 
 
 def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, config: ToxicityConfig) -> ToxicityModel:
@@ -136,10 +127,10 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, config:
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 p -= config.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return ToxicityModel(table, layer, bias)
+    return ToxicityModel((table @ (layer[:, 1] - layer[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def labelled_bags(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, config: ToxicityConfig) -> pd.DataFrame:
+def labelled_bags(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, config: ToxicityConfig) -> DataFrame:
     """The bags of a bounded sample of labelled rows: the lowest key hashes of each class."""
     known = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).cast("int").alias("label"))
     learnt = known.where(~held_out(key)).withColumn("order", F.xxhash64(key))
@@ -162,7 +153,7 @@ def labelled_bags(docs: DataFrame, labels: DataFrame, key: str, text: str, label
     kind = docs.schema[key].dataType.simpleString()
     bags = rows.mapInPandas(pack, f"key {kind}, label int, grams binary, share binary")
     one = bags.groupBy("key").agg(F.min(F.struct("label", "grams", "share")).alias("row"))  # repeated rows count once
-    return one.select("key", "row.*").toPandas().sort_values("key")
+    return one.select("key", "row.*")
 
 
 def held_out(key: str):
@@ -172,16 +163,31 @@ def held_out(key: str):
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
         config: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
-    """Train on the sample. If a class has no rows, every score is the smoothed share of class 1."""
-    sample = labelled_bags(docs, labels, key, text, label, config)
-    targets = sample["label"].to_numpy(dtype=np.int64)
-    if len(set(targets)) < 2:
-        share = (targets.sum() + 1) / (len(targets) + 2)
-        bias = np.array([0, math.log(share / (1 - share))], dtype=np.float32)
-        return ToxicityModel(np.zeros((config.buckets, 1), np.float32), np.zeros((1, 2), np.float32), bias)
-    bags = [(np.frombuffer(g, np.uint16), np.frombuffer(s, np.float32)) for g, s in zip(sample["grams"], sample["share"], strict=True)]
-    del sample
-    return train(bags, targets, config)
+    """Train on the sample, which is small enough for one task, and return its one row for each bucket.
+
+    If a class has no rows, every score is the smoothed share of class 1.
+    """
+
+    def learn(sample: pd.DataFrame) -> pd.DataFrame:
+        sample = sample.sort_values("key")
+        targets = sample["label"].to_numpy(dtype=np.int64)
+        if len(set(targets)) < 2:
+            model = constant(targets, config)
+        else:
+            bags = [(np.frombuffer(g, np.uint16), np.frombuffer(s, np.float32)) for g, s in zip(sample["grams"], sample["share"], strict=True)]
+            model = train(bags, targets, config)
+        return pd.DataFrame({"scores": [model.gram_score.tobytes()], "bias": [model.margin_bias]})
+
+    bags = labelled_bags(docs, labels, key, text, label, config)
+    made = bags.groupBy(F.lit(0).alias("all")).applyInPandas(learn, "scores binary, bias double").first()
+    if made is None:
+        return constant(np.zeros(0), config)
+    return ToxicityModel(np.frombuffer(made["scores"], np.float32), made["bias"])
+
+
+def constant(targets: np.ndarray, config: ToxicityConfig) -> ToxicityModel:
+    share = (targets.sum() + 1) / (len(targets) + 2)
+    return ToxicityModel(np.zeros(config.buckets, np.float32), math.log(share / (1 - share)))
 
 
 def score(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str = "text",
@@ -192,7 +198,7 @@ def score(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str
     by the bias alone. Rows with a NULL key have ``held_out`` NULL; repeated rows are scored like
     any other. Each task gets one number for each bucket; there is no shuffle.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((model.gram_score.astype(np.float32), model.margin_bias))
+    shared = docs.sparkSession.sparkContext.broadcast((model.gram_score, model.margin_bias))
 
     def start():
         grams, bias = shared.value
