@@ -40,14 +40,14 @@ def pair_change_rates(v: Views):
     SELECT version_x, round(avg(addition) * 100, 2) AS addition_pct, round(avg(deletion) * 100, 2) AS deletion_pct,
            round(avg(edit) * 100, 2) AS edit_pct FROM p GROUP BY version_x"""))
 def change_by_version(v: Views):
-    return stats.change_by_version(v.matched)
+    return stats.change_by_version(v.matched, 32)
 
 
 @query("change_by_position", with_ctes("matched", f"""
     SELECT coalesce(sent_idx_x, sent_idx_y) AS sent_idx, {RATES}, count(*) AS n FROM matched
     WHERE coalesce(sent_idx_x, sent_idx_y) < 100 GROUP BY 1"""))
 def change_by_position(v: Views):
-    return _rounded(stats.change_by_position(v.matched), *RATE_COLS)
+    return _rounded(stats.change_by_position(v.matched, 100), *RATE_COLS)
 
 
 @query("corpus_totals", with_ctes("matched", """

@@ -25,13 +25,19 @@ def num_versions(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.drop("num_versions").join(counts, keys)
 
 
+def _lowest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    row = F.struct(*[F.col(c) for c in df.columns])
+    return df.groupBy(*keys).agg(F.min_by(row, F.col(order)).alias("_row")).select("_row.*")
+
+
+def lowest_per_url(df: DataFrame, order: str = "id") -> DataFrame:
+    """One row per url; rows without a url are no copies of each other and all stay."""
+    return _lowest(df.where(F.col("url").isNotNull()), ["url"], order).unionByName(df.where(F.col("url").isNull()))
+
+
 def dedup_versions(df: DataFrame, order: str = "id") -> DataFrame:
     """One row per url, then one per (entry, version); the lowest ``order`` stays."""
-    cols = df.columns
-    for keys in (["url"], ["entry_id", "version"]):
-        row = F.struct(*[F.col(c) for c in cols])
-        df = df.groupBy(*keys).agg(F.min_by(row, F.col(order)).alias("_row")).select("_row.*")
-    return df
+    return _lowest(lowest_per_url(df, order), ["entry_id", "version"], order)
 
 
 def version_of_text(text) -> Column:
@@ -104,8 +110,9 @@ def version_chains(links: DataFrame) -> DataFrame:
     )
     state = cut_lineage(state)
     finished, open_rows = state.where("done"), state.where("NOT done")
-    n_open = open_rows.count()
-    while n_open:
+    longest, reached = nodes.count(), 1
+    while reached <= 2 * longest and not open_rows.isEmpty():  # no chain is longer; what is left then is on a loop
+        reached *= 2
         table = finished.unionByName(open_rows).select(
             F.col("id").alias("anc"), F.col("anc").alias("anc2"), F.col("dist").alias("dist2"),
             F.col("done").alias("done2"),
@@ -114,14 +121,10 @@ def version_chains(links: DataFrame) -> DataFrame:
             open_rows.join(table, "anc").select(
                 "id", F.col("anc2").alias("anc"), (F.col("dist") + F.col("dist2")).alias("dist"),
                 F.col("done2").alias("done"),
-            )
+            ).distinct()  # two ways to the same id are one row, or merging links would multiply
         )
         finished = finished.unionByName(step.where("done"))
         open_rows = step.where("NOT done")
-        left = open_rows.count()
-        if left == n_open:
-            break
-        n_open = left
     return finished.select(F.col("anc").alias("root"), F.col("dist").alias("position"), "id")
 
 

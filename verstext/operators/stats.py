@@ -32,19 +32,23 @@ def pair_change_rates(matched: DataFrame) -> DataFrame:
     return matched.groupBy(*PAIR).agg(*_rates())
 
 
-def change_by_version(matched: DataFrame, max_version: int = 32) -> DataFrame:
+def change_by_version(matched: DataFrame, max_version: int | None = None) -> DataFrame:
     """Mean percentage of each kind of change by version, one column per kind."""
-    rates = pair_change_rates(matched).where(F.col("version_x") < max_version)
+    rates = pair_change_rates(matched)
+    if max_version is not None:
+        rates = rates.where(F.col("version_x") < max_version)
     names = [f"{n}_rate" for n in edit_flags()]
     return rates.groupBy("version_x").agg(
         *[F.round(F.avg(F.col(n)) * 100, 2).alias(n.replace("_rate", "_pct")) for n in names]
     )
 
 
-def change_by_position(matched: DataFrame, max_position: int = 100) -> DataFrame:
+def change_by_position(matched: DataFrame, max_position: int | None = None) -> DataFrame:
     """Shares of changes by sentence position; an addition counts at its new position."""
     position = F.coalesce("sent_idx_x", "sent_idx_y")
-    return matched.where(position < max_position).groupBy(position.alias("sent_idx")).agg(
+    if max_position is not None:
+        matched = matched.where(position < max_position)
+    return matched.groupBy(position.alias("sent_idx")).agg(
         *_rates(), F.count(F.lit(1)).alias("n")
     )
 
