@@ -129,7 +129,7 @@ def edit_clusters(v: Views):
            len(b) <= len(a) AND len(b) <= 50 AND len(list_filter(b, lambda t: list_contains(a, t))) >= len(b) * 0.5 AS is_subset
     FROM (SELECT *, {content_sql('sent_old')} AS a, {content_sql('sent_new')} AS b FROM diffs WHERE tag_old = '-' AND tag_new = '+')"""))
 def subset_check(v: Views):
-    return diff.subset_pairs(v.sentence_diffs)
+    return diff.subset_pairs(v.sentence_diffs, max_tokens=50)
 
 
 @query("merge_split_sentences", with_ctes("diffs", f"""
@@ -148,7 +148,7 @@ def subset_check(v: Views):
     SELECT entry_id, version_x, cluster, side, CAST(big AS INTEGER) AS into_slot, count(*) AS num_pieces,
            string_agg(trim(sentence), ' ' ORDER BY s_idx) AS merged FROM best WHERE rn = 1 GROUP BY ALL"""))
 def merge_split_sentences(v: Views):
-    return diff.merge_split_sentences(v.sentence_diffs)
+    return diff.merge_split_sentences(v.sentence_diffs, max_tokens=50)
 
 
 @query("sentence_stats", with_ctes("kinds", """

@@ -144,14 +144,13 @@ def sentence_labels(v: Views):
     return v.make_labels()
 
 
-@query("label_all_sentences", with_ctes("old_sents l_deleted", """
-    SELECT source, entry_id, version, sent_idx, CAST(EXISTS (SELECT 1 FROM l_deleted d WHERE d.entry_id = s.entry_id
-      AND d.version_x = s.version AND d.sent_idx_x = s.sent_idx) AS INTEGER) AS deleted_label FROM old_sents s"""))
+@query("label_all_sentences", with_ctes("labelled", "SELECT * FROM labelled"))
 def label_all_sentences(v: Views):
-    found = labels.label_deleted(v.matched, v.sentences)
-    for name in labels.LABELS[1:]:
-        found = found.withColumn(name, F.lit(None).cast("int"))
-    return labels.label_all_sentences(found, v.sentences).select("source", "entry_id", "version", "sent_idx", "deleted_label")
+    """From the rows that have any label at all; the others must come back with zeros."""
+    some = F.array_contains(F.array(*[F.col(c) != 0 for c in labels.LABELS]), True)
+    found = v.sentence_labels.where(some).select(
+        "entry_id", F.col("version").alias("version_x"), F.col("sent_idx").alias("sent_idx_x"), *labels.LABELS)
+    return labels.label_all_sentences(found, v.sentences)
 
 
 @query("doc_labels", with_ctes("doc_labels", "SELECT * FROM doc_labels"))
@@ -257,10 +256,10 @@ def multitask_label(v: Views):
 
 @query("doc_label_bins", with_ctes("doc_labels", """
     SELECT source, entry_id, version,
-      CASE WHEN num_deleted >= 0 AND num_deleted < 1 THEN 0 WHEN num_deleted >= 1 AND num_deleted < 3 THEN 1 WHEN num_deleted >= 3 AND num_deleted < 100 THEN 2 END AS num_deleted_bin,
-      CASE WHEN num_edited >= 0 AND num_edited < 1 THEN 0 WHEN num_edited >= 1 AND num_edited < 3 THEN 1 WHEN num_edited >= 3 AND num_edited < 100 THEN 2 END AS num_edited_bin,
-      CASE WHEN num_added >= 0 AND num_added < 1 THEN 0 WHEN num_added >= 1 AND num_added < 5 THEN 1 WHEN num_added >= 5 AND num_added < 100 THEN 2 END AS num_added_bin,
-      CASE WHEN -num_refactored > -100 AND -num_refactored <= -1 THEN 0 WHEN -num_refactored > -1 AND -num_refactored <= 0 THEN 1 END AS num_refactored_bin
+      CASE WHEN num_deleted >= 0 AND num_deleted < 1 THEN 0 WHEN num_deleted >= 1 AND num_deleted < 3 THEN 1 WHEN num_deleted >= 3  THEN 2 END AS num_deleted_bin,
+      CASE WHEN num_edited >= 0 AND num_edited < 1 THEN 0 WHEN num_edited >= 1 AND num_edited < 3 THEN 1 WHEN num_edited >= 3  THEN 2 END AS num_edited_bin,
+      CASE WHEN num_added >= 0 AND num_added < 1 THEN 0 WHEN num_added >= 1 AND num_added < 5 THEN 1 WHEN num_added >= 5  THEN 2 END AS num_added_bin,
+      CASE WHEN -num_refactored <= -1 THEN 0 WHEN -num_refactored > -1 AND -num_refactored <= 0 THEN 1 END AS num_refactored_bin
     FROM doc_labels"""))
 def doc_label_bins(v: Views):
     return labels.doc_label_bins(v.doc_labels)

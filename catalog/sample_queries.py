@@ -63,15 +63,17 @@ def sample_rows(v: Views):
 
 
 @query("cutoff_sweep", with_ctes("matched", """
-    , p AS (SELECT entry_id, version_x, version_y, sent_idx_x, sent_idx_y, coalesce(avg_sentence_distance_x, avg_sentence_distance_y) AS d,
+    , p AS (SELECT entry_id, version_x, version_y, sent_idx_x, sent_idx_y, least(avg_sentence_distance_x, avg_sentence_distance_y) AS d,
                    avg_sentence_distance_x IS NOT NULL AND avg_sentence_distance_y IS NOT NULL AS t FROM matched
             WHERE sent_idx_x IS NOT NULL AND sent_idx_y IS NOT NULL),
     c AS (SELECT round(k * 0.02, 2) AS cutoff, k FROM (SELECT unnest(range(0, 31)) AS k)),
-    s AS (SELECT cutoff, count(*) AS n, count(*) FILTER (t) AS hits FROM c JOIN p ON floor(round(d / 0.02, 6)) < k GROUP BY cutoff)
-    SELECT cutoff::DOUBLE AS cutoff, round(hits / n, 6) AS precision, round(hits / (SELECT count(*) FROM p WHERE t), 6) AS recall,
-           round(2 * (hits / n) * (hits / (SELECT count(*) FROM p WHERE t)) / ((hits / n) + (hits / (SELECT count(*) FROM p WHERE t))), 6) AS f1 FROM s"""))
+    s AS (SELECT cutoff, count(d) AS n, count(*) FILTER (t) AS hits FROM c LEFT JOIN p ON floor(round(d / 0.02, 6)) < k GROUP BY cutoff),
+    q AS (SELECT cutoff::DOUBLE AS cutoff, hits / nullif(n, 0) AS p, hits / (SELECT count(*) FROM p WHERE t) AS r FROM s),
+    f AS (SELECT *, 2 * p * r / nullif(p + r, 0) AS f FROM q)
+    SELECT cutoff, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f1,
+           f IS NOT NULL AND row_number() OVER (ORDER BY f DESC NULLS LAST, cutoff) = 1 AS best FROM f"""))
 def cutoff_sweep(v: Views):
-    arcs = v.matched.where("sent_idx_x IS NOT NULL AND sent_idx_y IS NOT NULL").withColumn("distance", labels.match_distance())
+    arcs = v.matched.where("sent_idx_x IS NOT NULL AND sent_idx_y IS NOT NULL").withColumn("distance", F.least("avg_sentence_distance_x", "avg_sentence_distance_y"))
     truth = arcs.where("avg_sentence_distance_x IS NOT NULL AND avg_sentence_distance_y IS NOT NULL")
     return _rounded(evaluate.cutoff_sweep(arcs, truth), "precision", "recall", "f1")
 

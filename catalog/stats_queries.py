@@ -10,6 +10,7 @@ from catalog.registry import query
 from catalog.text_queries import content_sql
 from catalog.views import Views
 from verstext.functions import text as tx
+from verstext.functions.uniform import hash_uniform
 from verstext.operators import labels, match, stats
 from verstext.runtime import materialise
 
@@ -303,6 +304,7 @@ def title_counts(v: Views):
     return stats.title_counts(v.entryversion, 40)
 
 
-@query("partition_skew")
+@query("partition_skew", with_ctes("sentences", """
+    SELECT CAST('0x' || substr(md5(CAST(entry_id AS VARCHAR)), 1, 8) AS BIGINT) // 268435456 AS partition, count(*) AS n FROM sentences GROUP BY 1"""))
 def partition_skew(v: Views):
-    return stats.partition_skew(v.sentences.repartition(16, "entry_id"))
+    return stats.partition_skew(v.sentences, F.floor(hash_uniform("entry_id") * 16))

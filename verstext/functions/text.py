@@ -85,10 +85,14 @@ def content_tokens(text) -> Column:
     return F.filter(F.split(bare, r"\s+", -1), lambda t: (t != "") & ~t.isin(*STOP_WORDS))
 
 
+def plain_letters(text) -> Column:
+    """Replace marked Latin letters by their plain form; every character keeps its place."""
+    return F.translate(as_column(text), ACCENTED, PLAIN)
+
+
 def fold_latin(text) -> Column:
     """Replace marked Latin letters by their plain form and drop whatever else is not ASCII."""
-    plain = F.translate(as_column(text), ACCENTED, PLAIN)
-    return F.regexp_replace(plain, r"[^\x00-\x7F]", "")
+    return F.regexp_replace(plain_letters(text), r"[^\x00-\x7F]", "")
 
 
 def strip_markup(text) -> Column:

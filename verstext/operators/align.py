@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from verstext.functions import vector
-from verstext.functions.text import fold_latin
+from verstext.functions.text import plain_letters
 from verstext.operators.match import SENT_PAIR, adjacent_versions
 
 EDGE = ["entry_id", "version_x", "sent_idx_x", "sent_idx_y"]
@@ -57,23 +57,23 @@ def changed_headline_entries(versions: DataFrame, changes: int) -> DataFrame:
 def max_word_similarity(matched: DataFrame, words: DataFrame, vectors: DataFrame) -> DataFrame:
     """Mean over the old words of the greatest cosine to a word of the matched new sentence.
 
-    Vectors of the new sentence travel as one list per sentence, so a matched pair meets once
-    and its words are compared inside the row.
+    The vectors of a sentence travel as one list, so a matched pair is one row that holds both
+    lists once, and its words are compared inside the row.
     """
     edges = matched.where("sent_idx_x IS NOT NULL AND sent_idx_y IS NOT NULL").select(*EDGE)
     bags = (
         words.groupBy("entry_id", "version", "sent_idx", "word").agg(F.count(F.lit(1)).alias("c"))
         .join(vectors.withColumnRenamed("vec_id", "word"), "word")
     )
-    old = bags.select("entry_id", F.col("version").alias("version_x"), F.col("sent_idx").alias("sent_idx_x"), "c", "vector")
+    old = bags.groupBy("entry_id", F.col("version").alias("version_x"), F.col("sent_idx").alias("sent_idx_x")).agg(
+        F.collect_list(F.struct("c", "vector")).alias("own"), F.sum("c").alias("n")
+    )
     new = bags.groupBy(
         "entry_id", (F.col("version") - 1).alias("version_x"), F.col("sent_idx").alias("sent_idx_y")
     ).agg(F.collect_list("vector").alias("others"))
-    best = F.array_max(F.transform("others", lambda o: vector.dot(F.col("vector"), o)))
+    best = F.transform("own", lambda w: w["c"] * F.array_max(F.transform("others", lambda o: vector.dot(w["vector"], o))))
     rows = edges.join(old, ["entry_id", "version_x", "sent_idx_x"]).join(new, ["entry_id", "version_x", "sent_idx_y"])
-    return rows.withColumn("best", best).groupBy(*EDGE).agg(
-        (F.sum(F.col("best") * F.col("c")) / F.sum("c")).alias("similarity")
-    )
+    return rows.select(*EDGE, (F.aggregate(best, F.lit(0.0), lambda acc, b: acc + b) / F.col("n")).alias("similarity"))
 
 
 def match_agreement(found: DataFrame, exact: DataFrame) -> DataFrame:
@@ -87,20 +87,39 @@ def match_agreement(found: DataFrame, exact: DataFrame) -> DataFrame:
     )
 
 
+def _near_place(text: Column, sentence: Column, max_edits: int) -> Column:
+    """First place where ``sentence`` stands in ``text`` with at most ``max_edits`` edits, from 1; NULL if there is none."""
+    size, pieces = F.length(sentence), max_edits + 1
+    edge = [F.floor(size * i / pieces).cast("int") for i in range(pieces + 1)]
+
+    def places(i: int) -> Column:
+        # the text is cut before every occurrence of the piece, so each occurrence begins with a part
+        piece = F.substring(sentence, edge[i] + 1, edge[i + 1] - edge[i])
+        quoted = F.replace(piece, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+        parts = F.split(text, F.concat(F.lit("(?=\\Q"), quoted, F.lit("\\E)")), -1)
+        begin = F.aggregate(parts, F.array(F.lit(0)), lambda seen, p: F.concat(seen, F.array(F.element_at(seen, -1) + F.length(p))))
+        shifted = F.transform(begin, lambda b: F.transform(F.sequence(F.lit(-max_edits), F.lit(max_edits)), lambda s: b - edge[i] + s + 1))
+        return F.flatten(shifted)
+
+    tried = F.filter(F.array_distinct(F.concat(*[places(i) for i in range(pieces)])), lambda p: p > 0)
+    near = F.filter(tried, lambda p: F.levenshtein(F.substring(text, p, size), sentence, max_edits) >= 0)
+    return F.when(size > max_edits, F.array_min(near))
+
+
 def locate_sentences(sentences: DataFrame, docs: DataFrame, max_edits: int = 0) -> DataFrame:
     """Offset of each sentence in its document, whether it was found and whether it runs backwards.
 
-    With ``max_edits`` a sentence that does not occur as such is also found at the offset of its
-    first eight characters when the text there differs by at most that many edits.
+    With ``max_edits`` a sentence that does not occur as such is also found where a stretch of its
+    own length, with marked letters made plain, differs from it by at most that many edits; the first
+    such place counts. Of ``max_edits + 1`` pieces of the sentence at least one must be left as it
+    is, so every occurrence of every piece, moved by as many characters as there may be edits, is a
+    place to try. A sentence of at most ``max_edits`` characters is only looked for as such.
     """
     rows = sentences.join(docs, "entry_id")
     at = F.instr(F.col("text"), F.col("sentence"))
     start = F.when(at > 0, at)
     if max_edits:
-        lead = F.instr(F.col("text"), F.substring("sentence", 1, 8))
-        there = F.substring(F.col("text"), lead, F.length("sentence"))
-        close = F.levenshtein(fold_latin(there), fold_latin("sentence"), max_edits) >= 0
-        start = F.coalesce(start, F.when((lead > 0) & close, lead))
+        start = F.coalesce(start, _near_place(plain_letters("text"), plain_letters("sentence"), max_edits))
     w = Window.partitionBy("entry_id", "version").orderBy("sent_idx")
     return (
         rows.withColumn("start", start).withColumn("found", F.col("start").isNotNull())

@@ -153,12 +153,13 @@ def edit_clusters(diffs: DataFrame) -> DataFrame:
     return diffs.withColumn("cluster", F.sum(same.cast("int")).over(order)).where(~same)
 
 
-def merge_split_sentences(diffs: DataFrame, slack: float = 0.5) -> DataFrame:
+def merge_split_sentences(diffs: DataFrame, slack: float = 0.5, max_tokens: int | None = None) -> DataFrame:
     """Sentences of an edit cluster that are nearly contained in one of the other side.
 
     Each smaller sentence joins its best container: most shared tokens, then the nearest slot,
     then the lower one. The pieces of a container are joined in reading order. Candidates share at
-    least one token, so two sentences without a common word never meet.
+    least one token, so two sentences without a common word never meet, and the sizes decide in the
+    join. With ``max_tokens`` longer sentences stay as they are.
     """
     cluster = [*PAIR, "cluster"]
     runs = edit_clusters(diffs)
@@ -176,16 +177,15 @@ def merge_split_sentences(diffs: DataFrame, slack: float = 0.5) -> DataFrame:
                           F.col("n").alias("n_small"), "p", "token")
     big = spread.select(*cluster, F.col("side").alias("big_side"), F.col("s_idx").alias("big"),
                         F.col("n").alias("n_big"), "token").distinct()
+    if max_tokens is not None:
+        small = small.where(F.col("n_small") <= max_tokens)
+    fits = (F.col("small_side") != F.col("big_side")) & (F.col("small") != F.col("big")) & (F.col("n_small") <= F.col("n_big"))
     shared = (
-        small.join(big, [*cluster, "token"])
-        .where((F.col("small_side") != F.col("big_side")) & (F.col("small") != F.col("big")))
+        small.join(big, [*cluster, "token"]).where(fits)
         .groupBy(*cluster, "small_side", "small", "n_small", "big", "n_big")
         .agg(F.count(F.lit(1)).alias("hits"))
     )
-    held = shared.where(
-        (F.col("n_small") <= F.col("n_big")) & (F.col("n_small") <= 50)
-        & (F.col("hits") >= F.col("n_small") * (1 - slack))
-    )
+    held = shared.where(F.col("hits") >= F.col("n_small") * (1 - slack))
     best = held.groupBy(*cluster, "small_side", "small").agg(
         F.min(F.struct((-F.col("hits")).alias("h"), F.abs(F.col("big") - F.col("small")).alias("gap"),
                        F.col("big").alias("big"))).alias("_b")
@@ -199,12 +199,12 @@ def merge_split_sentences(diffs: DataFrame, slack: float = 0.5) -> DataFrame:
     )
 
 
-def subset_pairs(diffs: DataFrame, slack: float = 0.5) -> DataFrame:
+def subset_pairs(diffs: DataFrame, slack: float = 0.5, max_tokens: int | None = None) -> DataFrame:
     """Changed pairs whose new sentence is nearly contained in the old one."""
     changed = diffs.where("tag_old = '-' AND tag_new = '+'")
     return changed.select(
         *PAIR, "s_idx",
-        near_subset(tx.content_tokens("sent_old"), tx.content_tokens("sent_new"), slack).alias("is_subset"),
+        near_subset(tx.content_tokens("sent_old"), tx.content_tokens("sent_new"), slack, max_tokens).alias("is_subset"),
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from verstext.functions.uniform import hash_uniform
 from verstext.operators.match import SENT_PAIR
@@ -17,10 +17,12 @@ def _f1(p: Column, r: Column) -> Column:
 
 
 def cutoff_sweep(predicted: DataFrame, truth: DataFrame) -> DataFrame:
-    """Precision, recall and F1 of predicted arcs below each cutoff.
+    """Precision, recall and F1 of predicted arcs below each cutoff, and which cutoff has the best F1.
 
     ``predicted`` has a ``distance``. An arc counts from the first cutoff above its distance on,
-    so arcs are counted once per first cutoff and the 31 totals are sums of those counts.
+    so arcs are counted once per first cutoff and the 31 totals are sums of those counts. Every
+    cutoff has a row; one below which no arc lies has NULL precision and recall 0. Of equally
+    good cutoffs the lowest is the best one.
     """
     arcs = predicted.select(*SENT_PAIR, "distance", F.lit(0).alias("t")).unionByName(
         truth.select(*SENT_PAIR, F.lit(None).cast("double").alias("distance"), F.lit(1).alias("t"))
@@ -32,15 +34,19 @@ def cutoff_sweep(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     )
     all_true = truth.select(*SENT_PAIR).distinct().agg(F.count(F.lit(1)).alias("_t")).scalar()
     steps = F.explode(F.sequence(F.least("first", F.lit(CUTOFF_COUNT)), F.lit(CUTOFF_COUNT)))
-    totals = (
+    sums = (
         counts.where("first IS NOT NULL").withColumn("k", steps).where(F.col("k") < CUTOFF_COUNT)
         .groupBy("k").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
     )
+    every = predicted.sparkSession.range(CUTOFF_COUNT).select(F.col("id").cast("int").alias("k"))
+    totals = every.join(sums, "k", "left").na.fill(0, ["n", "hits"])
     p, r = F.try_divide(F.col("hits"), F.col("n")), F.try_divide(F.col("hits"), all_true)
-    return totals.select(
+    scored = totals.select(
         F.round(F.col("k") * CUTOFF_STEP, 2).alias("cutoff"), p.alias("precision"), r.alias("recall"),
         _f1(p, r).alias("f1"),
     )
+    best = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc_nulls_last("f1"), "cutoff")) == 1  # of 31 rows
+    return scored.withColumn("best", best & F.col("f1").isNotNull())
 
 
 def confusion(df: DataFrame, truth: str, pred: str, by: list[str] = []) -> DataFrame:

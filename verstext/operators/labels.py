@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import inf
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from verstext.config import UNCHANGED_DISTANCE
@@ -244,9 +246,9 @@ def multitask_label() -> Column:
     return F.concat_ws("|||", operation_class(), move_class(), addition_class())
 
 
-# Bin edges of the document labels, closed on the left.
-DOC_BINS = {"num_deleted": (0, 1, 3, 100), "num_edited": (0, 1, 3, 100), "num_added": (0, 1, 5, 100)}
-MOVE_BINS = (-100, -1, 0)
+# Bin edges of the document labels, closed on the left; the outer bins are open, so no count is without a bin.
+DOC_BINS = {"num_deleted": (0, 1, 3, inf), "num_edited": (0, 1, 3, inf), "num_added": (0, 1, 5, inf)}
+MOVE_BINS = (-inf, -1, 0)
 
 
 def bin_left_closed(value: Column, edges) -> Column:
@@ -342,8 +344,14 @@ def unedited_control(matched: DataFrame, sentences: DataFrame, n: int) -> DataFr
     )
     u = hash_uniform(key_of("entry_id", "version", "sent_idx"))
     order = Window.partitionBy("source").orderBy("u", "entry_id", "version", "sent_idx")
-    # the rank limit is applied in every task before the shuffle, so a large source sends n rows per task
-    return rows.withColumn("u", u).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    # the draws are uniform: counts by their first 12 binary digits tell how far a source's first n can reach
+    drawn = rows.withColumn("u", u).withColumn("_step", F.floor(F.col("u") * 4096))
+    counts = drawn.groupBy("source", "_step").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("source").orderBy("_step")) - F.col("_n")
+    reach = counts.withColumn("_before", before).where(F.col("_before") < n).groupBy("source").agg(F.max("_step").alias("_last"))
+    near = drawn.join(reach.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
+    near = near.where(F.col("_step") <= F.col("_last")).drop("_step", "_last", "_source")
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
 def document_key_rows(docs: DataFrame, text: str, max_tokens: int) -> DataFrame:

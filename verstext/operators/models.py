@@ -1,4 +1,9 @@
-"""Topic and text classification models on content tokens, with Spark ML."""
+"""Topic and text classification models on content tokens, with Spark ML.
+
+Spark ML keeps the vocabulary and the weights of these models on the driver. The only selection
+of terms is the least share of texts that a term must be in, which also bounds the vocabulary: there are at
+most (mean number of distinct terms of a text) / (least share) such terms, however many texts there are.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from verstext.functions.text import content_tokens
 
-VOCABULARY = 1 << 16
+ALL_TERMS = (1 << 31) - 1  # no selection by number
 
 
 def _tokens(df: DataFrame, text: str) -> DataFrame:
@@ -21,7 +26,7 @@ def _tokens(df: DataFrame, text: str) -> DataFrame:
 def topic_model(df: DataFrame, key: str, text: str, topics: int = 20, iterations: int = 10, seed: int = 7):
     """(key, topic, weight) of the strongest topic of each text, and (topic, rank, term) of its words."""
     counter = CountVectorizer(
-        inputCol="tokens", outputCol="features", minDF=0.005, maxDF=0.5, vocabSize=VOCABULARY
+        inputCol="tokens", outputCol="features", minDF=0.005, maxDF=0.5, vocabSize=ALL_TERMS
     )
     pipeline = Pipeline(stages=[counter, LDA(k=topics, maxIter=iterations, seed=seed, optimizer="online")])
     rows = _tokens(df.select(key, text), text)
@@ -29,24 +34,23 @@ def topic_model(df: DataFrame, key: str, text: str, topics: int = 20, iterations
     weights = vector_to_array("topicDistribution")
     scored = model.transform(rows).withColumn("_w", weights).withColumn("weight", F.array_max("_w"))
     topics_of = scored.select(key, (F.array_position("_w", F.col("weight")) - 1).alias("topic"), "weight")
-    vocabulary = F.array(*[F.lit(t) for t in model.stages[0].vocabulary])
+    terms = df.sparkSession.createDataFrame(list(enumerate(model.stages[0].vocabulary)), "_i int, term string")
     words = (
         model.stages[1].describeTopics(10)
         .select("topic", F.posexplode("termIndices").alias("rank", "_i"))
-        .select("topic", "rank", F.get(vocabulary, F.col("_i")).alias("term"))
+        .join(terms, "_i").select("topic", "rank", "term")
     )
     return topics_of, words
 
 
-def tfidf_logistic(df: DataFrame, text: str, label: str, k: int = 50) -> DataFrame:
+def tfidf_logistic(df: DataFrame, text: str, label: str, k: int = 50, least_share: float = 0.0005) -> DataFrame:
     """The k terms with the largest and the k with the smallest coefficient of a TF-IDF classifier."""
-    counter = CountVectorizer(inputCol="tokens", outputCol="counts", minDF=2, vocabSize=VOCABULARY)
+    counter = CountVectorizer(inputCol="tokens", outputCol="counts", minDF=least_share, vocabSize=ALL_TERMS)
     stages = [
         counter, IDF(inputCol="counts", outputCol="features"),
         LogisticRegression(featuresCol="features", labelCol=label, regParam=0.01, maxIter=30),
     ]
     model = Pipeline(stages=stages).fit(_tokens(df.select(text, F.col(label).cast("double")), text))
-    # the vocabulary is at most VOCABULARY terms, and so are the coefficients
     rows = list(zip(model.stages[0].vocabulary, [float(c) for c in model.stages[2].coefficients]))
     terms = df.sparkSession.createDataFrame(rows, "term string, coefficient double")
     top = terms.orderBy(F.desc("coefficient"), "term").limit(k).withColumn("side", F.lit("top"))

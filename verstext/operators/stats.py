@@ -229,7 +229,7 @@ def label_share_by_bin(rows: DataFrame, bin_col: str, label: str) -> DataFrame:
 
 
 def correlation(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Pearson and Spearman correlation of two integer columns.
+    """Pearson and Spearman correlation of two integer columns, from values centred on their means.
 
     Equal value pairs are counted first; ranks come from the distinct values, not from a sort of
     the table in one task.
@@ -239,14 +239,13 @@ def correlation(df: DataFrame, a: str, b: str) -> DataFrame:
     ranked = pairs.join(average_rank(both, a, "_ra"), a).join(average_rank(both, b, "_rb"), b)
 
     def weighted(x, y):
-        x, y, w = F.col(x).cast("double"), F.col(y).cast("double"), F.col("_w")
-        n = F.sum(w)
-        cov = n * F.sum(w * x * y) - F.sum(w * x) * F.sum(w * y)
-        var_x = n * F.sum(w * x * x) - F.sum(w * x) * F.sum(w * x)
-        var_y = n * F.sum(w * y * y) - F.sum(w * y) * F.sum(w * y)
-        return F.try_divide(cov, F.sqrt(var_x) * F.sqrt(var_y))
+        x, y, w = F.col(x), F.col(y), F.col("_w")
+        return F.try_divide(F.sum(w * x * y), F.sqrt(F.sum(w * x * x)) * F.sqrt(F.sum(w * y * y)))
 
-    return ranked.agg(weighted(a, b).alias("pearson"), weighted("_ra", "_rb").alias("spearman"))
+    used = [a, b, "_ra", "_rb"]
+    mean = {c: ranked.agg((F.sum(F.col("_w") * F.col(c).cast("double")) / F.sum("_w")).alias("_m")).scalar() for c in used}
+    centred = ranked.select("_w", *[(F.col(c) - mean[c]).alias(f"_c{i}") for i, c in enumerate(used)])
+    return centred.agg(weighted("_c0", "_c1").alias("pearson"), weighted("_c2", "_c3").alias("spearman"))
 
 
 def tag_transitions(matched: DataFrame, tags: DataFrame, k: int) -> DataFrame:
@@ -340,6 +339,7 @@ def title_counts(versions: DataFrame, k: int) -> DataFrame:
     )
 
 
-def partition_skew(df: DataFrame) -> DataFrame:
-    """Rows per partition."""
-    return df.groupBy(F.spark_partition_id().alias("partition")).agg(F.count(F.lit(1)).alias("n"))
+def partition_skew(df: DataFrame, partition: Column | None = None) -> DataFrame:
+    """Rows per partition: those that Spark has made, or those of a rule given as a column."""
+    number = F.spark_partition_id() if partition is None else partition
+    return df.groupBy(number.alias("partition")).agg(F.count(F.lit(1)).alias("n"))

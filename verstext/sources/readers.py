@@ -15,9 +15,13 @@ def scan_versions(spark: SparkSession, path: str, schema, done: DataFrame | None
     return df
 
 
-def scan_csv(spark: SparkSession, path: str, schema) -> DataFrame:
-    """CSV files, compressed or not, with quoted texts that may hold line breaks."""
-    return spark.read.schema(schema).csv(path, header=True, quote='"', escape='"', multiLine=True)
+def scan_csv(spark: SparkSession, path: str, schema, multi_line: bool = True) -> DataFrame:
+    """CSV files, compressed or not, with quoted texts that may hold line breaks.
+
+    A file with such breaks is read by one task. ``multi_line=False`` lets Spark split plain files
+    whose texts have none; gzip files cannot be split.
+    """
+    return spark.read.schema(schema).csv(path, header=True, quote='"', escape='"', multiLine=multi_line)
 
 
 def scan_json_tolerant(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -31,8 +31,10 @@ def export_payload_json(df: DataFrame, path: str) -> None:
 
 
 def compact_outputs(spark: SparkSession, source: str, target: str, rows_per_file: int) -> None:
-    """Rewrite many small files as few large ones in a new place; nothing is deleted."""
+    """Rewrite many small files as few large ones in a new place; nothing is deleted.
+
+    The number of files, and of the tasks that write them, follows from the number of rows.
+    """
     df = spark.read.parquet(source)
-    df.coalesce(max(1, spark.sparkContext.defaultParallelism)).write.option(
-        "maxRecordsPerFile", rows_per_file
-    ).parquet(target)
+    files = max(1, -(-df.count() // rows_per_file))
+    df.repartition(files).write.option("maxRecordsPerFile", rows_per_file).parquet(target)
