@@ -40,6 +40,8 @@ def planted():
     rows += [(300 + d, passage) for d in range(5)]
     rows += [(400, exact), (401, exact[:-1]), (402, exact + "x"), (403, "a" * 400), (404, "a" * 380 + "b"), (405, "ab" * 200), (406, "b" + "ab" * 100)]
     rows += [(407, None), (408, ""), (None, passage), (409, passage), (409, passage), (-5, line + " and more"), (2**60, text(10) + line)]
+    rows += [(430, "k" + passage[200:270] + "q"), (440, (text(9) + passage[150:400] + text(9)) * 3)]  # one text several times in a document
+    rows += [(450, "k" * 60 + passage[:100] + "q" * 60), (451, ("m" * 90 + passage[30:90] + "n" * 90) * 3)]
     rows += [(500 + d, text(7) + line[5:54] + text(7)) for d in range(20)] + [(600 + d, text(7) + line[5:55] + text(7)) for d in range(20)]
     return rows
 
@@ -69,7 +71,16 @@ def test_index_finds_every_earlier_string(depth):
         for i in range(len(s) - depth + 1):
             first[s[i : i + depth]] = min(first.get(s[i : i + depth], d), d)
     want = [[i for i in range(len(s) - depth + 1) if first[s[i : i + depth]] < d] for s, d in zip(segments, docs.tolist(), strict=True)]
-    assert [f.tolist() for f in sd.match_segments(segments, docs, depth)] == want
+    got = [[] for _ in segments]
+    for s, i in zip(*map(np.ndarray.tolist, sd.match_segments(segments, docs, depth)), strict=True):
+        got[s].append(i)
+    assert [sorted(g) for g in got] == want
+
+
+def test_every_string_covers_a_context():
+    config = sd.RepeatConfig()
+    rest = config.length - config.seed
+    assert all(any(a <= left and b <= rest - left for a, b in config.contexts) for left in range(rest + 1))
 
 
 def test_equal_strings_have_equal_anchors():

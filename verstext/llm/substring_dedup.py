@@ -2,12 +2,12 @@
 
 1. *Anchors.* In every ``length``-byte string the ``seed``-byte string with the smallest hash is an
    anchor. Equal strings have equal anchors at equal places, so only texts around an anchor that
-   several documents have can hold a repeat. Anchors are dealt by hash; the text on both sides of
+   several documents have can hold a repeat. Anchors are dealt by hash; the text on both around of
    an anchor that the strings with this anchor can reach is its segment.
 2. *Classes.* Occurrences with equal segments form a class, which the smallest document stands for:
-   all strings of the other members are repeats. A string reaches at least half of its other bytes
-   to one side of the anchor, so a class shares a string with another only if the bytes next to the
-   anchor, on the left or on the right, agree as well. Only such classes need their text.
+   all strings of the other members are repeats. A string that holds the anchor reaches some bytes
+   to its left and the rest to its right, so a class shares a string with another only if they agree
+   on one of four stretches about the anchor (``contexts``). Only such classes need their text.
 3. *Run-length index.* The segments of these classes are indexed by a Burrows-Wheeler transform,
    stored as runs with samples at the run ends, sorted to a depth of ``length`` bytes and by
    document among equal strings. Runs are also cut where a string of several documents begins, so the
@@ -51,9 +51,10 @@ class RepeatConfig:
         return self.length - self.seed + 1
 
     @property
-    def side(self) -> int:
-        """Bytes that a string has on the left or on the right of its anchor at least."""
-        return (self.length - self.seed + 1) // 2
+    def contexts(self) -> list[tuple[int, int]]:
+        """(left, right) bytes about an anchor: every string that holds the anchor covers one of the four."""
+        bounds = [self.reach * q // 4 for q in range(5)]
+        return [(low, self.length - self.seed - (high - 1)) for low, high in zip(bounds, bounds[1:], strict=False)]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -96,13 +97,13 @@ def sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
 
 
 def find_anchors(text: bytes, hasher: Hasher, config: RepeatConfig):
-    """(place, anchor hash, segment hash, hashes of both neighbours in one number) of the anchors of a text.
+    """(place, anchor hash, segment hash, four context hashes in one number) of the anchors of a text.
 
-    A neighbour is the ``config.side`` bytes next to the anchor; 0 stands for one that does not exist.
+    0 stands for a context that does not fit into the text.
     """
     n, reach = len(text), config.reach
     if n < config.length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     data = np.frombuffer(text, dtype=np.uint8)
     sums = hasher.prefix(data, 0)
     seeds = n - config.seed + 1
@@ -114,12 +115,13 @@ def find_anchors(text: bytes, hasher: Hasher, config: RepeatConfig):
     start, stop = np.maximum(places - (reach - 1), 0), np.minimum(places + config.length, n)
     segment = hasher.ranges(hasher.prefix(data, 1), start, stop)
     segment = mixed(segment + mixed(((places - start) * 64 + (stop - places)).astype(np.uint64)))
-    after = places + config.seed
-    left = mixed(hasher.ranges(sums, np.maximum(places - config.side, 0), places)) >> np.uint64(48) | np.uint64(1)
-    right = mixed(hasher.ranges(sums, after, np.minimum(after + config.side, n))) >> np.uint64(48) | np.uint64(1)
-    left[places < config.side] = 0
-    right[after + config.side > n] = 0
-    return places, hashes[places], segment, (left << np.uint64(16) | right).astype(np.uint32)
+    around = np.zeros(len(places), dtype=np.uint64)
+    for i, (left, right) in enumerate(config.contexts):
+        begin, end = np.maximum(places - left, 0), np.minimum(places + config.seed + right, n)
+        context = mixed(hasher.ranges(sums, begin, end)) >> np.uint64(48) | np.uint64(1)
+        context[end - begin < config.seed + left + right] = 0
+        around |= context << np.uint64(16 * i)
+    return places, hashes[places], segment, around
 
 
 def pack_marks(docs: np.ndarray, at: np.ndarray, more: np.ndarray) -> list[tuple]:
@@ -144,21 +146,21 @@ def anchor_pieces(rows: DataFrame, parts: int, config: RepeatConfig) -> DataFram
 
         def out() -> pa.RecordBatch:
             keys = np.repeat(np.array([k for k, _ in held], dtype=np.int64), [len(a[0]) for _, a in held])
-            at, hashes, segments, sides = (np.concatenate([a[i] for _, a in held]) for i in range(4))
+            at, hashes, segments, around = (np.concatenate([a[i] for _, a in held]) for i in range(4))
             part = (hashes >> np.uint64(16)) % np.uint64(parts)
             order = np.lexsort((at, keys, segments, hashes, part))
-            at, hashes, segments, sides, keys, part = (x[order] for x in (at, hashes, segments, sides, keys, part))
+            at, hashes, segments, around, keys, part = (x[order] for x in (at, hashes, segments, around, keys, part))
             new = np.ones(len(at), dtype=bool)
             new[1:] = (hashes[1:] != hashes[:-1]) | (segments[1:] != segments[:-1])
             smallest = np.repeat(keys[new], np.diff(np.append(np.flatnonzero(new), len(at)))) if len(at) else keys
             again = keys > smallest
             marks = pack_marks(keys[again], at[again], np.full(int(again.sum()), FULL))
-            at, hashes, segments, sides, keys, part = (x[~again] for x in (at, hashes, segments, sides, keys, part))
+            at, hashes, segments, around, keys, part = (x[~again] for x in (at, hashes, segments, around, keys, part))
             cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.zeros(0, np.int64)
             made = []
             for s, e in zip(cut, np.append(cut[1:], len(part)), strict=False):
                 own, number = np.unique(keys[s:e], return_inverse=True)
-                packed = (own, hashes[s:e], segments[s:e], sides[s:e], number.astype("<u4"), at[s:e].astype("<u4"))
+                packed = (own, hashes[s:e], segments[s:e], around[s:e], number.astype("<u4"), at[s:e].astype("<u4"))
                 made.append([int(part[s]), *(x.tobytes() for x in packed), [], [], []])
             if made:
                 made[0][-3:] = [list(c) for c in zip(*marks, strict=True)] or [[], [], []]
@@ -180,43 +182,48 @@ def anchor_pieces(rows: DataFrame, parts: int, config: RepeatConfig) -> DataFram
     return rows.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(PIECE, kinds, strict=True)))
 
 
-PIECE = ["part", "ids", "hash", "segment", "side", "doc", "at", "repeat_key", "repeat_at", "repeat_value"]
+PIECE = ["part", "ids", "hash", "segment", "around", "doc", "at", "repeat_key", "repeat_at", "repeat_value"]
 
 
 def unpack(batch: pd.DataFrame) -> list[np.ndarray]:
-    hashes, segments, sides, at = (
-        np.concatenate([np.frombuffer(b, kind) for b in batch[c]]) for c, kind in (("hash", "<u8"), ("segment", "<u8"), ("side", "<u4"), ("at", "<u4"))
+    hashes, segments, around, at = (
+        np.concatenate([np.frombuffer(b, kind) for b in batch[c]]) for c, kind in (("hash", "<u8"), ("segment", "<u8"), ("around", "<u8"), ("at", "<u4"))
     )
     docs = np.concatenate([np.frombuffer(i, "<i8")[np.frombuffer(d, "<u4")] for i, d in zip(batch["ids"], batch["doc"], strict=True)])
-    return [hashes, segments, sides, docs, at]
+    return [hashes, segments, around, docs, at]
 
 
-def meets_another(hashes: np.ndarray, side: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """Rows whose anchor and neighbour (which must exist) are those of a row of another document as well."""
-    order = np.lexsort((side, hashes))
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (side[order][1:] != side[order][:-1])
-    first = np.flatnonzero(new)
+def meets_another(hashes: np.ndarray, context: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Rows whose anchor and context (which must fit) are those of a row of another document as well.
+
+    Anchor and context are compared by one hash; a chance meeting only asks for a text too many.
+    """
+    both = mixed(hashes + context * MIX)
+    order = np.argsort(both)
+    first = np.flatnonzero(np.concatenate(([True], np.diff(both[order]) != 0)))
     own = docs[order]
     several = np.minimum.reduceat(own, first) < np.maximum.reduceat(own, first)
     out = np.zeros(len(order), dtype=bool)
     out[order] = np.repeat(several, np.diff(np.append(first, len(order))))
-    return out & (side != 0)
+    return out & (context != 0)
 
 
-def classify(hashes, segments, sides, docs, at):
-    """Which anchors lie in a repeated segment, and which stand for a class whose text is needed."""
+def classify(hashes, segments, around, docs, at):
+    """Which anchors lie in a repeated segment, and which need their text.
+
+    The text is needed at all places where the smallest document of a class has it.
+    """
     order = np.lexsort((at, docs, segments, hashes))
-    hashes, segments, sides, docs, at = (x[order] for x in (hashes, segments, sides, docs, at))
+    hashes, segments, around, docs, at = (x[order] for x in (hashes, segments, around, docs, at))
     new_class = np.ones(len(hashes), dtype=bool)
     new_class[1:] = (hashes[1:] != hashes[:-1]) | (segments[1:] != segments[:-1])
     first = np.flatnonzero(new_class)
-    full = docs > np.repeat(docs[first], np.diff(np.append(first, len(docs))))
-    near = meets_another(hashes[first], sides[first] >> np.uint32(16), docs[first])
-    near |= meets_another(hashes[first], sides[first] & np.uint32(0xFFFF), docs[first])
-    ask = np.zeros(len(docs), dtype=bool)
-    ask[first[near]] = True
-    return hashes, docs, at, full, ask
+    sizes = np.diff(np.append(first, len(docs)))
+    full = docs > np.repeat(docs[first], sizes)
+    near = np.zeros(len(first), dtype=bool)
+    for i in range(4):
+        near |= meets_another(hashes[first], around[first] >> np.uint64(16 * i) & np.uint64(0xFFFF), docs[first])
+    return hashes, docs, at, full, ~full & np.repeat(near, sizes)
 
 
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -240,31 +247,35 @@ class RunLengthIndex:
     """Run-length Burrows-Wheeler transform of segments, exact for strings of up to ``depth`` bytes."""
 
     def __init__(self, text: np.ndarray, docs: np.ndarray, depth: int):
-        """``text`` holds byte values plus one, and 0 before, between and after segments."""
+        """``text`` holds byte values plus one, and 0 before, between and after segments, whose documents ascend."""
         n = len(text)
-        rank, span = text.astype(np.int64), 1
-        ranks = {1: rank}
 
-        def joined(left, right, shift):
-            far = np.zeros(n, dtype=np.int64)
-            far[: n - shift] = right[shift:]
-            return np.unique(left * (n + 257) + far, return_inverse=True)[1]
+        def ahead(values: np.ndarray, shift: int) -> np.ndarray:
+            return np.concatenate((values[shift:], np.zeros(min(shift, n), dtype=np.int64)))
 
-        while 2 * span <= depth:
-            rank = joined(rank, rank, span)
+        def dense(values: np.ndarray) -> np.ndarray:
+            return np.unique(values, return_inverse=True)[1] + 1
+
+        span = min(7, depth - 1)  # so many symbols of nine bits fit into one number
+        code = np.zeros(n, dtype=np.int64)
+        for k in range(span):
+            code = code << 9 | ahead(text, k)
+        rank = dense(code)
+        while 2 * span < depth:
+            rank = dense(rank * (n + 2) + ahead(rank, span))
             span *= 2
-            ranks[span] = rank
-        deep = joined(rank, rank, depth - span) if span < depth else rank
-        shorter = joined(rank, rank, depth - 1 - span) if span < depth - 1 else (rank if span == depth - 1 else ranks[span // 2])
-        if span == depth:  # depth is a power of two: the shorter rank overlaps two halves
-            shorter = joined(ranks[span // 2], ranks[span // 2], depth - 1 - span // 2)
-        rows = np.lexsort((docs, deep))
+        # two overlapping ranks order ``depth`` symbols; places ascend with the documents, which settles ties
+        rows = np.argsort(rank * (n + 2) + ahead(rank, depth - span), kind="stable")
+        same = rank[rows][1:] == rank[rows][:-1]
+
+        def starts_of(length: int) -> np.ndarray:
+            tail = ahead(rank, length - span)[rows]
+            return np.flatnonzero(np.concatenate(([True], ~same | (tail[1:] != tail[:-1]))))
+
         self.n = n
         self.depth = depth
         before = text[rows - 1]  # the text begins with 0, so its last byte is 0 too
-        string = deep[rows]
-        new = np.concatenate(([True], string[1:] != string[:-1]))
-        starts = np.flatnonzero(new)
+        starts = starts_of(depth)
         doc = docs[rows]
         several = np.minimum.reduceat(doc, starts) < np.maximum.reduceat(doc, starts)
         cut = np.concatenate(([True], before[1:] != before[:-1]))
@@ -284,8 +295,7 @@ class RunLengthIndex:
         self.smaller = np.cumsum(counts) - counts
         seen = np.bincount(self.run_head, weights=lengths, minlength=258).astype(np.int64)
         self.head_first = np.cumsum(seen) - seen
-        short = shorter[rows]
-        self.short_start = np.flatnonzero(np.concatenate(([True], short[1:] != short[:-1])))
+        self.short_start = starts_of(depth - 1)
         self.short_end = np.append(self.short_start[1:], n)
 
     def rank(self, head: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -314,8 +324,10 @@ class RunLengthIndex:
         return np.where(self.run_start[at] == low, self.sample_doc[at], np.iinfo(np.int64).max)
 
 
-def match_segments(segments: list[bytes], docs: np.ndarray, depth: int) -> list[np.ndarray]:
-    """For each segment the starts of its strings of ``depth`` bytes that a smaller document has."""
+def match_segments(segments: list[bytes], docs: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, start) of every string of ``depth`` bytes that a smaller document has."""
+    order = np.argsort(docs, kind="stable")
+    segments, docs = [segments[i] for i in order.tolist()], docs[order]
     sizes = np.array([len(s) for s in segments], dtype=np.int64)
     text = np.zeros(int(sizes.sum()) + len(segments) + 1, dtype=np.int64)
     ends = np.cumsum(sizes + 1)  # place of the 0 after each segment
@@ -327,15 +339,16 @@ def match_segments(segments: list[bytes], docs: np.ndarray, depth: int) -> list[
     index = RunLengthIndex(text, owner, depth)
     low, high = np.zeros(len(segments), np.int64), np.full(len(segments), index.n)
     match = np.zeros(len(segments), np.int64)
-    found: list[list[int]] = [[] for _ in segments]
+    which, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for back in range(1, int(sizes.max()) + 1):
         live = np.flatnonzero(sizes >= back)
         head = text[ends[live] - back]
         low[live], high[live], match[live] = index.step(low[live], high[live], match[live], head)
         at = live[match[live] >= depth]
-        for s in at[index.smallest_doc(low[at]) < docs[at]]:
-            found[s].append(int(sizes[s]) - back)
-    return [np.array(sorted(f), dtype=np.int64) for f in found]
+        at = at[index.smallest_doc(low[at]) < docs[at]]
+        which.append(at)
+        starts.append(sizes[at] - back)
+    return order[np.concatenate(which)], np.concatenate(starts)
 
 
 def cut_segments(asked: DataFrame, parts: int, config: RepeatConfig) -> DataFrame:
@@ -363,13 +376,11 @@ def second_round(segments: DataFrame, config: RepeatConfig) -> DataFrame:
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         docs, at, left = (rows[c].to_numpy() for c in ("key", "at", "left"))
-        found = match_segments(rows["segment"].tolist(), docs, config.length)
+        which, starts = match_segments(rows["segment"].tolist(), docs, config.length)
         bits = np.zeros(len(rows), dtype=np.uint64)
-        for i, starts in enumerate(found):  # bit b: the string that begins reach - 1 - b bytes before the anchor
-            for s in starts.tolist():
-                shift = left[i] + s - (at[i] - config.reach + 1)
-                if 0 <= shift < config.reach:
-                    bits[i] |= np.uint64(1) << np.uint64(shift)
+        shift = left[which] + starts - (at[which] - config.reach + 1)
+        own = (shift >= 0) & (shift < config.reach)  # bit b: the string that begins reach - 1 - b bytes before the anchor
+        np.bitwise_or.at(bits, which[own], np.uint64(1) << shift[own].astype(np.uint64))
         hit = bits > 0
         marks = [(0, *row) for row in pack_marks(docs[hit], at[hit], bits[hit])]
         return pd.DataFrame(marks, columns=["kind", "key", "at", "value"])
@@ -396,8 +407,8 @@ def remove_repeats(docs: DataFrame, config: RepeatConfig = RepeatConfig(), key:
     ``removed`` lists the maximal runs of removed bytes as (start, stop) and ``kept`` is the rest of
     the text. A byte goes if a string of ``length`` bytes that covers it also starts in a row with a smaller
     key, judged on the input. NULL and empty texts lose nothing. A row with a NULL key loses
-    nothing and is no source; rows with equal keys are no sources for each other. Keys must be integers. An empty table
-    gives an empty result.
+    nothing and is no source; rows with equal keys are no sources for each other and are taken to be copies of one
+    text. Keys must be integers. An empty table gives an empty result.
     """
     whole = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     rows = whole.where(F.col("key").isNotNull()).withColumn("key", F.col("key").cast("long"))
