@@ -375,12 +375,16 @@ def second_round(segments: DataFrame, config: RepeatConfig) -> DataFrame:
     """``kind, key, at, value``: for every segment the bits of its repeated strings."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        docs, at, left = (rows[c].to_numpy() for c in ("key", "at", "left"))
-        which, starts = match_segments(rows["segment"].tolist(), docs, config.length)
-        bits = np.zeros(len(rows), dtype=np.uint64)
-        shift = left[which] + starts - (at[which] - config.reach + 1)
+        docs, at = rows["key"].to_numpy(), rows["at"].to_numpy()
+        rows["before"] = rows["at"] - rows["left"]
+        once = rows.groupby(["key", "before", "segment"], sort=False).ngroup().to_numpy()  # a text that a document has several times
+        first = np.unique(once, return_index=True)[1]
+        which, starts = match_segments(rows["segment"].iloc[first].tolist(), docs[first], config.length)
+        found = np.zeros(len(first), dtype=np.uint64)
+        shift = starts - rows["before"].to_numpy()[first][which] + config.reach - 1
         own = (shift >= 0) & (shift < config.reach)  # bit b: the string that begins reach - 1 - b bytes before the anchor
-        np.bitwise_or.at(bits, which[own], np.uint64(1) << shift[own].astype(np.uint64))
+        np.bitwise_or.at(found, which[own], np.uint64(1) << shift[own].astype(np.uint64))
+        bits = found[once]
         hit = bits > 0
         marks = [(0, *row) for row in pack_marks(docs[hit], at[hit], bits[hit])]
         return pd.DataFrame(marks, columns=["kind", "key", "at", "value"])
