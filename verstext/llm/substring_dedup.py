@@ -395,11 +395,11 @@ def second_round(segments: DataFrame, config: RepeatConfig) -> DataFrame:
 def repeated(n: int, at: list[bytes], values: list[bytes], config: RepeatConfig) -> np.ndarray:
     """Which of the ``n`` bytes are covered by a marked string."""
     places = np.frombuffer(b"".join(at), "<u4").astype(np.int64) - config.reach + 1
-    bits = np.frombuffer(b"".join(values), "<u8")
+    bits = np.unpackbits(np.frombuffer(b"".join(values), np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    mark, shift = np.nonzero(bits[:, : config.reach])
+    start = places[mark] + shift
     begins = np.zeros(n, dtype=bool)
-    for b in range(config.reach):
-        start = places[(bits >> np.uint64(b)) & np.uint64(1) > 0] + b
-        begins[start[(start >= 0) & (start + config.length <= n)]] = True
+    begins[start[(start >= 0) & (start + config.length <= n)]] = True
     begun = np.cumsum(begins)  # a byte goes if a marked string begins in the ``length`` places up to it
     begun[config.length :] -= begun[: -config.length].copy()
     return begun > 0
