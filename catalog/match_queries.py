@@ -148,16 +148,33 @@ def _edges(v: Views):
     return align.attach_sentences(v.matched, v.sentences).where("sentence_x IS NOT NULL AND sentence_y IS NOT NULL")
 
 
-@query("shared_kgram_coverage", with_ctes("matched sentences", EDGES_SQL + f"""
-    , g AS (SELECT *, list_transform(range(1, len(tx)), lambda i: tx[i] || ' ' || tx[i + 1]) AS gx,
-                   list_transform(range(1, len(ty)), lambda i: ty[i] || ' ' || ty[i + 1]) AS gy FROM edges),
-    c AS (SELECT {EDGE_COLS}, len(tx) AS nx, len(ty) AS ny,
-      len(list_filter(range(1, len(tx) + 1), lambda i: (i < len(tx) AND list_contains(gy, gx[i])) OR (i > 1 AND list_contains(gy, gx[i - 1])))) AS cx,
-      len(list_filter(range(1, len(ty) + 1), lambda i: (i < len(ty) AND list_contains(gx, gy[i])) OR (i > 1 AND list_contains(gx, gy[i - 1])))) AS cy FROM g)
-    SELECT {EDGE_COLS}, round(cx / nullif(nx, 0), 6) AS coverage_x, round(cy / nullif(ny, 0), 6) AS coverage_y FROM c"""))
-def shared_kgram_coverage(v: Views):
-    out = grams.shared_kgram_coverage(_edges(v), EDGE, "sentence_x", "sentence_y", 2)
-    return _rounded(out, "coverage_x", "coverage_y")
+def _runs_sql(k: int) -> str:
+    """Tables e(keys, side, i, g), one row for each run of ``k`` tokens, and n(keys, tx, ty)."""
+    run = " || ' ' || ".join(f"t[i + {j}]" for j in range(k))
+    return EDGES_SQL + f"""
+    , n AS (SELECT {EDGE_COLS}, len(tx) AS nx, len(ty) AS ny FROM edges),
+    l AS (SELECT {EDGE_COLS}, 'x' AS side, tx AS t FROM edges UNION ALL SELECT {EDGE_COLS}, 'y', ty FROM edges),
+    e AS (SELECT {EDGE_COLS}, side, i, {run} AS g FROM (SELECT *, unnest(range(1, len(t) - {k} + 2)) AS i FROM l))"""
+
+
+def _coverage_sql(k: int) -> str:
+    spots = " UNION ".join(f"SELECT {EDGE_COLS}, side, i + {j} AS i FROM hit" for j in range(k))
+    return with_ctes("matched sentences", _runs_sql(k) + f"""
+    , hit AS (SELECT * FROM e WHERE ({EDGE_COLS}, g) IN (SELECT ({EDGE_COLS}, g) FROM e GROUP BY ALL HAVING count(DISTINCT side) = 2)),
+    c AS (SELECT {EDGE_COLS}, count(*) FILTER (side = 'x') AS cx, count(*) FILTER (side = 'y') AS cy FROM ({spots}) GROUP BY ALL)
+    SELECT {EDGE_COLS}, round(coalesce(cx, 0) / nullif(nx, 0), 6) AS coverage_x,
+           round(coalesce(cy, 0) / nullif(ny, 0), 6) AS coverage_y FROM n LEFT JOIN c USING ({EDGE_COLS})""")
+
+
+def _coverage(k: int):
+    def run(v: Views):
+        return _rounded(grams.shared_kgram_coverage(_edges(v), EDGE, "sentence_x", "sentence_y", k), "coverage_x", "coverage_y")
+
+    return run
+
+
+for _k, _name in ((1, "shared_token_coverage"), (2, "shared_kgram_coverage"), (3, "shared_trigram_coverage"), (4, "shared_4gram_coverage")):
+    query(_name, _coverage_sql(_k))(_coverage(_k))
 
 
 FOLD = f"regexp_replace(translate(%s, '{tx.ACCENTED}', '{tx.PLAIN}'), '[^\\x00-\\x7F]', '', 'g')"
@@ -189,18 +206,39 @@ def token_bag_ratio(v: Views):
     return _rounded(grams.token_bag_ratio(_edges(v), EDGE, "sentence_x", "sentence_y"), "ratio")
 
 
-@query("ngram_precision_similarity", with_ctes("matched sentences", EDGES_SQL + f"""
-    , g AS (SELECT {EDGE_COLS}, len(tx) AS nx, len(ty) AS ny, tx, ty,
-                   list_transform(range(1, len(tx)), lambda i: tx[i] || ' ' || tx[i + 1]) AS gx,
-                   list_transform(range(1, len(ty)), lambda i: ty[i] || ' ' || ty[i + 1]) AS gy FROM edges),
-    p AS (SELECT *,
-        list_sum(list_transform(list_distinct(tx), lambda g: least(len(list_filter(tx, lambda h: h = g)), len(list_filter(ty, lambda h: h = g))))) / nullif(len(tx), 0) AS p1,
-        list_sum(list_transform(list_distinct(gx), lambda g: least(len(list_filter(gx, lambda h: h = g)), len(list_filter(gy, lambda h: h = g))))) / nullif(len(gx), 0) AS p2
-      FROM g)
-    SELECT {EDGE_COLS}, round(coalesce(CASE WHEN p1 > 0 AND p2 > 0 AND ny > 0
-        THEN least(1.0, exp(1 - ny / nx)) * exp(0.5 * ln(p1) + 0.5 * ln(p2)) END, 0.0), 6) AS score FROM p"""))
-def ngram_precision_similarity(v: Views):
-    return _rounded(grams.ngram_precision(_edges(v), EDGE, "sentence_x", "sentence_y", (0.5, 0.5)), "score")
+def _precision_sql(weights: tuple[float, ...]) -> str:
+    used = [(k, w) for k, w in enumerate(weights, start=1) if w > 0]
+    parts = [
+        f"SELECT {EDGE_COLS}, {k} AS k, sum(least(a, b)) / sum(a) AS p FROM (SELECT {EDGE_COLS}, g, count(*) FILTER (side = 'x') AS a, "
+        f"count(*) FILTER (side = 'y') AS b FROM e{k} GROUP BY ALL) GROUP BY ALL HAVING sum(least(a, b)) > 0"
+        for k, _ in used
+    ]
+    runs = [
+        f"e{k} AS (SELECT {EDGE_COLS}, side, " + " || ' ' || ".join(f"t[i + {j}]" for j in range(k))
+        + f" AS g FROM (SELECT *, unnest(range(1, len(t) - {k} + 2)) AS i FROM l))" for k, _ in used
+    ]
+    weight = "CASE k " + " ".join(f"WHEN {k} THEN {w!r}" for k, w in used) + " END"
+    return with_ctes("matched sentences", EDGES_SQL + f"""
+    , n AS (SELECT {EDGE_COLS}, len(tx) AS nx, len(ty) AS ny FROM edges),
+    l AS (SELECT {EDGE_COLS}, 'x' AS side, tx AS t FROM edges UNION ALL SELECT {EDGE_COLS}, 'y', ty FROM edges), {", ".join(runs)},
+    p AS ({" UNION ALL ".join(parts)}),
+    s AS (SELECT {EDGE_COLS}, exp(sum({weight} * ln(p))) AS m FROM p GROUP BY ALL HAVING count(*) = {len(used)})
+    SELECT {EDGE_COLS}, round(CASE WHEN ny > 0 THEN coalesce(least(1.0, exp(1 - ny / nx)) * m, 0.0) ELSE 0.0 END, 6) AS score
+    FROM n LEFT JOIN s USING ({EDGE_COLS})""")
+
+
+def _precision(weights: tuple[float, ...]):
+    def run(v: Views):
+        return _rounded(grams.ngram_precision(_edges(v), EDGE, "sentence_x", "sentence_y", weights), "score")
+
+    return run
+
+
+for _name, _weights in (
+    ("unigram_precision_similarity", (1.0,)), ("bigram_precision_similarity", (0.0, 1.0)), ("trigram_precision_similarity", (0.0, 0.0, 1.0)),
+    ("ngram_precision_similarity", (0.5, 0.5)), ("mixed_precision_similarity", (0.33, 0.33, 0.34)),
+):
+    query(_name, _precision_sql(_weights))(_precision(_weights))
 
 
 @query("changed_headline_entries", with_ctes("entryversion", """

@@ -1,4 +1,8 @@
-"""Similarity of matched sentence pairs by shared token runs."""
+"""Similarity of matched sentence pairs by shared token runs.
+
+The runs of both sides are spread into rows and counted by (pair, run), so the work grows with the
+number of tokens and not with its square. Pairs with equal tokens are settled without spreading.
+"""
 
 from __future__ import annotations
 
@@ -7,53 +11,66 @@ from pyspark.sql import Column, DataFrame, functions as F
 from verstext.functions import text as tx
 
 
-def shared_kgram_coverage(pairs: DataFrame, keys: list[str], x: str, y: str, k: int) -> DataFrame:
-    """Share of each side's tokens that lie in a run of ``k`` tokens the other side has too.
+def _tokenised(pairs: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    return pairs.select(*keys, tx.tokens(x).alias("tx"), tx.tokens(y).alias("ty"))
 
-    The comparison of one pair of sentences needs that pair only, so it stays inside its row.
-    """
-    rows = pairs.select(*keys, tx.tokens(x).alias("tx"), tx.tokens(y).alias("ty"))
-    rows = rows.withColumn("gx", tx.ngrams(F.col("tx"), k)).withColumn("gy", tx.ngrams(F.col("ty"), k))
 
-    def covered(own, other):
-        starts = F.filter(
-            F.transform(own, lambda g, i: F.when(F.array_contains(other, g), i)), lambda i: i.isNotNull()
-        )
-        spots = F.flatten(F.transform(starts, lambda i: F.sequence(i, i + (k - 1))))
-        return F.size(F.array_distinct(spots))
+def shared_kgram_coverage(pairs: DataFrame, keys: list[str], x: str, y: str, k: int) -> DataFrame:
+    """Share of each side's tokens that lie in a run of ``k`` tokens the other side has too; NULL for an empty side."""
+    rows = _tokenised(pairs, keys, x, y)
+    same = F.col("tx") == F.col("ty")
+    whole = F.when(F.size("tx") > 0, (F.size("tx") >= k).cast("double"))
+    equal = rows.where(same).select(*keys, whole.alias("coverage_x"), whole.alias("coverage_y"))
 
-    return rows.select(
-        *keys,
-        F.try_divide(covered(F.col("gx"), F.col("gy")), F.size("tx")).alias("coverage_x"),
-        F.try_divide(covered(F.col("gy"), F.col("gx")), F.size("ty")).alias("coverage_y"),
-    )
+    def runs(side: str) -> Column:
+        return F.transform(tx.ngrams(F.col(f"t{side}"), k), lambda g, i: F.struct(g.alias("g"), F.lit(side).alias("side"), i.alias("i")))
 
+    other = rows.where(~same)
+    spread = other.select(*keys, F.explode(F.concat(runs("x"), runs("y"))).alias("_r")).select(*keys, "_r.*")
+    at = [F.collect_list(F.when(F.col("side") == side, F.col("i"))).alias(f"at_{side}") for side in "xy"]
+    shared = spread.groupBy(*keys, "g").agg(*at).where((F.size("at_x") > 0) & (F.size("at_y") > 0))
+    places = shared.groupBy(*keys).agg(*[F.sort_array(F.flatten(F.collect_list(f"at_{side}"))).alias(f"at_{side}") for side in "xy"])
 
-def _clipped(own: Column, other: Column) -> Column:
-    """Runs of ``own`` counted at most as often as they occur in ``other``."""
-    def times(grams, g):
-        return F.size(F.filter(grams, lambda h: h == g))
+    def covered(side: str) -> Column:
+        # a run that begins at i covers k tokens, or those up to where the next run begins
+        steps = F.transform(f"at_{side}", lambda p, i: F.coalesce(F.least(F.get(f"at_{side}", i + 1) - p, F.lit(k)), F.lit(k)))
+        n = F.aggregate(steps, F.lit(0), lambda acc, s: acc + s)
+        return F.try_divide(F.coalesce(n, F.lit(0)), F.size(f"t{side}"))
 
-    counts = F.transform(F.array_distinct(own), lambda g: F.least(times(own, g), times(other, g)))
-    return F.aggregate(counts, F.lit(0), lambda acc, c: acc + c)
+    joined = other.join(places, keys, "left")
+    return equal.unionByName(joined.select(*keys, covered("x").alias("coverage_x"), covered("y").alias("coverage_y")))
 
 
 def ngram_precision(pairs: DataFrame, keys: list[str], x: str, y: str, weights: tuple[float, ...]) -> DataFrame:
     """Clipped n-gram precision of ``x`` against ``y`` with a brevity penalty.
 
-    A run size without any match makes the score zero, as does an empty side.
+    Runs of ``x`` count at most as often as they occur in ``y``. A run size with a weight above zero
+    and without any match makes the score zero, as does an empty side.
     """
-    rows = pairs.select(*keys, tx.tokens(x).alias("tx"), tx.tokens(y).alias("ty"))
+    sizes = [n for n, w in enumerate(weights, start=1) if w > 0]
+    rows = _tokenised(pairs, keys, x, y)
+    same = F.col("tx") == F.col("ty")
+    equal = rows.where(same).select(*keys, (F.size("tx") >= max(sizes)).cast("double").alias("score"))
+    other = rows.where(~same)
+
+    def runs(side: str, n: int) -> Column:
+        mine = tx.ngrams(F.col(f"t{side}"), n)
+        return F.transform(
+            mine, lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"), F.lit(int(side == "x")).alias("x"), F.lit(int(side == "y")).alias("y"))
+        )
+
+    every = F.concat(*[runs(side, n) for n in sizes for side in "xy"])
+    spread = other.select(*keys, F.explode(every).alias("_r")).select(*keys, "_r.*")
+    counts = spread.groupBy(*keys, "n", "g").agg(F.sum("x").alias("cx"), F.sum("y").alias("cy"))
+    clipped = [F.sum(F.when(F.col("n") == n, F.least("cx", "cy"))).alias(f"c{n}") for n in sizes]
+    joined = other.join(counts.groupBy(*keys).agg(*clipped), keys, "left")
     total = F.lit(0.0)
+    for n in sizes:
+        precision = F.try_divide(F.col(f"c{n}"), F.greatest(F.size("tx") - (n - 1), F.lit(0)))
+        total = total + F.lit(weights[n - 1]) * F.log(F.when(precision > 0, precision))
     usable = (F.size("tx") > 0) & (F.size("ty") > 0)
-    for n, w in enumerate(weights, start=1):
-        rows = rows.withColumn(f"gx{n}", tx.ngrams(F.col("tx"), n)).withColumn(f"gy{n}", tx.ngrams(F.col("ty"), n))
-        clipped = _clipped(F.col(f"gx{n}"), F.col(f"gy{n}"))
-        rows = rows.withColumn(f"p{n}", F.try_divide(clipped, F.size(f"gx{n}")))
-        if w > 0:
-            total = total + F.lit(w) * F.log(F.when(F.col(f"p{n}") > 0, F.col(f"p{n}")))
     penalty = F.least(F.lit(1.0), F.exp(1 - F.size("ty") / F.when(usable, F.size("tx"))))
-    return rows.select(*keys, F.coalesce(penalty * F.exp(total), F.lit(0.0)).alias("score"))
+    return equal.unionByName(joined.select(*keys, F.coalesce(penalty * F.exp(total), F.lit(0.0)).alias("score")))
 
 
 def token_bag_ratio(pairs: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
