@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("source", "ingest", "text", "match", "diff", "label", "stats", "sample", "stream", "model")
+FAMILIES = ("source", "ingest", "text", "match", "diff", "label", "stats", "sample", "stream", "model", "job")
 
 
 def load():

@@ -202,6 +202,37 @@ def parse_logs(v: Views):
     return evaluate.parse_logs(v.spark.read.text(path))
 
 
+@query("parse_evaluations", """
+    SELECT CAST(event_id AS DOUBLE) AS step, value AS eval_loss, event_type = 'view' AS no_f1 FROM events""")
+def parse_evaluations(v: Views):
+    path = v.scratch("evaluations")
+    f1 = F.when(F.col("event_type") == "view", "nan").otherwise("0.5")
+    line = F.concat(F.lit("INFO done {'eval_loss': "), F.col("value").cast("string"), F.lit(", 'f1': "), f1, F.lit(", 'step': "),
+                    F.col("event_id").cast("string"), F.lit("}"))
+    v.events.select(F.explode(F.array(line, F.lit("INFO {'loss': 1}"))).alias("value")).write.text(path)
+    rows = evaluate.parse_evaluations(v.spark.read.text(path))
+    return rows.select("scores.step", "scores.eval_loss", F.col("scores.f1").isNull().alias("no_f1"))
+
+
+@query("parse_parameters", """
+    SELECT doc_id, lang, CAST(n_chars AS VARCHAR) AS n_chars, doc_id % 2 = 0 AS has_block
+    FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang END AS lang, CASE WHEN doc_id % 2 = 0 THEN n_chars END AS n_chars FROM documents)""")
+def parse_parameters(v: Views):
+    block = F.concat(F.lit("MODEL PARAMS: \n{\n  "), F.expr("substring(to_json(struct(lang, n_chars)), 2)"))
+    block = F.concat(F.regexp_replace(block, r"\}$", "\n}"), F.lit("\nepoch 1 {}\n"))
+    logs = v.documents.select("doc_id", F.concat(F.lit("start\n"), F.when(F.col("doc_id") % 2 == 0, block).otherwise("no block\n")).alias("value"))
+    rows = evaluate.parse_parameters(logs, ["doc_id"])
+    return rows.select("doc_id", "params.lang", "params.n_chars", F.col("params").isNotNull().alias("has_block"))
+
+
+@query("parse_predictions", """
+    SELECT quality AS pred, doc_id || ', 0' AS doc_id, toxic AS y_true FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL""")
+def parse_predictions(v: Views):
+    line = F.concat(F.lit("["), F.col("quality").cast("string"), F.lit("] ("), F.col("doc_id").cast("string"), F.lit(", 0) {'y':"),
+                    F.col("toxic").cast("string"), F.lit("}"))
+    return evaluate.parse_predictions(v.labels_table.select(F.explode(F.array(line, F.lit("epoch [1]"))).alias("value")).where("value IS NOT NULL"))
+
+
 KINDS = ["click", "error", "purchase", "signup", "view"]
 
 

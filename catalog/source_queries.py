@@ -75,6 +75,16 @@ def save_table(v: Views):
     return v.spark.table(name).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("replace_table", with_ctes("sentences", """
+    SELECT source, entry_id, version, sent_idx, md5(sentence) AS sentence_md5 FROM sentences"""))
+def replace_table(v: Views):
+    name = f"sentences_{uuid.uuid4().hex}"
+    writers.save_table(v.sentences.where("sent_idx = 0"), name, v.scratch("table"), "overwrite")
+    writers.save_table(v.sentences, f"{name}_v2", v.scratch("table"), "overwrite")
+    writers.replace_table(v.spark, f"{name}_v2", name)
+    return v.spark.table(name).select("source", "entry_id", "version", "sent_idx", F.md5(F.col("sentence")).alias("sentence_md5"))
+
+
 @query("export_tsv", with_ctes("sentences", r"""
     SELECT source AS label, regexp_replace(sentence, '[\t\r\n]+', ' ', 'g') AS text,
            CAST(entry_id AS VARCHAR) AS doc_id, CAST(sent_idx AS VARCHAR) AS sent_id FROM sentences"""))

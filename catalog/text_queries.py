@@ -76,6 +76,45 @@ def dateline(v: Views):
     return sent.split_dateline(rows, "t").select("doc_id", "dateline", "body")
 
 
+@query("dateline_places", """
+    SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND NOT contains(n_name, ' ') THEN 'Near ' || n_name_init || ' today' END AS dateline
+    FROM (SELECT doc_id, n_name, upper(substr(n_name, 1, 1)) || lower(substr(n_name, 2)) AS n_name_init
+          FROM documents JOIN nation ON n_nationkey = doc_id % 25)""")
+def dateline_places(v: Views):
+    nation = v.table("nation")
+    names = nation.agg(F.collect_set(F.lower("n_name"))).scalar()
+    near = F.concat(F.upper(F.substring("n_name", 1, 1)), F.lower(F.expr("substring(n_name, 2)")))
+    head = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Near "), near, F.lit(" today"))).otherwise(F.lit("Far from here"))
+    rows = v.documents.join(nation, F.col("n_nationkey") == F.col("doc_id") % 25)
+    rows = rows.select("doc_id", F.concat(head, F.lit(" — "), "text").alias("t")).withColumn("places", names)
+    return sent.split_dateline(rows, "t", dashes=("—",), places=F.col("places")).select("doc_id", "dateline")
+
+
+_MARKED_SQL = "CASE sent_idx % 4 WHEN 1 THEN '1. ' WHEN 2 THEN '(a) iv. ' WHEN 3 THEN '(' || sent_idx || ') b. (ii) ' ELSE '' END || sentence"
+
+
+def _marks_sql(column: str) -> str:
+    for mark in tx.LIST_MARKS:
+        column = f"regexp_replace({column}, '{mark.replace('WORD', '[' + chr(92) + 'p{L}' + chr(92) + 'p{N}_]')}', '', 'g')"
+    return column
+
+
+@query("strip_list_marks", with_ctes("sentences", f"""
+    , t AS (SELECT entry_id, version, sent_idx, {_MARKED_SQL} AS text FROM sentences),
+    passes AS (WITH RECURSIVE r AS (
+        SELECT entry_id, version, sent_idx, text, {_marks_sql('text')} AS next FROM t
+        UNION ALL SELECT entry_id, version, sent_idx, next, {_marks_sql('next')} FROM r WHERE next <> text)
+      SELECT * FROM r)
+    SELECT entry_id, version, sent_idx, text FROM passes WHERE next = text"""))
+def strip_list_marks(v: Views):
+    kind = F.col("sent_idx") % 4
+    mark = (
+        F.when(kind == 1, "1. ").when(kind == 2, "(a) iv. ")
+        .when(kind == 3, F.concat(F.lit("("), F.col("sent_idx").cast("string"), F.lit(") b. (ii) "))).otherwise("")
+    )
+    return v.sentences.select("entry_id", "version", "sent_idx", tx.strip_list_marks(F.concat(mark, "sentence")).alias("text"))
+
+
 @query("words", with_ctes("words", """
     SELECT entry_id, version, sent_idx, word_idx, token, CAST(num_words AS INTEGER) AS num_words FROM words"""))
 def words(v: Views):

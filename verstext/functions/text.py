@@ -1,8 +1,12 @@
-"""Column functions on text. All run inside the JVM."""
+"""Column functions on text. All but one run inside the JVM."""
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 SENTENCE_BREAK = r"[.!?]\s+"
 PARAGRAPH_BREAK = "</p><p>"
@@ -145,21 +149,53 @@ def is_boilerplate(
     return any_of(rules) | in_phrases
 
 
-def dateline(text, dash: str = "—", max_tokens: int = 6) -> Column:
-    """Short upper-case place line before the first dash, or NULL."""
+def dateline(text, dash: str = "—", max_tokens: int = 6, places: Column | None = None) -> Column:
+    """Short place line before the first dash, or NULL.
+
+    A line is one if it has a word in upper case or, where ``places`` (an array of lower-case names)
+    is given, a word that is one of these names.
+    """
     t = as_column(text)
     head = F.substring_index(t, dash, 1)
     short = F.size(raw_tokens(head)) < max_tokens
-    shouted = F.exists(
+    named = F.exists(
         raw_tokens(head), lambda w: (F.upper(w) == w) & (F.lower(w) != w)
     )
-    return F.when(t.contains(dash) & short & shouted, F.trim(head))
+    if places is not None:
+        named = named | F.arrays_overlap(content_tokens(head), places)
+    return F.when(t.contains(dash) & short & named, F.trim(head))
+
+
+_BLANK = r"[ \t\r\n\f\v]"
+# a number in Roman numerals: thousands, hundreds, tens, ones, at least one of them
+ROMAN = (
+    "(?:M+(?:CM|CD|D?C{0,3})(?:XC|XL|L?X{0,3})(?:IX|IV|V?I{0,3})|(?:CM|CD|DC{0,3}|C{1,3})(?:XC|XL|L?X{0,3})(?:IX|IV|V?I{0,3})"
+    "|(?:XC|XL|LX{0,3}|X{1,3})(?:IX|IV|V?I{0,3})|(?:IX|IV|VI{0,3}|I{1,3}))"
+)
+# marks of numbered lists: Roman numerals, "A.", "(A)", in this order
+LIST_MARKS = (
+    rf"(?i)(?:{_BLANK}|\(){ROMAN}(?:{_BLANK}|\))", rf"^{_BLANK}*WORD+\.{_BLANK}*", rf"{_BLANK}*\(WORD+\){_BLANK}*",
+)
+
+
+@F.pandas_udf(StringType())
+def strip_list_marks(texts: pd.Series) -> pd.Series:
+    """Texts without marks of numbered lists; removal goes on until nothing is left to remove."""
+    marks = [re.compile(m.replace("WORD", r"\w")) for m in LIST_MARKS]
+
+    def strip(text: str | None) -> str | None:
+        before = None
+        while text is not None and text != before:
+            before = text
+            for mark in marks:
+                text = mark.sub("", text)
+        return text
+
+    return texts.map(strip, na_action="ignore")
 
 
 def highlight(text, terms, front: str = "<m>", back: str = "</m>") -> Column:
     """Wrap each occurrence of a term, whatever its case."""
-    import re
-
     pattern = "(?i)(" + "|".join(re.escape(t) for t in terms) + ")"
     return F.regexp_replace(as_column(text), pattern, f"{front}$1{back}")
 

@@ -164,6 +164,37 @@ def parse_logs(lines: DataFrame) -> DataFrame:
     ).select("level", "step", "_b.metric", "_b.score")
 
 
+EVALUATION = "{'eval_loss"
+
+
+def _json(literal) -> Column:
+    """JSON text of a written-out dictionary of plain values."""
+    quoted = F.regexp_replace(literal, "'", '"')
+    for word, value in (("True", "true"), ("False", "false"), ("None|nan", "null")):
+        quoted = F.regexp_replace(quoted, rf"(?<![\w\"])(?:{word})(?![\w\"])", value)
+    return quoted
+
+
+def parse_evaluations(lines: DataFrame) -> DataFrame:
+    """``scores``, a map of metric to value, of every log line that holds evaluation results."""
+    found = lines.where(F.col("value").contains(EVALUATION))
+    body = F.expr(f"""substring(value, instr(value, "{EVALUATION}"))""")
+    return found.select(F.from_json(_json(body), "map<string, double>").alias("scores"))
+
+
+def parse_parameters(logs: DataFrame, keys: list[str], text: str = "value") -> DataFrame:
+    """``params``, a map of name to value, of the block of parameters in each whole log; NULL without one."""
+    block = F.regexp_extract(text, r"(?s)MODEL PARAMS:[^\n]*\n(\{.*?\n\})", 1)
+    return logs.select(*keys, F.when(block != "", F.from_json(block, "map<string, string>")).alias("params"))
+
+
+def parse_predictions(lines: DataFrame) -> DataFrame:
+    """``pred``, ``doc_id`` and ``y_true`` of lines such as ``[1] (12, 3) {label:0}``; other lines are dropped."""
+    parts = [F.regexp_extract("value", r"^\[(-?\d+)\].*?\((.*)\).*?:(\d+)\}", k) for k in (1, 2, 3)]
+    rows = lines.select(parts[0].alias("pred"), parts[1].alias("doc_id"), parts[2].alias("y_true")).where("pred <> ''")
+    return rows.select(F.col("pred").cast("int").alias("pred"), "doc_id", F.col("y_true").cast("int").alias("y_true"))
+
+
 def results_pivot(scores: DataFrame, trial: str, metric: str, score: str, metrics: list[str]) -> DataFrame:
     """One row per trial with a column per metric."""
     return scores.groupBy(trial).pivot(metric, metrics).agg(F.max(score))

@@ -50,12 +50,10 @@ def url_part(url, k: int) -> Column:
     return F.split_part(url, F.lit("/"), F.lit(k))
 
 
-def eligible_versions(df: DataFrame, low: int = MIN_VERSIONS, high: int = MAX_VERSIONS) -> DataFrame:
-    """Versions of entries with low < n < high versions and a text that is not blank."""
-    return df.where(
-        (F.col("num_versions") > low) & (F.col("num_versions") < high)
-        & F.col("summary").isNotNull() & (F.trim("summary") != "")
-    )
+def eligible_versions(df: DataFrame, low: int = MIN_VERSIONS, high: int | None = MAX_VERSIONS) -> DataFrame:
+    """Versions of entries with low < n < high versions (no upper bound if None) and a text that is not blank."""
+    rows = df.where((F.col("num_versions") > low) & F.col("summary").isNotNull() & (F.trim("summary") != ""))
+    return rows if high is None else rows.where(F.col("num_versions") < high)
 
 
 def only_new_entries(df: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,16 +9,16 @@ first differ at exactly one digit, so at that digit, among the edges that agree
 digits, an edge with digit 0 is crossed by the edges with digit 1 that come before it in x. One
 running count per digit replaces the pairs, ``E log E`` rows instead of ``E * E``.
 
-Removal runs on all pairs of versions at once. An edge that beats every edge it crosses will be
-removed before any of them whatever happens elsewhere, so all such edges go in one round. The
-outcome equals that of removing one edge at a time.
+Crossing edges are cut into components first: in x order a component ends where no later edge has a
+smaller y. Removal in one component never touches another, so each is finished on its own, by the
+rule as it stands. A component holds edges of one pair of versions at most.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from verstext.runtime import cut_lineage
 
@@ -27,25 +27,18 @@ EDGE = ["sent_idx_x", "sent_idx_y"]
 KEY = ["entry_id", "version_x"]
 
 
-def _by_pair(df: DataFrame) -> DataFrame:
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *KEY)
-
-
 def ranked_edges(matched: DataFrame) -> DataFrame:
     """Edges with both ends, dense ranks of both ends in their pair, and the digits of the largest.
 
-    Rows are placed by pair first. Every window and aggregation on them has the pair among its
-    keys and keeps that placement. A pair holds the sentences of one text.
+    Dense ranks do not mind repeated edges, so these are dropped last, where the rows of a pair are
+    together already. A pair holds the sentences of one text.
     """
-    edges = _by_pair(
-        matched.where("sent_idx_x IS NOT NULL AND sent_idx_y IS NOT NULL").select(*PAIR, *EDGE)
-    ).distinct()
+    edges = matched.where("sent_idx_x IS NOT NULL AND sent_idx_y IS NOT NULL").select(*PAIR, *EDGE)
     pair = Window.partitionBy(*KEY)
     ranked = edges.withColumn("rx", F.dense_rank().over(pair.orderBy("sent_idx_x"))).withColumn(
         "ry", F.dense_rank().over(pair.orderBy("sent_idx_y"))
     )
-    digits = F.length(F.bin(F.max("ry").over(pair)))
-    return ranked.withColumn("bits", digits)
+    return ranked.withColumn("bits", F.length(F.bin(F.max("ry").over(pair)))).distinct()
 
 
 def _spread_digits(edges: DataFrame) -> DataFrame:
@@ -67,25 +60,23 @@ def _in_node(order: str | None = None) -> Window:
     return w.orderBy(order) if order else w
 
 
-def count_crossings(edges: DataFrame, present: Column | None = None) -> DataFrame:
-    """Edges with the number of ``present`` edges they cross; shared ends do not cross.
+def count_crossings(edges: DataFrame) -> DataFrame:
+    """Edges with the number of edges they cross; shared ends do not cross.
 
     An edge with digit 0 meets the edges with digit 1 at smaller x, an edge with digit 1 those
     with digit 0 at larger x: all of them less those up to its own x.
     """
-    here = F.lit(True) if present is None else present
     order = _in_node("rx")
     before = order.rangeBetween(Window.unboundedPreceding, -1)
     up_to = order.rangeBetween(Window.unboundedPreceding, Window.currentRow)
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ones = F.when(F.col("one") & here, 1).otherwise(0)
-    zeros = F.when(~F.col("one") & here, 1).otherwise(0)
+    ones = F.when(F.col("one"), 1).otherwise(0)
+    zeros = F.when(~F.col("one"), 1).otherwise(0)
     crossed = F.when(F.col("one"), F.sum(zeros).over(whole) - F.sum(zeros).over(up_to)).otherwise(
         F.coalesce(F.sum(ones).over(before), F.lit(0))
     )
-    kept = [c for c in edges.columns if c != "crossings"]
     return (
-        _spread_digits(edges).withColumn("_c", crossed).groupBy(*kept)
+        _spread_digits(edges).withColumn("_c", crossed).groupBy(*edges.columns)
         .agg(F.sum("_c").cast("long").alias("crossings"))
     )
 
@@ -95,33 +86,21 @@ def crossing_edges(matched: DataFrame) -> DataFrame:
     return count_crossings(ranked_edges(matched)).select(*PAIR, *EDGE, "crossings")
 
 
-def _strength() -> Column:
-    """Order of removal: most crossings, longest move, upwards first, then the first edge."""
-    step = F.col("ry") - F.col("rx")
-    return F.struct(
-        F.col("crossings").alias("n"),
-        F.abs(step).alias("move"),
-        (step < 0).cast("int").alias("up"),
-        (-F.col("rx")).alias("nx"),
-        (-F.col("ry")).alias("ny"),
-    )
+def components(crossed: DataFrame) -> DataFrame:
+    """Edges with the number of their component: edges of two components never cross."""
+    order = Window.partitionBy(*KEY).orderBy("rx", "ry")
+    back = Window.partitionBy(*KEY).orderBy(F.desc("rx"), F.desc("ry"))
+    highest = F.max("ry").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    lowest = F.min("ry").over(back.rowsBetween(Window.unboundedPreceding, 0))
+    marked = crossed.withColumn("_new", F.coalesce(highest <= lowest, F.lit(True)).cast("int"))
+    return marked.withColumn("component", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def _unbeaten(edges: DataFrame) -> DataFrame:
-    """Edges with ``gone``: whether the edge beats all edges it crosses."""
-    spread = _spread_digits(edges.withColumn("power", _strength())).withColumn("rx_back", -F.col("rx"))
-    one, power = F.col("one"), F.col("power")
-    left = _in_node("rx").rangeBetween(Window.unboundedPreceding, -1)
-    right = _in_node("rx_back").rangeBetween(Window.unboundedPreceding, -1)
-    rival = F.when(one, F.max(F.when(~one, power)).over(right)).otherwise(F.max(F.when(one, power)).over(left))
-    beaten = F.coalesce(rival > power, F.lit(False))
-    return (
-        spread.withColumn("_b", beaten).groupBy(*KEY, "rx", "ry", "bits").agg((~F.bool_or("_b")).alias("gone"))
-    )
+def _remove(group: pd.DataFrame) -> pd.DataFrame:
+    """Remove the edge with most crossings of one component until none cross.
 
-
-def _finish_pair(group: pd.DataFrame) -> pd.DataFrame:
-    """Remove the strongest edge of one pair until none cross, for a pair of bounded size."""
+    Of equals the one with the longest move goes first, then an upward one, then the first edge.
+    """
     x, y = group["rx"].to_numpy("int64"), group["ry"].to_numpy("int64")
     n = len(group)
     place = np.empty(n, "int64")
@@ -136,30 +115,12 @@ def _finish_pair(group: pd.DataFrame) -> pd.DataFrame:
     return group.iloc[gone][[*KEY, "rx", "ry"]]
 
 
-def moved_edges(matched: DataFrame, rounds: int = 8, pair_limit: int = 4096) -> DataFrame:
-    """Edges (entry_id, version_x, version_y, sent_idx_x, sent_idx_y) whose removal leaves no crossing.
-
-    Most pairs need few rounds, some a long tail of single removals. After every ``rounds`` rounds
-    the pairs with at most ``pair_limit`` edges left are finished in one pass, each in one task;
-    larger ones go on in rounds.
-    """
+def moved_edges(matched: DataFrame) -> DataFrame:
+    """Edges (entry_id, version_x, version_y, sent_idx_x, sent_idx_y) whose removal leaves no crossing."""
     edges = cut_lineage(ranked_edges(matched))
     rank = [*KEY, "rx", "ry"]
-    active = cut_lineage(count_crossings(edges.select(*rank, "bits")).where("crossings > 0"))
-    moved = active.where("false").select(*rank)
-    n_round = 0
-    while not active.isEmpty():
-        n_round += 1
-        state = cut_lineage(count_crossings(_unbeaten(_by_pair(active)), ~F.col("gone")))
-        moved = moved.unionByName(state.where("gone").select(*rank))
-        active = state.where("NOT gone AND crossings > 0").drop("gone")
-        if n_round % rounds == 0:
-            size = F.count(F.lit(1)).over(Window.partitionBy(*KEY))
-            active = cut_lineage(_by_pair(active).withColumn("_size", size))
-            small = active.where(F.col("_size") <= pair_limit).drop("_size")
-            schema = small.select(*rank).schema
-            moved = moved.unionByName(small.groupBy(*KEY).applyInPandas(_finish_pair, schema))
-            active = active.where(F.col("_size") > pair_limit).drop("_size")
+    crossed = components(count_crossings(edges.select(*rank, "bits")).where("crossings > 0"))
+    moved = crossed.groupBy(*KEY, "component").applyInPandas(_remove, crossed.select(*rank).schema)
     return edges.join(moved, rank, "left_semi").select(*PAIR, *EDGE)
 
 

@@ -39,10 +39,11 @@ def filter_boilerplate(df: DataFrame, sentence: str = "sentence", **rules) -> Da
     return df.where(~tx.is_boilerplate(sentence, **rules))
 
 
-def split_dateline(df: DataFrame, text: str, dashes=("—", "–")) -> DataFrame:
-    """Add ``dateline`` and ``body``: a short upper-case place line is cut off the text."""
-    found = F.coalesce(*[tx.dateline(text, d) for d in dashes])
-    used = F.coalesce(*[F.when(tx.dateline(text, d).isNotNull(), F.lit(d)) for d in dashes])
+def split_dateline(df: DataFrame, text: str, dashes=("—", "–"), places=None) -> DataFrame:
+    """Add ``dateline`` and ``body``: a short place line is cut off the text."""
+    lines = [tx.dateline(text, d, places=places) for d in dashes]
+    found = F.coalesce(*lines)
+    used = F.coalesce(*[F.when(line.isNotNull(), F.lit(d)) for line, d in zip(lines, dashes, strict=True)])
     rest = F.trim(F.substring(F.col(text), F.instr(F.col(text), used) + 1, F.length(F.col(text))))
     return df.withColumn("dateline", found).withColumn(
         "body", F.when(found.isNotNull(), rest).otherwise(F.col(text))

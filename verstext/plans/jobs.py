@@ -7,23 +7,27 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from verstext.config import MatchConfig
+from verstext.functions import text as tx
 from verstext.operators import diff, ingest, labels, match, moves
-from verstext.operators.sentences import split_paragraph_sentences
 from verstext.runtime import materialise
 
 
-def split_job(versions: DataFrame, done: DataFrame | None = None) -> DataFrame:
-    """Sentences of the eligible versions of the entries that are not done."""
-    rows = ingest.eligible_versions(versions)
+def split_job(versions: DataFrame, done: DataFrame | None = None, high: int | None = None) -> DataFrame:
+    """Sentences of the versions of entries with several versions that are not done, numbered without gaps.
+
+    Markup goes, marked letters become plain ones, then the text is split. Entries with ``high``
+    and more versions are left out only if a number is given.
+    """
+    rows = ingest.eligible_versions(versions, high=high)
     if done is not None:
         rows = ingest.only_new_entries(rows, done, ["entry_id"])
-    return split_paragraph_sentences(rows, "summary", ["source", "entry_id", "version"]).drop("par_idx").where(
-        F.trim("sentence") != ""
-    )
+    pieces = tx.sentence_pieces(tx.fold_latin(tx.strip_markup("summary")))
+    kept = F.filter(pieces, lambda s: F.trim(s) != "")
+    return rows.select("source", "entry_id", "version", F.posexplode(kept).alias("sent_idx", "sentence"))
 
 
-def match_job(versions: DataFrame, done: DataFrame | None = None, config: MatchConfig = MatchConfig()) -> DataFrame:
-    sentences = materialise(split_job(versions, done), "sentences")
+def match_job(versions: DataFrame, done: DataFrame | None = None, config: MatchConfig = MatchConfig(), high: int | None = None) -> DataFrame:
+    sentences = materialise(split_job(versions, done, high), "sentences")
     return match.match_bidirectional(sentences, config=config)
 
 

@@ -20,6 +20,12 @@ def save_table(df: DataFrame, name: str, path: str, mode: str = "append") -> Non
     df.write.mode(mode).format("parquet").option("path", path).saveAsTable(name)
 
 
+def replace_table(spark: SparkSession, new: str, name: str) -> None:
+    """Let the table ``new`` take the place and the name of ``name``."""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql(f"ALTER TABLE {new} RENAME TO {name}")
+
+
 def export_tsv(df: DataFrame, path: str, label: str, text: str, doc: str, sent: str) -> None:
     """Headerless rows ``label, text, document, sentence`` separated by tabs."""
     flat = F.regexp_replace(F.col(text), r"[\t\r\n]+", " ")
