@@ -215,6 +215,33 @@ def test_secrets_equal_brute_force(spark, sf_dir, odd_docs, no_docs):
     assert secrets.scan_secrets(no_docs, vocabulary).count() == 0
 
 
+def test_keys_inside_longer_runs(spark):
+    rng = np.random.default_rng(9)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    rows, want = [], {}
+    befores = ("", "usr/local/share/documentation/projectfiles/", "--service-account-option=", "home/someone/projects/website/application/configuration/values/")
+    for alphabet in (letters, letters + "0123456789"):
+        for before in befores:
+            for after in ("", "/readable/index_page", "/password=abcdefgh1"):
+                for _ in range(20):
+                    secret = "".join(rng.choice(list(alphabet), 24))
+                    want[len(rows)] = (len(before) + 4, len(before) + 28)
+                    rows.append((len(rows), f"see {before}{secret}{after} there"))
+    plain = [
+        "usr/local/share/documentation/projectfiles/configuration_values_2", "log-in-to-my-account-by-id-or-name-or-key-2024-01-02", "=" * 40,
+        "path/to/some/files/3f2504e0-4f89-11d3-9a0c-0305e82c3301/readable/index", "antidisestablishmentarianism internationalization",
+    ]
+    docs = spark.createDataFrame([*rows, *((len(rows) + n, t) for n, t in enumerate(plain))], "doc_id long, text string")
+    found = secrets.scan_secrets(docs, queries.tokenizer_path("byte_bpe_50k.tiktoken")).collect()
+    for r in found:
+        spans = [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s.startswith("random")]
+        if r.doc_id in want:
+            start, end = want[r.doc_id]
+            assert any(s <= start and end <= e for s, e in spans), (rows[r.doc_id], spans)
+        else:
+            assert not spans, (plain[r.doc_id - len(rows)], spans)
+
+
 # --- sharding
 
 
