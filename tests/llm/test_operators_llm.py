@@ -322,6 +322,54 @@ def test_reparameterised_items(spark, odd_docs, no_docs):
     assert decontamination.leaks(no_docs, items).count() == 0 and decontamination.leaks(docs, items.limit(0)).count() == 0
 
 
+def slow_longest(item, doc, config):
+    """The longest part of equal templates on any diagonal, over all starts, by the definition."""
+    a, b = ([decontamination.canonical(t) for t in text.split()] for text in (item, doc))
+    best = 0
+    for shift in range(-len(a), len(b)):
+        for i in range(len(a)):
+            for j in range(i + 1, len(a) + 1):
+                if i + shift < 0 or j + shift > len(b) or a[j - 1][0] != b[j - 1 + shift][0]:
+                    break
+                pairs = {(a[k], b[k + shift]) for k in range(i, j) if a[k][1]}
+                if min(len({x for x, _ in pairs}), len({y for _, y in pairs})) < len(pairs):
+                    break
+                n_slots = sum(bool(a[k][1]) for k in range(i, j))
+                if j - i - n_slots >= config.literal_share * (j - i) or all(x == y for x, y in pairs):
+                    best = max(best, j - i)
+    return best if best >= min(config.least_tokens, len(a)) else 0
+
+
+def lone(words):
+    """No two names side by side."""
+    return ["b" if n % 2 and w.istitle() else w for n, w in enumerate(words)]
+
+
+def test_consistent_parts_equal_brute_force():
+    rng = np.random.default_rng(4)
+    config = decontamination.LeakConfig(window=2, least_tokens=5)
+    tokens, found = decontamination.Tokens(), 0
+    for _ in range(400):
+        item = lone([str(w) for w in rng.choice(["a", "b", "c", "x", "1", "2", "3", "Ann", "Bob"], rng.integers(3, 26))])
+        change = {"1": "1", "2": "7", "3": str(rng.choice(["7", "3"])), "Ann": "Cy", "Bob": str(rng.choice(["Cy", "Bob"]))}
+        doc = [change.get(w, w) if rng.random() < 0.93 else str(rng.choice(["a", "1", "Ann"])) for w in item]
+        doc = ["z", *lone(doc), "y"]
+        got = decontamination.ItemIndex([(1, " ".join(item))], config).leaks(*tokens.read(" ".join(doc)))
+        want = slow_longest(" ".join(item), " ".join(doc), config)
+        assert (got[0][1] if got else 0) == want, (item, doc)
+        found += want > 0
+    assert found > 100
+
+
+def test_a_part_goes_on_behind_the_slot_that_conflicts(spark):
+    words = [f"word{n}" for n in range(24)]
+    item, doc = words.copy(), words.copy()
+    item[2], item[12], doc[2], doc[12] = "5", "3", "4", "4"
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id int, text string")
+    docs = spark.createDataFrame([(1, " ".join(doc))], "doc_id long, text string")
+    assert [r.n_tokens for r in decontamination.leaks(docs, items).collect()] == [21]
+
+
 # --- URLs
 
 

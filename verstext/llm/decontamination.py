@@ -145,32 +145,44 @@ class ItemIndex:
     def run(self, item: int, start: int, stop: int, at: int, forms: np.ndarray, values: np.ndarray):
         """The longest consistent part of a matching run, or None if it is too short.
 
-        Tokens between two windows of the run may differ; such a token ends a part. A part also
-        ends where a slot value would correspond to two values.
+        Tokens between two windows of the run may differ; such a token ends a part. Where a slot value
+        would correspond to two values, the part goes on behind the last slot that says otherwise.
         """
         item_id, item_forms, item_values = self.items[item]
-        need = min(self.config.least_tokens, len(item_forms))
-        best = None
-        there: dict[int, int] = {}
-        back: dict[int, int] = {}
-        length = slots = changed = 0
-        for k in range(start, stop):
-            mine, theirs = int(values[at + k - start]), int(item_values[k])
-            if item_forms[k] != forms[at + k - start]:
-                there, back, length, slots, changed = {}, {}, 0, 0, 0
+        theirs = item_values[start:stop]
+        mine = np.where(theirs != 0, values[at : at + stop - start], 0)
+        same = item_forms[start:stop] == forms[at : at + stop - start]
+        slots = np.concatenate(([0], np.cumsum(theirs != 0)))
+        changed = np.concatenate(([0], np.cumsum(mine != theirs)))
+        best, longest = None, min(self.config.least_tokens, len(item_forms)) - 1
+        there: dict[int, tuple[int, int]] = {}  # a value of the item: the document's value and the last place of the two
+        back: dict[int, tuple[int, int]] = {}
+        first = 0  # the earliest start of a consistent part up to k
+        for k, (agree, x, y) in enumerate(zip(same.tolist(), theirs.tolist(), mine.tolist(), strict=True)):
+            if not agree:
+                first = k + 1
                 continue
-            if theirs and (there.get(theirs, mine) != mine or back.get(mine, theirs) != theirs):
-                there, back, length, slots, changed = {}, {}, 0, 0, 0
-            if theirs:
-                there[theirs], back[mine] = mine, theirs
-                slots += 1
-                changed += mine != theirs
-            length += 1
-            literal = length - slots >= self.config.literal_share * length or not changed
-            if length >= need and literal and (best is None or length > best[1]):
-                best = (item_id, length, len(item_forms), slots, changed)
+            if x:
+                for (other, place), value in ((there.get(x, (y, 0)), y), (back.get(y, (x, 0)), x)):
+                    if other != value:
+                        first = max(first, place + 1)
+                there[x], back[y] = (y, k), (x, k)
+            if k + 1 - first > longest:
+                i = self.earliest(first, k + 1 - longest, k + 1, slots, changed)
+                if i is not None:
+                    longest = k + 1 - i
+                    best = (item_id, longest, len(item_forms), int(slots[k + 1] - slots[i]), int(changed[k + 1] - changed[i]))
         return best
 
+    def earliest(self, first: int, last: int, stop: int, slots: np.ndarray, changed: np.ndarray) -> int | None:
+        """The earliest start before ``last`` of a part that has enough words, or no changed slot."""
+        for end in (first + 1, last):  # the longest part alone is nearly always enough
+            i = np.arange(first, end)
+            fits = (stop - i - (slots[stop] - slots[i]) >= self.config.literal_share * (stop - i)) | (changed[stop] == changed[i])
+            if fits.any():
+                return first + int(np.argmax(fits))
+        return None
+
 
 def leaks(docs: DataFrame, benchmark: DataFrame, config: LeakConfig = LeakConfig(), key: str = "doc_id", text: str = "text",
           item_key: str = "item_id", item_text: str = "text") -> DataFrame:
