@@ -370,6 +370,36 @@ def test_a_part_goes_on_behind_the_slot_that_conflicts(spark):
     assert [r.n_tokens for r in decontamination.leaks(docs, items).collect()] == [21]
 
 
+def test_copies_in_other_case(spark):
+    items = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    texts = items.where("text is not null").collect()
+    forms = (str, str.lower, str.upper, str.title)
+    rows = [(n * 10 + k, f"some words before {f(t)} and others behind") for n, (_, t) in enumerate(texts) for k, f in enumerate(forms)]
+    rows.append((-1, "we saw short one 5 there"))
+    items = items.unionByName(spark.createDataFrame([(-5, "Short one 5")], items.schema))
+    found = {(r.doc_id, r.item_id): r for r in decontamination.leaks(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    for n, (item, t) in enumerate(texts):
+        for k in range(len(forms)):
+            r = found[(n * 10 + k, item)]
+            assert r.n_tokens == r.item_tokens and r.n_changed == 0, (item, k)
+    assert found[(-1, -5)].n_changed == 0
+
+
+def test_neighbouring_names_and_number_words_are_one_slot(spark):
+    item = "Mary Ann buys twenty five apples and seven pears at the market near Old Town and pays for them with a coin that Bob found"
+    docs = [
+        item.replace("Mary Ann", "Carol").replace("twenty five", "thirty").replace("Old Town", "Rome"),
+        item.replace("Bob", "Bobby Lee Smith").replace("seven", "one hundred twenty").replace("Mary Ann", "Eva"),
+        item.replace("Mary Ann", "Carol").replace("Bob", "Carol").replace("the market", "a station").replace("them with", "all by"),
+        "MARY ANN SAYS HELLO TO BOB",
+    ]
+    items = spark.createDataFrame([(1, item), (2, "ANNA BERTA CARL DORA says EMIL"), (3, "ALL OF THIS ITEM IS IN CAPITALS AND HAS NO WORD TO HOLD ON TO AT ALL")], "item_id int, text string")
+    rows = [*enumerate(docs), (9, "Xaver says Yann")]
+    found = {(r.doc_id, r.item_id): r for r in decontamination.leaks(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert set(found) == {(0, 1), (1, 1)}
+    assert all(r.n_tokens == r.item_tokens == 25 and r.n_changed == 3 for r in found.values())
+
+
 # --- URLs
 
 

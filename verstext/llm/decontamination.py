@@ -10,6 +10,7 @@ and numbers is caught and a chance meeting of two patterns of placeholders is no
 from __future__ import annotations
 
 import re
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -63,103 +64,236 @@ def canonical(token: str) -> tuple[str, str]:
     return low, ""
 
 
+@dataclass(frozen=True)
+class View:
+    """One reading of a text, token by token, as 64-bit hashes.
+
+    ``forms``: the template token. ``words``: the same with a name as its lower-case word, so that a
+    word agrees with its capitalised form. ``values``: the slot value (0: no slot). ``ends``: tokens
+    of the text up to each one, which a folded token counts with all its tokens.
+    """
+
+    forms: np.ndarray
+    words: np.ndarray
+    values: np.ndarray
+    ends: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.forms)
+
+
+class Powers:
+    """Powers of an odd number and of its inverse modulo 2 ** 64, as many as were asked for."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, dtype=np.uint64)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
+            n = max(n, 2 * len(self.up))
+            self.up, self.down = (
+                np.concatenate(([np.uint64(1)], np.cumprod(np.full(n - 1, base, dtype=np.uint64)))) for base in (MIX, np.uint64(pow(int(MIX), -1, 1 << 64)))
+            )
+        return self.up, self.down
+
+
+POWERS = Powers()
+
+
+def stretch_hashes(column: np.ndarray, starts: np.ndarray | slice, stops: np.ndarray | slice) -> np.ndarray:
+    """Order-dependent hashes of stretches of a column of hashes, from running sums."""
+    up, down = POWERS.upto(len(column) + 1)
+    total = np.zeros(len(column) + 1, dtype=np.uint64)
+    np.cumsum(column * up[: len(column)], out=total[1:])
+    return (total[stops] - total[starts]) * down[: len(column) + 1][starts]
+
+
+class Known(dict):
+    """Numbers of tokens in the order in which they were met; ``rows`` has four hashes of each."""
+
+    NAME, FORMS = "\x00name", {f: xxhash.xxh64_intdigest(f) for f in ("\x00name", "\x00number", "\x00unit")}
+
+    def __init__(self):
+        super().__init__()
+        self.rows = array("Q")  # form, word, value, kind to fold (0: none)
+
+    def __missing__(self, token: str) -> int:
+        form, value = canonical(token)
+        if not value:
+            low = xxhash.xxh64_intdigest(form) if form else 0
+            word = form.casefold()
+            row = low, low if word == form else xxhash.xxh64_intdigest(word), 0, 0
+        else:
+            hashed = xxhash.xxh64_intdigest(value)
+            named = form == self.NAME
+            word = (hashed if named and value.casefold() == value else xxhash.xxh64_intdigest(value.casefold())) if named else self.FORMS[form]
+            row = self.FORMS[form], word, (hashed ^ self.FORMS[form]) | 1, 1 if named else 2 if value in NUMBER_WORDS else 0
+        self.rows.extend(row)
+        at = self[token] = len(self)
+        return at
+
+
 class Tokens:
-    """Texts as arrays: a 64-bit hash of each template token and of each slot value (0: no slot)."""
+    """Texts as views: token by token, and with neighbouring names or number words as one token."""
 
     def __init__(self, limit: int = 500_000):
-        self.known: dict[str, tuple[int, int]] = {}
+        self.known = Known()
         self.limit = limit
 
-    def read(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+    def read(self, text: str) -> tuple[View, View | None]:
+        """The views of a text; the second is None where nothing is folded."""
         tokens = text.split()
-        new = set(tokens).difference(self.known)
-        if len(self.known) + len(new) > self.limit:
-            self.known.clear()
-            new = set(tokens)
-        for token in new:
-            form, value = canonical(token)
-            value_hash = xxhash.xxh64_intdigest(form + "\x00" + value) | 1 if value else 0
-            self.known[token] = (xxhash.xxh64_intdigest(form) if form else 0, value_hash)
-        pairs = np.array([self.known[t] for t in tokens], dtype=np.uint64).reshape(-1, 2)
-        pairs = pairs[pairs[:, 0] != 0]  # tokens of punctuation alone are no tokens
-        return pairs[:, 0], pairs[:, 1]
+        if len(self.known) > self.limit:
+            self.known = Known()
+        at = np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
+        rows = np.frombuffer(self.known.rows, np.uint64).reshape(-1, 4)[at] if len(at) else np.zeros((0, 4), np.uint64)
+        forms, words, values, kinds = np.ascontiguousarray(rows[rows[:, 0] != 0].T)  # tokens of punctuation alone are no tokens
+        plain = View(forms, words, values, np.arange(1, len(forms) + 1))
+        inner = np.zeros(len(forms), dtype=bool)
+        inner[1:] = (kinds[1:] != 0) & (kinds[1:] == kinds[:-1])
+        if not inner.any():
+            return plain, None
+        heads = np.flatnonzero(~inner)
+        ends = np.append(heads[1:], len(forms))
+        long = ends - heads > 1
+        words, values = (
+            np.where(long & chosen, stretch_hashes(column, heads, ends) | np.uint64(1), column[heads])
+            for column, chosen in ((words, kinds[heads] == 1), (values, True))
+        )
+        return plain, View(forms[heads], words, values, ends)
 
 
 def window_hashes(forms: np.ndarray, size: int) -> np.ndarray:
     """Order-dependent hash of every window of ``size`` tokens."""
-    out = np.zeros(max(0, len(forms) - size + 1), dtype=np.uint64)
-    for k in range(size):
-        out = (out ^ forms[k : k + len(out)]) * MIX
-        out ^= out >> np.uint64(29)
-    return out
+    n = len(forms) - size + 1
+    return stretch_hashes(forms, slice(0, n), slice(size, None)) if n > 0 else forms[:0]
+
+
+class Windows:
+    """The windows of one reading of the items, sorted by hash, for each window length."""
+
+    def __init__(self, config: LeakConfig):
+        self.config = config
+        self.parts: dict[int, list[np.ndarray]] = {}
+        self.sizes: dict[int, np.ndarray] = {}
+        self.marks: dict[int, np.ndarray] = {}
+
+    def add(self, item: int, column: np.ndarray) -> None:
+        size = min(self.config.window, len(column))
+        found = window_hashes(column, size)
+        entry = np.zeros(len(found), dtype=[("hash", "u8"), ("item", "i8"), ("at", "i8")])
+        entry["hash"], entry["item"], entry["at"] = found, item, np.arange(len(found))
+        self.parts.setdefault(size, []).append(entry)
+
+    def close(self) -> None:
+        for size, parts in self.parts.items():
+            entries = self.sizes[size] = np.sort(np.concatenate(parts), order="hash")
+            mark = self.marks[size] = np.zeros(1 << 18, dtype=bool)
+            mark[entries["hash"] >> np.uint64(46)] = True
+        self.parts.clear()
+
+    def runs(self, column: np.ndarray):
+        """(item, start, stop, start in the document) of the runs of windows on one diagonal."""
+        for size, entries in self.sizes.items():
+            here = window_hashes(column, size)
+            where = np.flatnonzero(self.marks[size][here >> np.uint64(46)])
+            if not len(where):
+                continue
+            here = here[where]
+            low = np.searchsorted(entries["hash"], here, "left")
+            sizes = np.searchsorted(entries["hash"], here, "right") - low
+            at = np.repeat(where, sizes)
+            if not len(at):
+                continue
+            entry = entries[np.repeat(low, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)]
+            order = np.lexsort((entry["at"], at - entry["at"], entry["item"]))
+            at, entry = at[order], entry[order]
+            starts = np.flatnonzero(np.concatenate((
+                [True], (entry["item"][1:] != entry["item"][:-1]) | (np.diff(at - entry["at"]) != 0) | (np.diff(entry["at"]) > size),
+            )))
+            for s, e in zip(starts, np.append(starts[1:], len(at)), strict=True):
+                yield int(entry["item"][s]), int(entry["at"][s]), int(entry["at"][e - 1]) + size, int(at[s])
 
 
 class ItemIndex:
-    """The windows of a block of benchmark items, sorted by hash. Short items are one window."""
+    """The windows of a block of benchmark items. Short items are one window.
+
+    Documents are searched by templates, by templates with names as words, and by both again with
+    neighbours folded; a run may hold tokens that agree either way.
+    """
 
     def __init__(self, items: list[tuple[int, str]], config: LeakConfig):
         tokens = Tokens()
         self.config, self.items = config, []
-        hashes: dict[int, list[np.ndarray]] = {}
+        self.windows = [[Windows(config), Windows(config)] for _ in range(2)]  # [folded][words]
         for item_id, text in items:
-            forms, values = tokens.read(text)
-            if not len(forms):
+            plain, folded = tokens.read(text)
+            if not len(plain):
                 continue
-            size = min(config.window, len(forms))
-            found = window_hashes(forms, size)
-            entry = np.zeros(len(found), dtype=[("hash", "u8"), ("item", "i8"), ("at", "i8")])
-            entry["hash"], entry["item"], entry["at"] = found, len(self.items), np.arange(len(found))
-            hashes.setdefault(size, []).append(entry)
-            self.items.append((item_id, forms, values))
-        self.sizes = {size: np.sort(np.concatenate(parts), order="hash") for size, parts in hashes.items()}
-
-    def leaks(self, forms: np.ndarray, values: np.ndarray) -> list[tuple]:
+            views = (plain, folded or plain)
+            for view, (by_form, by_word) in zip(views, self.windows, strict=True):
+                if len(view) < min(config.window, len(plain)):
+                    continue  # folded to less than a window: too little to tell items apart
+                by_form.add(len(self.items), view.forms)
+                by_word.add(len(self.items), view.words)
+            self.items.append((item_id, views))
+        for windows in (w for pair in self.windows for w in pair):
+            windows.close()
+
+    def leaks(self, plain: View, folded: View | None) -> list[tuple]:
         """(item_id, tokens, item tokens, slots, changed slots) of the best run for each leaked item."""
         best: dict[int, tuple] = {}
-        for size, entries in self.sizes.items():
-            here = window_hashes(forms, size)
-            if not len(here):
-                continue
-            low = np.searchsorted(entries["hash"], here, "left")
-            hit = low < len(entries)
-            hit[hit] = entries["hash"][low[hit]] == here[hit]
-            where = np.flatnonzero(hit)
-            if not len(where):
-                continue
-            high = np.searchsorted(entries["hash"], here[where], "right")
-            sizes = high - low[where]
-            at = np.repeat(where, sizes)
-            entry = entries[np.repeat(low[where], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)]
-            order = np.lexsort((entry["at"], at - entry["at"], entry["item"]))
-            at, entry = at[order], entry[order]
-            starts = np.flatnonzero(np.concatenate((
-                [True], (entry["item"][1:] != entry["item"][:-1]) | (np.diff(at - entry["at"]) != 0) | (np.diff(entry["at"]) > size),
-            )))
-            for s, e in zip(starts, np.append(starts[1:], len(at)), strict=True):
-                item = int(entry["item"][s])
-                run = self.run(item, int(entry["at"][s]), int(entry["at"][e - 1]) + size, int(at[s]), forms, values)
-                if run and (item not in best or run[1:] > best[item][1:]):
-                    best[item] = run
+        for f, view in enumerate((plain, folded or plain)):
+            seen = set()
+            for windows, column in zip(self.windows[f], (view.forms, view.words), strict=True):
+                for found in windows.runs(column):
+                    if found in seen:
+                        continue
+                    seen.add(found)
+                    item, start, stop, at = found
+                    run = self.run(item, start, stop, at, self.items[item][1][f], view)
+                    if run and (item not in best or run[1:] > best[item][1:]):
+                        best[item] = run
         return list(best.values())
 
-    def run(self, item: int, start: int, stop: int, at: int, forms: np.ndarray, values: np.ndarray):
+    def run(self, item: int, start: int, stop: int, at: int, there_view: View, here_view: View):
         """The longest consistent part of a matching run, or None if it is too short.
 
         Tokens between two windows of the run may differ; such a token ends a part. Where a slot value
         would correspond to two values, the part goes on behind the last slot that says otherwise.
         """
-        item_id, item_forms, item_values = self.items[item]
-        theirs = item_values[start:stop]
-        mine = np.where(theirs != 0, values[at : at + stop - start], 0)
-        same = item_forms[start:stop] == forms[at : at + stop - start]
+        def agree(a: int, b: int) -> np.ndarray:
+            here = slice(a + shift, b + shift)
+            return (there_view.forms[a:b] == here_view.forms[here]) | (there_view.words[a:b] == here_view.words[here])
+
+        shift, step = at - start, 4 * self.config.window
+        while start > max(0, -shift):  # tokens beside the windows may agree the other way
+            low = max(0, -shift, start - step)
+            part = agree(low, start)
+            start = low if part.all() else low + int(np.flatnonzero(~part)[-1]) + 1
+            if start > low:
+                break
+        limit = min(len(there_view), len(here_view) - shift)
+        while stop < limit:
+            high = min(limit, stop + step)
+            part = agree(stop, high)
+            stop = high if part.all() else stop + int(np.argmin(part))
+            if stop < high:
+                break
+        same = agree(start, stop).tolist()
+        theirs = there_view.values[start:stop]
+        as_words = there_view.words[start:stop] == here_view.words[start + shift : stop + shift]
+        as_words &= there_view.words[start:stop] != there_view.forms[start:stop]  # numbers and units have no word of their own
+        mine = np.where((theirs == 0) | as_words, theirs, here_view.values[start + shift : stop + shift])
         slots = np.concatenate(([0], np.cumsum(theirs != 0)))
         changed = np.concatenate(([0], np.cumsum(mine != theirs)))
-        best, longest = None, min(self.config.least_tokens, len(item_forms)) - 1
+        ends = [there_view.ends[start - 1] if start else 0, *there_view.ends[start:stop]]
+        best, longest = None, min(self.config.least_tokens, len(there_view)) - 1
         there: dict[int, tuple[int, int]] = {}  # a value of the item: the document's value and the last place of the two
         back: dict[int, tuple[int, int]] = {}
         first = 0  # the earliest start of a consistent part up to k
-        for k, (agree, x, y) in enumerate(zip(same.tolist(), theirs.tolist(), mine.tolist(), strict=True)):
-            if not agree:
+        for k, (agrees, x, y) in enumerate(zip(same, theirs.tolist(), mine.tolist(), strict=True)):
+            if not agrees:
                 first = k + 1
                 continue
             if x:
@@ -171,7 +305,8 @@ class ItemIndex:
                 i = self.earliest(first, k + 1 - longest, k + 1, slots, changed)
                 if i is not None:
                     longest = k + 1 - i
-                    best = (item_id, longest, len(item_forms), int(slots[k + 1] - slots[i]), int(changed[k + 1] - changed[i]))
+                    counts = ends[k + 1] - ends[i], len(self.items[item][1][0]), slots[k + 1] - slots[i], changed[k + 1] - changed[i]
+                    best = (self.items[item][0], *map(int, counts))
         return best
 
     def earliest(self, first: int, last: int, stop: int, slots: np.ndarray, changed: np.ndarray) -> int | None:
