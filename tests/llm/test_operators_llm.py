@@ -557,6 +557,27 @@ def test_toxicity_learns_and_generalises(spark, odd_docs, no_docs):
     assert toxicity.score(no_docs, model).count() == 0
 
 
+def test_toxic_words_behind_64_characters_without_a_space(spark):
+    rng = np.random.default_rng(3)
+    plain = ["table", "river", "window", "garden", "paper", "signal", "winter", "market", "letter", "bridge"]
+    rows = []
+    for d in range(600):
+        words = list(rng.choice(plain, 30))
+        if d % 3 == 0:
+            words[3], words[17] = rng.choice(["blorbface", "snarkwit", "grubhead"], 2)
+        rows.append((d, " ".join(words), int(d % 3 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    lead = "table-river_window.garden/paper-signal_winter.market/letter-bridge-table"
+    assert len(lead) > 64
+    texts = [lead + "-river", lead + "-blorbface_snarkwit/grubhead.blorbface", "x" * 64 + "blorbfacesnarkwitgrubhead", "x" * 90]
+    unseen = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    new = [r.score for r in toxicity.score(unseen, model).orderBy("doc_id").collect()]
+    assert new[1] > 0.5 > new[0] and new[2] > new[3]
+    config = toxicity.ToxicityConfig()
+    assert set(toxicity.subwords("blorb", config)[1:]) & set(toxicity.subwords("x" * 64 + "blorb", config))
+
+
 def test_toxicity_on_held_out_rows(spark, sf_dir):
     docs, labels = documents(spark, "/root/testdata/sf0.1"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     rows = toxicity.score(docs, toxicity.fit(docs, labels)).join(labels, "doc_id").where("held_out and toxic is not null").collect()

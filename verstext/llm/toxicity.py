@@ -23,7 +23,10 @@ from verstext.llm.rows import map_keyed
 
 @dataclass(frozen=True)
 class ToxicityConfig:
-    """``toxic_rows`` and ``clean_rows`` bound the labelled rows that are fitted; at most 65,536 buckets."""
+    """``toxic_rows`` and ``clean_rows`` bound the labelled rows that are fitted; at most 65,536 buckets.
+
+    Words of more than ``cache_chars`` characters are read whole, but not remembered.
+    """
 
     buckets: int = 1 << 16
     dim: int = 8
@@ -39,6 +42,7 @@ class ToxicityConfig:
     rate: float = 0.04
     seed: int = 7
     cache_words: int = 300_000
+    cache_chars: int = 64
 
 
 STRIP = " \t\r\n\x0b\x0c.,;:!?\"'()[]{}|"
@@ -50,7 +54,7 @@ def words_of(text: str) -> list[str]:
 
 def subwords(word: str, config: ToxicityConfig) -> list[int]:
     """Bucket numbers of the n-grams of one word and of the word itself."""
-    marked = f"<{word[:64]}>"
+    marked = f"<{word}>"
     grams = {marked}
     for n in range(config.shortest, config.longest + 1):
         grams.update(marked[i : i + n] for i in range(len(marked) - n + 1))
@@ -66,7 +70,9 @@ def pack_words(text: str, config: ToxicityConfig, ids: dict[str, list[int]]) ->
         if found is None:
             if len(ids) > config.cache_words:
                 ids.clear()
-            found = ids[word] = subwords(str(word), config)
+            found = subwords(str(word), config)
+            if len(word) <= config.cache_chars:
+                ids[word] = found
         grams += found
         weights += [1 + math.log(n)] * len(found)
     if not grams:
@@ -211,7 +217,9 @@ def score(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str
                 found = known.get(word)
                 if found is None:
                     ids = subwords(word, config)
-                    found = known[word] = (float(grams[ids].sum()), len(ids))
+                    found = (float(grams[ids].sum()), len(ids))
+                    if len(word) <= config.cache_chars:
+                        known[word] = found
                 w = damp[n] if n < 4096 else 1 + math.log(n)
                 total += w * found[0]
                 weight += w * found[1]
