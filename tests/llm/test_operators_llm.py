@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from verstext.llm import decontamination, mixing, queries, secrets, sharding, simhash, token_counts, toxicity, url_filter, vector_dedup
 
@@ -586,3 +587,19 @@ def test_toxicity_on_held_out_rows(spark, sf_dir):
     assert np.mean([r.predicted for r in clean]) < 0.02
     order = [c.score < t.score for c in clean for t in toxic]
     assert np.mean(order) > 0.9
+
+
+def test_rows_without_an_id_are_judged_by_their_own_text(spark):
+    rows = [(None, "table river window"), (None, "blorbface " * 30), (None, None), (4, "table river"), (4, "blorbface " * 30)]
+    docs = spark.createDataFrame([(d, t, n) for n, (d, t) in enumerate(rows)], "doc_id long, text string, n int")
+    config = toxicity.ToxicityConfig()
+    gram_score = np.zeros(config.buckets, np.float32)
+    gram_score[toxicity.subwords("blorbface", config)] = 1000
+    kept = toxicity.drop_toxic(docs, toxicity.ToxicityModel(gram_score, -1.0))
+    assert kept.columns == docs.columns and sorted(r.n for r in kept.collect()) == [0, 2, 3]
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi"
+    items = spark.createDataFrame([(1, item), (2, "a short item")], "item_id int, text string")
+    leaky = docs.withColumn("text", F.when(F.col("n").isin(1, 4), F.lit(f"so {item} it is")).otherwise(F.col("text")))
+    for block_chars in (16_000_000, 20):
+        kept = decontamination.drop_leaks(leaky, items, decontamination.LeakConfig(block_chars=block_chars))
+        assert kept.columns == docs.columns and sorted(r.n for r in kept.collect()) == [0, 2, 3]

@@ -11,13 +11,15 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from verstext.llm.rows import map_keyed
+from verstext.llm.rows import keep_rows, map_keyed
 
 # fixed values: units that become placeholders
 UNITS = frozenset(
@@ -329,21 +331,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, config: LeakConfig = LeakConfig
     benchmark is held by each task in blocks of at most ``block_chars`` characters (a longer item is
     a block of its own); every block meets all documents, whatever their number. No shuffle.
     """
-    items = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_key).alias("item"), F.col(item_text).alias("text"))
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n_blocks = -(-chars // config.block_chars) or 1
     item_kind = benchmark.schema[item_key].dataType.simpleString()
     fields = f"{item_key} {item_kind}, n_tokens long, item_tokens long, n_slots long, n_changed long"
     rows = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def search(block: list[tuple[int, str]]):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+        searcher = start_search(docs, block, config)
 
         def start():
-            index, tokens = ItemIndex(shared.value, config), Tokens()
+            leaks_of = searcher()
 
             def find(texts: list[str]):
-                found = [(i, *leak) for i, t in enumerate(texts) for leak in index.leaks(*tokens.read(t))]
+                found = [(i, *leak) for i, t in enumerate(texts) for leak in leaks_of(t)]
                 columns = [list(c) for c in zip(*found, strict=True)] or [[]] * 6
                 return columns[0], columns[1:]
 
@@ -351,15 +350,38 @@ def leaks(docs: DataFrame, benchmark: DataFrame, config: LeakConfig = LeakConfig
 
         return map_keyed(rows, start, fields)
 
-    out = None
+    return reduce(DataFrame.unionAll, map(search, item_blocks(benchmark, config, item_key, item_text)))
+
+
+def item_blocks(benchmark: DataFrame, config: LeakConfig, item_key: str, item_text: str) -> Iterator[list[tuple[int, str]]]:
+    items = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_key).alias("item"), F.col(item_text).alias("text"))
+    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    n_blocks = -(-chars // config.block_chars) or 1
     for b in range(n_blocks):
         block = items.where(F.pmod(F.xxhash64("text"), F.lit(n_blocks)) == b).orderBy("item", "text").collect()
-        part = search([(r["item"], r["text"]) for r in block])
-        out = part if out is None else out.unionAll(part)
-    return out
+        yield [(r["item"], r["text"]) for r in block]
+
+
+def start_search(docs: DataFrame, block: list[tuple[int, str]], config: LeakConfig):
+    """A start function for a task; what it returns gives the leaks of one text."""
+    shared = docs.sparkSession.sparkContext.broadcast(block)
+
+    def start():
+        index, tokens = ItemIndex(shared.value, config), Tokens()
+        return lambda text: index.leaks(*tokens.read(text))
+
+    return start
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, config: LeakConfig = LeakConfig(), text: str = "text",
+               item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The documents without a leak, all columns kept; each row is judged by its own text, whatever its key."""
+    for block in item_blocks(benchmark, config, item_key, item_text):
+        searcher = start_search(docs, block, config)
 
+        def judge(searcher=searcher):
+            leaks_of = searcher()
+            return lambda texts: [not leaks_of(t) for t in texts]
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, config: LeakConfig = LeakConfig(), key: str = "doc_id") -> DataFrame:
-    """The documents without a leak, all columns kept; rows with a NULL key stay only if no such row leaks."""
-    bad = leaks(docs, benchmark, config, key).select(F.col(key).alias("__bad")).distinct()
-    return docs.join(bad, F.col(key).eqNullSafe(F.col("__bad")), "left_anti")
+        docs = keep_rows(docs, judge, text)
+    return docs

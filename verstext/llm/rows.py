@@ -33,3 +33,21 @@ def map_keyed(rows: DataFrame, start: Callable[[], Callable], fields: str) -> Da
                 yield pa.RecordBatch.from_arrays([key, *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names)
 
     return rows.mapInArrow(run, StructType([rows.schema.fields[0], *made.fields]))
+
+
+def keep_rows(rows: DataFrame, start: Callable[[], Callable], text: str = "text") -> DataFrame:
+    """The rows that stay, all columns as they are: each row is judged by its own text.
+
+    ``start`` is called once for each task and returns a function that takes up to 512 texts (NULL
+    as empty) and says for each one if its row stays.
+    """
+    column = rows.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stays = start()
+        for batch in batches:
+            for at in range(0, batch.num_rows, PIECE_ROWS):
+                piece = batch.slice(at, PIECE_ROWS)
+                yield piece.filter(pa.array(stays([t or "" for t in piece.column(column).to_pylist()]), pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema)

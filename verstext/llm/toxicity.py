@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from verstext.llm.rows import map_keyed
+from verstext.llm.rows import keep_rows, map_keyed
 
 
 @dataclass(frozen=True)
@@ -196,13 +196,10 @@ def constant(targets: np.ndarray, config: ToxicityConfig) -> ToxicityModel:
     return ToxicityModel(np.zeros(config.buckets, np.float32), math.log(share / (1 - share)))
 
 
-def score(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str = "text",
-          config: ToxicityConfig = ToxicityConfig()) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` of every row; only the text decides.
+def scorer(docs: DataFrame, model: ToxicityModel, config: ToxicityConfig):
+    """A start function for a task; what it returns scores a list of texts.
 
-    What a word adds to the mean is remembered by word. A NULL text is scored like an empty one:
-    by the bias alone. Rows with a NULL key have ``held_out`` NULL; repeated rows are scored like
-    any other. Each task gets one number for each bucket; there is no shuffle.
+    What a word adds to the mean is remembered by word. Each task gets one number for each bucket.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.gram_score, model.margin_bias))
 
@@ -225,16 +222,43 @@ def score(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str
                 weight += w * found[1]
             return total / (weight + config.blank) + bias
 
-        def scores(texts: list[str]):
+        def scores(texts: list[str]) -> list[float]:
             out = []
             for t in texts:
                 out.append(1 / (1 + math.exp(-max(-700.0, min(700.0, margin(t))))))
                 if len(known) > config.cache_words:
                     known.clear()
-            return None, [out]
+            return out
 
         return scores
 
+    return start
+
+
+def score(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str = "text",
+          config: ToxicityConfig = ToxicityConfig()) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` of every row; only the text decides.
+
+    A NULL text is scored like an empty one: by the bias alone. Rows with a NULL key have
+    ``held_out`` NULL; repeated rows are scored like any other. There is no shuffle.
+    """
+    start = scorer(docs, model, config)
+
+    def columns():
+        scores = start()
+        return lambda texts: (None, [scores(texts)])
+
     rows = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("text"))
-    scored = map_keyed(rows, start, "score double")
+    scored = map_keyed(rows, columns, "score double")
     return scored.select(key, held_out(key).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, model: ToxicityModel, text: str = "text", config: ToxicityConfig = ToxicityConfig()) -> DataFrame:
+    """The rows whose own text scores below one half, all columns kept; the key plays no part."""
+    start = scorer(docs, model, config)
+
+    def judge():
+        scores = start()
+        return lambda texts: [s < 0.5 for s in scores(texts)]
+
+    return keep_rows(docs, judge, text)
