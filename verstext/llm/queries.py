@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verstext.llm import decontamination, mixing, secrets, sharding, simhash, substring_dedup, token_counts, toxicity, url_filter, vector_dedup
+from verstext.llm import debruijn, decontamination, mixing, secrets, sharding, simhash, substring_dedup, token_counts, toxicity, url_filter, vector_dedup
 
 SHARDS = [f"shard-{n:03d}" for n in range(64)]
 RULES = [
@@ -69,6 +69,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), SHARDS)
 
 
+def op11_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.span_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
@@ -82,5 +86,5 @@ def oracle_sql() -> dict[str, str]:
 
 OPERATORS = [
     op1_toxicity, op2_mix_sources, op3_vector_dedup, op4_decontaminate, op5_substring_dedup, op6_url_reputation, op7_token_counts, op8_simhash,
-    op9_secrets, op10_sharding,
+    op9_secrets, op10_sharding, op11_debruijn,
 ]
