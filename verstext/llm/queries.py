@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from verstext.llm import debruijn, decontamination, mixing, secrets, sharding, simhash, substring_dedup, token_counts, toxicity, url_filter, vector_dedup
+from verstext.llm import debruijn, decontamination, fill_middle, mixing, secrets, sharding, simhash, substring_dedup, token_counts, toxicity
+from verstext.llm import url_filter, vector_dedup, whitening
 
 SHARDS = [f"shard-{n:03d}" for n in range(64)]
 RULES = [
@@ -73,6 +74,15 @@ def op11_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.span_report(table(spark, sf_dir, "documents"))
 
 
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.fim_report(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"), components=4)
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
@@ -86,5 +96,5 @@ def oracle_sql() -> dict[str, str]:
 
 OPERATORS = [
     op1_toxicity, op2_mix_sources, op3_vector_dedup, op4_decontaminate, op5_substring_dedup, op6_url_reputation, op7_token_counts, op8_simhash,
-    op9_secrets, op10_sharding, op11_debruijn,
+    op9_secrets, op10_sharding, op11_debruijn, op12_fill_middle, op13_whitening,
 ]
