@@ -148,19 +148,25 @@ def _edges(v: Views):
     return align.attach_sentences(v.matched, v.sentences).where("sentence_x IS NOT NULL AND sentence_y IS NOT NULL")
 
 
-def _runs_sql(k: int) -> str:
-    """Tables e(keys, side, i, g), one row for each run of ``k`` tokens, and n(keys, tx, ty)."""
-    run = " || ' ' || ".join(f"t[i + {j}]" for j in range(k))
-    return EDGES_SQL + f"""
+def _runs_of(k: int, columns: str = "") -> str:
+    """One row for each run of ``k`` tokens of ``l``; the tokens of a run come from lists unnested side by side."""
+    tokens = ", ".join(f"unnest(t[{j + 1}:len(t) - {k - 1 - j}]) AS t{j}" for j in range(k))
+    run = " || ' ' || ".join(f"t{j}" for j in range(k))
+    place = f", unnest(range(1, len(t) - {k - 2})) AS i" if "i" in columns else ""
+    return f"SELECT {EDGE_COLS}, side, {columns}{run} AS g FROM (SELECT {EDGE_COLS}, side, {tokens}{place} FROM l WHERE len(t) >= {k})"
+
+
+SIDES_SQL = EDGES_SQL + f"""
     , n AS (SELECT {EDGE_COLS}, len(tx) AS nx, len(ty) AS ny FROM edges),
-    l AS (SELECT {EDGE_COLS}, 'x' AS side, tx AS t FROM edges UNION ALL SELECT {EDGE_COLS}, 'y', ty FROM edges),
-    e AS (SELECT {EDGE_COLS}, side, i, {run} AS g FROM (SELECT *, unnest(range(1, len(t) - {k} + 2)) AS i FROM l))"""
+    l AS (SELECT {EDGE_COLS}, 'x' AS side, tx AS t FROM edges UNION ALL SELECT {EDGE_COLS}, 'y', ty FROM edges)"""
 
 
 def _coverage_sql(k: int) -> str:
     spots = " UNION ".join(f"SELECT {EDGE_COLS}, side, i + {j} AS i FROM hit" for j in range(k))
-    return with_ctes("matched sentences", _runs_sql(k) + f"""
-    , hit AS (SELECT * FROM e WHERE ({EDGE_COLS}, g) IN (SELECT ({EDGE_COLS}, g) FROM e GROUP BY ALL HAVING count(DISTINCT side) = 2)),
+    return with_ctes("matched sentences", SIDES_SQL + f"""
+    , e AS ({_runs_of(k, "i, ")}),
+    both_sides AS (SELECT {EDGE_COLS}, g FROM e GROUP BY ALL HAVING min(side) < max(side)),
+    hit AS (SELECT {EDGE_COLS}, side, i FROM e JOIN both_sides USING ({EDGE_COLS}, g)),
     c AS (SELECT {EDGE_COLS}, count(*) FILTER (side = 'x') AS cx, count(*) FILTER (side = 'y') AS cy FROM ({spots}) GROUP BY ALL)
     SELECT {EDGE_COLS}, round(coalesce(cx, 0) / nullif(nx, 0), 6) AS coverage_x,
            round(coalesce(cy, 0) / nullif(ny, 0), 6) AS coverage_y FROM n LEFT JOIN c USING ({EDGE_COLS})""")
@@ -213,14 +219,10 @@ def _precision_sql(weights: tuple[float, ...]) -> str:
         f"count(*) FILTER (side = 'y') AS b FROM e{k} GROUP BY ALL) GROUP BY ALL HAVING sum(least(a, b)) > 0"
         for k, _ in used
     ]
-    runs = [
-        f"e{k} AS (SELECT {EDGE_COLS}, side, " + " || ' ' || ".join(f"t[i + {j}]" for j in range(k))
-        + f" AS g FROM (SELECT *, unnest(range(1, len(t) - {k} + 2)) AS i FROM l))" for k, _ in used
-    ]
+    runs = [f"e{k} AS ({_runs_of(k)})" for k, _ in used]
     weight = "CASE k " + " ".join(f"WHEN {k} THEN {w!r}" for k, w in used) + " END"
-    return with_ctes("matched sentences", EDGES_SQL + f"""
-    , n AS (SELECT {EDGE_COLS}, len(tx) AS nx, len(ty) AS ny FROM edges),
-    l AS (SELECT {EDGE_COLS}, 'x' AS side, tx AS t FROM edges UNION ALL SELECT {EDGE_COLS}, 'y', ty FROM edges), {", ".join(runs)},
+    return with_ctes("matched sentences", SIDES_SQL + f"""
+    , {", ".join(runs)},
     p AS ({" UNION ALL ".join(parts)}),
     s AS (SELECT {EDGE_COLS}, exp(sum({weight} * ln(p))) AS m FROM p GROUP BY ALL HAVING count(*) = {len(used)})
     SELECT {EDGE_COLS}, round(CASE WHEN ny > 0 THEN coalesce(least(1.0, exp(1 - ny / nx)) * m, 0.0) ELSE 0.0 END, 6) AS score

@@ -1,7 +1,9 @@
 """Similarity of matched sentence pairs by shared token runs.
 
-The runs of both sides are spread into rows and counted by (pair, run), so the work grows with the
-number of tokens and not with its square. Pairs with equal tokens are settled without spreading.
+The pairs are dealt by their key once, as hashes of their tokens. After that the runs of both sides are spread
+into rows and counted by (pair, run) where they are: the rows of runs, many times the size of the
+texts, are never shuffled. The work grows with the number of tokens; pairs with equal tokens are settled
+without spreading.
 """
 
 from __future__ import annotations
@@ -11,19 +13,20 @@ from pyspark.sql import Column, DataFrame, functions as F
 from verstext.functions import text as tx
 
 
-def _tokenised(pairs: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    return pairs.select(*keys, tx.tokens(x).alias("tx"), tx.tokens(y).alias("ty"))
+def _hashed(pairs: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """Pairs dealt by ``keys``, so that grouping by them and more needs no further exchange."""
+    return pairs.select(*keys, tx.token_hashes(x).alias("tx"), tx.token_hashes(y).alias("ty")).repartition(*keys)
 
 
 def shared_kgram_coverage(pairs: DataFrame, keys: list[str], x: str, y: str, k: int) -> DataFrame:
     """Share of each side's tokens that lie in a run of ``k`` tokens the other side has too; NULL for an empty side."""
-    rows = _tokenised(pairs, keys, x, y)
+    rows = _hashed(pairs, keys, x, y)
     same = F.col("tx") == F.col("ty")
     whole = F.when(F.size("tx") > 0, (F.size("tx") >= k).cast("double"))
     equal = rows.where(same).select(*keys, whole.alias("coverage_x"), whole.alias("coverage_y"))
 
     def runs(side: str) -> Column:
-        return F.transform(tx.ngrams(F.col(f"t{side}"), k), lambda g, i: F.struct(g.alias("g"), F.lit(side).alias("side"), i.alias("i")))
+        return F.transform(tx.run_keys(F.col(f"t{side}"), k), lambda g, i: F.struct(g.alias("g"), F.lit(side).alias("side"), i.alias("i")))
 
     other = rows.where(~same)
     spread = other.select(*keys, F.explode(F.concat(runs("x"), runs("y"))).alias("_r")).select(*keys, "_r.*")
@@ -48,13 +51,13 @@ def ngram_precision(pairs: DataFrame, keys: list[str], x: str, y: str, weights:
     and without any match makes the score zero, as does an empty side.
     """
     sizes = [n for n, w in enumerate(weights, start=1) if w > 0]
-    rows = _tokenised(pairs, keys, x, y)
+    rows = _hashed(pairs, keys, x, y)
     same = F.col("tx") == F.col("ty")
     equal = rows.where(same).select(*keys, (F.size("tx") >= max(sizes)).cast("double").alias("score"))
     other = rows.where(~same)
 
     def runs(side: str, n: int) -> Column:
-        mine = tx.ngrams(F.col(f"t{side}"), n)
+        mine = tx.run_keys(F.col(f"t{side}"), n)
         return F.transform(
             mine, lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"), F.lit(int(side == "x")).alias("x"), F.lit(int(side == "y")).alias("y"))
         )

@@ -210,3 +210,18 @@ def ngrams(token_array: Column, n: int) -> Column:
     starts = F.sequence(F.lit(1), F.size(token_array) - (n - 1))
     runs = F.transform(starts, lambda i: F.array_join(F.slice(token_array, i, F.lit(n)), " "))
     return F.when(F.size(token_array) >= n, runs).otherwise(F.array().cast("array<string>"))
+
+
+def token_hashes(text) -> Column:
+    """One 64-bit hash for each token of a text."""
+    return F.transform(tokens(text), lambda t: F.xxhash64(t))
+
+
+def run_keys(hashes: Column, n: int) -> Column:
+    """Array of the n-token runs of a column of token hashes, as (hash of the run, hash of its first token).
+
+    128 bits stand for the text of a run, so no run is built as a string and the work is linear. The
+    hashes have to be a stored column: an expression would be evaluated again for every run.
+    """
+    firsts = F.when(F.size(hashes) >= n, F.slice(hashes, F.lit(1), F.size(hashes) - (n - 1))).otherwise(F.array().cast("array<bigint>"))
+    return F.transform(firsts, lambda h, i: F.struct(F.xxhash64(h, *[F.get(hashes, i + k) for k in range(1, n)]).alias("run"), h.alias("first")))
