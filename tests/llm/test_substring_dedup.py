@@ -29,6 +29,15 @@ def slow_report(rows, length=50):
     return out
 
 
+def test_rows_that_share_an_id_lose_their_own_repeats(spark):
+    rng = np.random.default_rng(2)
+    text = lambda n: "".join(rng.choice(list("abcdefghij "), n))
+    line = text(120)
+    rows = [(1, text(30) + line + text(30)), (2, text(60) + line), (2, text(200)), (2, line + text(60)), (3, text(200)), (3, text(10) + line[20:90] + text(40))]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, sd.repeat_report(table).collect())) == sorted(slow_report(rows))
+
+
 def planted():
     rng = np.random.default_rng(11)
     letters = list("abcdefghij é中")

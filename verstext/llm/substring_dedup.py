@@ -124,12 +124,12 @@ def find_anchors(text: bytes, hasher: Hasher, config: RepeatConfig):
     return places, hashes[places], segment, around
 
 
-def pack_marks(docs: np.ndarray, at: np.ndarray, more: np.ndarray) -> list[tuple]:
-    """One (document, places, values) row for each document."""
-    order = np.lexsort((at, docs))
-    docs, at, more = docs[order], at[order], more[order]
-    cut = np.flatnonzero(np.concatenate(([True], docs[1:] != docs[:-1]))) if len(docs) else np.zeros(0, np.int64)
-    return [(int(docs[s]), at[s:e].astype("<u4").tobytes(), more[s:e].astype("<u8").tobytes()) for s, e in zip(cut, np.append(cut[1:], len(docs)), strict=False)]
+def pack_marks(docs: np.ndarray, tags: np.ndarray, at: np.ndarray, more: np.ndarray) -> list[tuple]:
+    """One (document, tag of its text, places, values) row for each text of a document."""
+    order = np.lexsort((at, tags, docs))
+    docs, tags, at, more = docs[order], tags[order], at[order], more[order]
+    cut = np.flatnonzero(np.concatenate(([True], (docs[1:] != docs[:-1]) | (tags[1:] != tags[:-1])))) if len(docs) else np.zeros(0, np.int64)
+    return [(int(docs[s]), int(tags[s]), at[s:e].astype("<u4").tobytes(), more[s:e].astype("<u8").tobytes()) for s, e in zip(cut, np.append(cut[1:], len(docs)), strict=False)]
 
 
 def anchor_pieces(rows: DataFrame, parts: int, config: RepeatConfig) -> DataFrame:
@@ -141,36 +141,38 @@ def anchor_pieces(rows: DataFrame, parts: int, config: RepeatConfig) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        held: list[tuple[int, tuple]] = []
+        held: list[tuple[int, int, tuple]] = []
         size = 0
 
         def out() -> pa.RecordBatch:
-            keys = np.repeat(np.array([k for k, _ in held], dtype=np.int64), [len(a[0]) for _, a in held])
-            at, hashes, segments, around = (np.concatenate([a[i] for _, a in held]) for i in range(4))
+            ids, tags = (np.array([h[i] for h in held], dtype=np.int64) for i in range(2))
+            number = np.repeat(np.arange(len(held)), [len(a[0]) for *_, a in held])
+            at, hashes, segments, around = (np.concatenate([a[i] for *_, a in held]) for i in range(4))
             part = (hashes >> np.uint64(16)) % np.uint64(parts)
-            order = np.lexsort((at, keys, segments, hashes, part))
-            at, hashes, segments, around, keys, part = (x[order] for x in (at, hashes, segments, around, keys, part))
+            order = np.lexsort((at, ids[number], segments, hashes, part))
+            at, hashes, segments, around, number, part = (x[order] for x in (at, hashes, segments, around, number, part))
+            keys = ids[number]
             new = np.ones(len(at), dtype=bool)
             new[1:] = (hashes[1:] != hashes[:-1]) | (segments[1:] != segments[:-1])
             smallest = np.repeat(keys[new], np.diff(np.append(np.flatnonzero(new), len(at)))) if len(at) else keys
             again = keys > smallest
-            marks = pack_marks(keys[again], at[again], np.full(int(again.sum()), FULL))
-            at, hashes, segments, around, keys, part = (x[~again] for x in (at, hashes, segments, around, keys, part))
+            marks = pack_marks(keys[again], tags[number[again]], at[again], np.full(int(again.sum()), FULL))
+            at, hashes, segments, around, number, part = (x[~again] for x in (at, hashes, segments, around, number, part))
             cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.zeros(0, np.int64)
             made = []
             for s, e in zip(cut, np.append(cut[1:], len(part)), strict=False):
-                own, number = np.unique(keys[s:e], return_inverse=True)
-                packed = (own, hashes[s:e], segments[s:e], around[s:e], number.astype("<u4"), at[s:e].astype("<u4"))
-                made.append([int(part[s]), *(x.tobytes() for x in packed), [], [], []])
+                own, place = np.unique(number[s:e], return_inverse=True)
+                packed = (ids[own], tags[own], hashes[s:e], segments[s:e], around[s:e], place.astype("<u4"), at[s:e].astype("<u4"))
+                made.append([int(part[s]), *(x.tobytes() for x in packed), [], [], [], []])
             if made:
-                made[0][-3:] = [list(c) for c in zip(*marks, strict=True)] or [[], [], []]
-            columns = list(zip(*made, strict=True)) or [[]] * 10
-            types = [pa.int32(), *[pa.binary()] * 6, pa.list_(pa.int64()), *[pa.list_(pa.binary())] * 2]
+                made[0][-4:] = [list(c) for c in zip(*marks, strict=True)] or [[], [], [], []]
+            columns = list(zip(*made, strict=True)) or [[]] * len(PIECE)
+            types = [pa.int32(), *[pa.binary()] * 7, *[pa.list_(pa.int64())] * 2, *[pa.list_(pa.binary())] * 2]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], PIECE)
 
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                held.append((key, find_anchors(text.as_buffer(), hasher, config)))
+            for key, tag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                held.append((key, tag, find_anchors(text.as_buffer(), hasher, config)))
                 size += len(text.as_buffer())
                 if size >= PIECE_BYTES:
                     yield out()
@@ -178,19 +180,21 @@ def anchor_pieces(rows: DataFrame, parts: int, config: RepeatConfig) -> DataFram
         if held:
             yield out()
 
-    kinds = ["int", *["binary"] * 6, "array<long>", "array<binary>", "array<binary>"]
+    kinds = ["int", *["binary"] * 7, "array<long>", "array<long>", "array<binary>", "array<binary>"]
     return rows.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(PIECE, kinds, strict=True)))
 
 
-PIECE = ["part", "ids", "hash", "segment", "around", "doc", "at", "repeat_key", "repeat_at", "repeat_value"]
+PIECE = ["part", "ids", "tags", "hash", "segment", "around", "doc", "at", "repeat_key", "repeat_tag", "repeat_at", "repeat_value"]
 
 
 def unpack(batch: pd.DataFrame) -> list[np.ndarray]:
     hashes, segments, around, at = (
         np.concatenate([np.frombuffer(b, kind) for b in batch[c]]) for c, kind in (("hash", "<u8"), ("segment", "<u8"), ("around", "<u8"), ("at", "<u4"))
     )
-    docs = np.concatenate([np.frombuffer(i, "<i8")[np.frombuffer(d, "<u4")] for i, d in zip(batch["ids"], batch["doc"], strict=True)])
-    return [hashes, segments, around, docs, at]
+    docs, tags = (
+        np.concatenate([np.frombuffer(i, "<i8")[np.frombuffer(d, "<u4")] for i, d in zip(batch[c], batch["doc"], strict=True)]) for c in ("ids", "tags")
+    )
+    return [hashes, segments, around, docs, tags, at]
 
 
 def meets_another(hashes: np.ndarray, context: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -208,13 +212,13 @@ def meets_another(hashes: np.ndarray, context: np.ndarray, docs: np.ndarray) ->
     return out & (context != 0)
 
 
-def classify(hashes, segments, around, docs, at):
+def classify(hashes, segments, around, docs, tags, at):
     """Which anchors lie in a repeated segment, and which need their text.
 
     The text is needed at all places where the smallest document of a class has it.
     """
     order = np.lexsort((at, docs, segments, hashes))
-    hashes, segments, around, docs, at = (x[order] for x in (hashes, segments, around, docs, at))
+    hashes, segments, around, docs, tags, at = (x[order] for x in (hashes, segments, around, docs, tags, at))
     new_class = np.ones(len(hashes), dtype=bool)
     new_class[1:] = (hashes[1:] != hashes[:-1]) | (segments[1:] != segments[:-1])
     first = np.flatnonzero(new_class)
@@ -223,24 +227,26 @@ def classify(hashes, segments, around, docs, at):
     near = np.zeros(len(first), dtype=bool)
     for i in range(4):
         near |= meets_another(hashes[first], around[first] >> np.uint64(16 * i) & np.uint64(0xFFFF), docs[first])
-    return hashes, docs, at, full, ~full & np.repeat(near, sizes)
+    return hashes, docs, tags, at, full, ~full & np.repeat(near, sizes)
 
 
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
+MARK = ["kind", "key", "tag", "at", "value"]
+MARK_TYPE = "kind int, key long, tag long, at binary, value binary"
 
 
 def first_round(pieces: DataFrame) -> DataFrame:
-    """``kind, key, at, value``: marks of repeated segments (kind 0) and requests for text (kind 1)."""
+    """``kind, key, tag, at, value``: marks of repeated segments (kind 0) and requests for text (kind 1)."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        hashes, docs, at, full, ask = classify(*unpack(part))
-        marks = [(0, *row) for row in pack_marks(docs[full], at[full], np.full(int(full.sum()), FULL))]
-        for keys, places, values in zip(part["repeat_key"], part["repeat_at"], part["repeat_value"], strict=True):
-            marks += [(0, *row) for row in zip(keys, places, values, strict=True)]
-        asks = [(1, *row) for row in pack_marks(docs[ask], at[ask], hashes[ask])]
-        return pd.DataFrame(marks + asks, columns=["kind", "key", "at", "value"])
+        hashes, docs, tags, at, full, ask = classify(*unpack(part))
+        marks = [(0, *row) for row in pack_marks(docs[full], tags[full], at[full], np.full(int(full.sum()), FULL))]
+        for lists in zip(*(part[f"repeat_{c}"] for c in ("key", "tag", "at", "value")), strict=True):
+            marks += [(0, *row) for row in zip(*lists, strict=True)]
+        asks = [(1, *row) for row in pack_marks(docs[ask], tags[ask], at[ask], hashes[ask])]
+        return pd.DataFrame(marks + asks, columns=MARK)
 
-    return pieces.groupBy("part").applyInPandas(run, "kind int, key long, at binary, value binary")
+    return pieces.groupBy("part").applyInPandas(run, MARK_TYPE)
 
 
 class RunLengthIndex:
@@ -352,7 +358,7 @@ def match_segments(segments: list[bytes], docs: np.ndarray, depth: int) -> tuple
 
 
 def cut_segments(asked: DataFrame, parts: int, config: RepeatConfig) -> DataFrame:
-    """``part, key, at, hash, left, segment``: the text around every anchor that was asked for."""
+    """``row, part, at, left, segment``: the text around every anchor that was asked for."""
 
     def start():
         def cut(texts, at, values):
@@ -372,10 +378,10 @@ def cut_segments(asked: DataFrame, parts: int, config: RepeatConfig) -> DataFram
 
 
 def second_round(segments: DataFrame, config: RepeatConfig) -> DataFrame:
-    """``kind, key, at, value``: for every segment the bits of its repeated strings."""
+    """``kind, key, tag, at, value``: for every segment the bits of its repeated strings."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        docs, at = rows["key"].to_numpy(), rows["at"].to_numpy()
+        docs, tags, at = (rows[c].to_numpy() for c in ("key", "tag", "at"))
         rows["before"] = rows["at"] - rows["left"]
         once = rows.groupby(["key", "before", "segment"], sort=False).ngroup().to_numpy()  # a text that a document has several times
         first = np.unique(once, return_index=True)[1]
@@ -386,10 +392,10 @@ def second_round(segments: DataFrame, config: RepeatConfig) -> DataFrame:
         np.bitwise_or.at(found, which[own], np.uint64(1) << shift[own].astype(np.uint64))
         bits = found[once]
         hit = bits > 0
-        marks = [(0, *row) for row in pack_marks(docs[hit], at[hit], bits[hit])]
-        return pd.DataFrame(marks, columns=["kind", "key", "at", "value"])
+        marks = [(0, *row) for row in pack_marks(docs[hit], tags[hit], at[hit], bits[hit])]
+        return pd.DataFrame(marks, columns=MARK)
 
-    return segments.groupBy("part").applyInPandas(run, "kind int, key long, at binary, value binary")
+    return segments.select("part", "row.*", "at", "left", "segment").groupBy("part").applyInPandas(run, MARK_TYPE)
 
 
 def repeated(n: int, at: list[bytes], values: list[bytes], config: RepeatConfig) -> np.ndarray:
@@ -411,10 +417,11 @@ def remove_repeats(docs: DataFrame, config: RepeatConfig = RepeatConfig(), key:
     ``removed`` lists the maximal runs of removed bytes as (start, stop) and ``kept`` is the rest of
     the text. A byte goes if a string of ``length`` bytes that covers it also starts in a row with a smaller
     key, judged on the input. NULL and empty texts lose nothing. A row with a NULL key loses
-    nothing and is no source; rows with equal keys are no sources for each other and are taken to be copies of one
-    text. Keys must be integers. An empty table gives an empty result.
+    nothing and is no source; rows with equal keys are no sources for each other, and each loses what its own
+    text repeats. Keys must be integers. An empty table gives an empty result.
     """
     whole = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+    whole = whole.select("key", F.xxhash64("text").alias("tag"), "text")  # texts of one key are told apart by the tag
     rows = whole.where(F.col("key").isNotNull()).withColumn("key", F.col("key").cast("long"))
     n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, int(2 * n_bytes / (config.reach + 1) / PART_ANCHORS) + 1)
@@ -422,14 +429,14 @@ def remove_repeats(docs: DataFrame, config: RepeatConfig = RepeatConfig(), key:
     found = materialise(first_round(pieces), "repeat_marks")
 
     def lists(marks: DataFrame) -> DataFrame:
-        return marks.groupBy("key").agg(F.collect_list("at").alias("at"), F.collect_list("value").alias("value"))
+        return marks.groupBy("key", "tag").agg(F.collect_list("at").alias("at"), F.collect_list("value").alias("value"))
 
-    asked = rows.join(lists(found.where("kind = 1")), "key").select("key", "text", "at", "value")
+    asked = rows.join(lists(found.where("kind = 1")), ["key", "tag"]).select(F.struct("key", "tag").alias("row"), "text", "at", "value")
     n_asked = found.where("kind = 1").agg(F.sum(F.octet_length("at"))).first()[0] or 0
     segments = cut_segments(asked, int(n_asked / 4 / PART_SEGMENTS) + 1, config)
     more = materialise(second_round(segments, config), "repeat_matches")
-    marks = lists(found.where("kind = 0").unionAll(more)).withColumnRenamed("key", "marked")
-    joined = whole.join(marks, F.col("key") == F.col("marked"), "left").select("key", "text", "at", "value")
+    marks = lists(found.where("kind = 0").unionAll(more))
+    joined = whole.join(marks, ["key", "tag"], "left").select("key", "text", "at", "value")
 
     def start():
         def cut(texts, at, values):
