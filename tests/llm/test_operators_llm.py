@@ -95,6 +95,18 @@ def test_simhash_equals_brute_force(spark, sf_dir, odd_docs, no_docs):
     assert simhash.near_duplicates(no_docs, 4, 4).count() == 0 and simhash.keep_first(no_docs, 4, 4).count() == 0
 
 
+def test_rows_that_share_an_id_but_no_text_stay_both(spark):
+    say = lambda seed: " ".join(f"w{k}" for k in np.random.default_rng(seed).integers(0, 500, 60))
+    rows = [(1, say(1), "a"), (1, say(2), "b"), (1, say(2), "b"), (1, say(2), "c"), (2, say(1) + "", "d"), (3, say(3), "e"), (None, say(1), "f")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, row string").repartition(4)
+    kept = sorted((r.doc_id or 0, r.text, r.row) for r in simhash.keep_first(table, 4, 4).collect())
+    again = sorted((r.doc_id or 0, r.text, r.row) for r in simhash.keep_first(table.repartition(2), 4, 4).collect())
+    assert kept == again and len(kept) == 4
+    assert {(k, t) for k, t, _ in kept} == {(1, say(1)), (1, say(2)), (3, say(3)), (0, say(1))}
+    found = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(table, 4, 4).collect()}
+    assert found == {(1, 1), (2, 1), (3, 3), (None, None)}
+
+
 def planted_codes(n, near, seed):
     rng = np.random.default_rng(seed)
     codes = rng.integers(0, 2**63, n, dtype=np.uint64)
@@ -175,6 +187,16 @@ def test_vectors_equal_brute_force(spark, sf_dir):
     assert vector_dedup.near_vectors(table.limit(0)).count() == 0
 
 
+def test_vectors_that_share_an_id_keep_their_own_links(spark):
+    rng = np.random.default_rng(8)
+    one, two = ([float(x) for x in rng.normal(size=8)] for _ in range(2))
+    scaled = [x * 1e200 for x in one]
+    rows = [(1, one, 0), (4, one, 0), (1, two, 1), (2, two, 1), (3, [x * 2 for x in two], 1), (5, scaled, 0), (6, [x * 1e-200 for x in one], 0)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = Counter(map(tuple, vector_dedup.near_vectors(table).collect()))
+    assert got == Counter([(1, 3, 1, True), (4, 3, 1, False), (5, 3, 1, False), (6, 3, 1, False), (1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False)])
+
+
 def test_quantisation_bound_holds():
     rng = np.random.default_rng(0)
     unit = rng.normal(size=(300, 48)) * rng.exponential(1, (300, 48)) ** 3

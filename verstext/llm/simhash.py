@@ -220,23 +220,31 @@ def near_links(distinct: DataFrame, distance: int, cell_rows: int = CELL_ROWS) -
     return dealt.groupBy("cell").applyInPandas(lambda rows: cell_links(rows, distance), "left long, right long")
 
 
+def fingerprint_sets(distinct: DataFrame, distance: int) -> DataFrame:
+    """``fp, set``: for each fingerprint of ``distinct`` the smallest one that links reach.
+
+    Fingerprints are the nodes, so rows that share an id but not their text stay apart.
+    """
+    own = distinct.select("fp", F.col("fp").alias("rep"))
+    joined = components(near_links(own, distance), "left", "right")
+    return distinct.join(joined, F.col("fp") == F.col("node"), "left").select(*distinct.columns, F.coalesce("component", "fp").alias("set"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int, distance: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row.
 
     ``component_id`` is the smallest key that links of at most ``distance`` differing bits reach.
     Rows without words have fingerprint 0 and link like any other. A row with a NULL key is
     returned with a NULL component and links nothing; repeated rows are returned as often as they
-    come. Keys must be integers. An empty table gives an empty result. Only fingerprints and keys
-    are shuffled.
+    come, and rows that share a key are linked by their texts only. Keys must be integers. An empty
+    table gives an empty result. Only fingerprints and keys are shuffled.
     """
     prints = materialise(fingerprints(docs, shingle, key, text), "fingerprints")
     keyed = prints.where(F.col("key").isNotNull())
-    distinct = materialise(keyed.groupBy("fp").agg(F.min("key").cast("long").alias("rep")), "distinct_fingerprints")
-    joined = components(near_links(distinct, distance), "left", "right")
-    owner = distinct.join(joined, F.col("rep") == F.col("node"), "left").select(
-        "fp", F.coalesce("component", "rep").alias("component")
-    )
-    owner = materialise(owner, "fingerprint_owners")
+    distinct = materialise(keyed.groupBy("fp").agg(F.min("key").cast("long").alias("low")), "distinct_fingerprints")
+    sets = materialise(fingerprint_sets(distinct, distance), "fingerprint_sets")
+    lowest = sets.groupBy("set").agg(F.min("low").alias("component"))
+    owner = materialise(sets.join(lowest, "set").select("fp", "component"), "fingerprint_owners")
     return prints.join(owner, "fp", "left").select(
         F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.when(F.col("key").isNotNull(), F.col("component")).alias("component_id"),
@@ -246,9 +254,16 @@ def near_duplicates(docs: DataFrame, shingle: int, distance: int, key: str = "do
 def keep_first(docs: DataFrame, shingle: int, distance: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that stand for their groups: one row for each group, all columns kept.
 
-    Rows with a NULL key belong to no group and stay.
+    The row with the smallest key stays; of rows that share the key as well, the one with the smallest hash
+    of all its columns, and of rows equal in all columns any one. A row is judged by its own text: rows that
+    share a key but are not linked stay both. Rows with a NULL key belong to no group and stay.
     """
-    found = near_duplicates(docs, shingle, distance, key, text)
-    stay = found.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("__stay")).distinct()
-    first = docs.join(stay, F.col(key) == F.col("__stay"), "left_semi").dropDuplicates([key])
+    row = F.struct(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("text"), F.xxhash64(*docs.columns).alias("all"))
+    marked = next(n for n in ("row", "row_", "row__") if n not in docs.columns)
+    named = docs.where(F.col(key).isNotNull()).withColumn(marked, row)
+    prints = materialise(fingerprints(named, shingle, marked, text), "fingerprints")
+    distinct = materialise(prints.groupBy("fp").agg(F.min("key").alias("low")), "distinct_fingerprints")
+    lowest = fingerprint_sets(distinct, distance).groupBy("set").agg(F.min("low").alias(marked))
+    stay = materialise(lowest.select(marked), "rows_kept")
+    first = named.join(stay, marked, "left_semi").dropDuplicates([marked]).select(*docs.columns)
     return first.unionByName(docs.where(F.col(key).isNull()))

@@ -35,6 +35,8 @@ def tile_links(vectors: np.ndarray, copies: np.ndarray, first: np.ndarray, secon
     Returns the number of linked vectors of each row (copies counted) and the smallest linked
     position of each row's set. Pairs are not listed; memory is one block product.
     """
+    # powers of two change no digit and keep squares of very large and very small components finite
+    vectors = np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1))[1][:, None])
     norms = np.linalg.norm(vectors, axis=1)
     unit = vectors / norms[:, None]
     whole, scale, rest = quantise(unit)
@@ -65,15 +67,15 @@ def tile_links(vectors: np.ndarray, copies: np.ndarray, first: np.ndarray, secon
 
 def cell_links(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """One row for each vector of a cell that has links in it."""
-    rows = rows.sort_values("rep", ignore_index=True)
+    rows = rows.sort_values("node", ignore_index=True)
     vectors = np.stack([np.asarray(v, dtype=np.float64) for v in rows["vector"]])
     tile, copies = rows["tile"].to_numpy(), rows["copies"].to_numpy()
     low, high = np.flatnonzero(tile == rows["low"].iloc[0]), np.flatnonzero(tile == rows["high"].iloc[0])
     second = low if rows["low"].iloc[0] == rows["high"].iloc[0] else high
     links, labels = tile_links(vectors, copies, low, second, threshold)
-    rep = rows["rep"].to_numpy()
-    found = pd.DataFrame({"rep": rep, "links": links, "linked": rep[labels]})
-    return found[(found["links"] > 0) | (found["linked"] != found["rep"])]
+    node = rows["node"].to_numpy()
+    found = pd.DataFrame({"node": node, "links": links, "linked": node[labels]})
+    return found[(found["links"] > 0) | (found["linked"] != found["node"])]
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.98, key: str = "vec_id", vector: str = "embedding",
@@ -82,8 +84,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, key: str = "vec_id
 
     Vectors are compared when their labels are equal and not NULL and they have the same number of
     components. A vector that is NULL, empty, zero or holds a NULL or non-finite component links
-    with nothing: ``n_links`` 0 and its own component. Rows with equal vectors link with each other
-    and are searched as one; a repeated key counts as a further vector. A NULL key has a NULL component and links nothing. Keys must be
+    with nothing: ``n_links`` 0 and its own component. Rows with equal vectors of a label link with each other
+    and are searched as one node. A repeated key counts as a further vector, each row with the links of its own
+    label and vector. A NULL key has a NULL component and links nothing. Keys must be
     integers. An empty table gives an empty result.
 
     The vectors of a label are dealt by hash to tiles of about ``tile_rows`` and every pair of
@@ -98,32 +101,35 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, key: str = "vec_id
         F.col(key).alias("key"), F.col(label).alias("label"),
         F.when(F.coalesce(usable, F.lit(False)), F.transform(vector, lambda x: x.cast("double") + F.lit(0.0))).alias("vector"),
     )
+    # two hashes stand for the vector wherever rows meet again
+    same = ["label", "hash", "hash_back"]
+    rows = rows.withColumns({"hash": F.xxhash64("vector"), "hash_back": F.xxhash64(F.reverse("vector"), F.lit(1))})
     good = rows.where(F.col("vector").isNotNull())
-    # equal vectors of a label are one row; sums of hashes keep the vector out of the grouping key of the join back
-    distinct = good.groupBy("label", "vector").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    distinct = materialise(distinct, "distinct_vectors")
+    distinct = good.groupBy(*same, "vector").agg(F.min("key").cast("long").alias("low"), F.count(F.lit(1)).alias("copies"))
+    distinct = materialise(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct_vectors")
     shape = ["label", "dim"]
     sized = distinct.withColumn("dim", F.size("vector"))
     tiles = sized.groupBy(*shape).agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("tiles"))
-    placed = sized.join(tiles, shape).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    placed = sized.join(tiles, shape).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     dealt = placed.withColumn("other", other).select(
-        "label", "dim", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "rep", "copies", "vector"
+        "label", "dim", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "node", "copies", "vector"
     )
     found = dealt.groupBy("label", "dim", "low", "high").applyInPandas(
-        lambda cell: cell_links(cell, threshold), "rep long, links long, linked long"
+        lambda cell: cell_links(cell, threshold), "node long, links long, linked long"
     )
     found = materialise(found, "vector_links")
-    n_links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    joined = components(found, "rep", "linked").select(F.col("node").alias("rep"), "component")
-    answer = distinct.join(n_links, "rep", "left").join(joined, "rep", "left").select(
-        "label", "vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-        F.coalesce("component", "rep").alias("component"),
+    n_links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    joined = components(found, "node", "linked")
+    sets = distinct.select(*same, "node", "copies", "low").join(n_links, "node", "left").join(joined, "node", "left").select(
+        *same, "low", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("set")
     )
-    answer = materialise(answer, "vector_answers")
-    linked = rows.join(answer, (rows["label"] == answer["label"]) & (rows["vector"] == answer["vector"]), "left")
-    component = F.when(rows["key"].isNotNull(), F.coalesce("component", rows["key"])).cast("long")
+    sets = materialise(sets, "vector_sets")
+    lowest = sets.groupBy("set").agg(F.min("low").alias("component"))
+    answer = materialise(sets.join(lowest, "set").select(*same, "n_links", "component"), "vector_answers")
+    linked = rows.select("key", *same, F.col("vector").isNotNull().alias("good")).join(answer.withColumn("good", F.lit(True)), [*same, "good"], "left")
+    component = F.when(F.col("key").isNotNull(), F.coalesce("component", "key")).cast("long")
     return linked.select(
-        rows["key"].alias(key), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
-        component.alias("component_id"), (rows["key"] == component).alias("kept"),
+        F.col("key").alias(key), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
+        component.alias("component_id"), (F.col("key") == component).alias("kept"),
     )
