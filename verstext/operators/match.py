@@ -282,20 +282,21 @@ def complete_matches(matched: DataFrame, sentences: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- the whole match
 
 
-def _sides(sentences: DataFrame) -> DataFrame:
+def _sides(sentences: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     """Each sentence once as an older and once as a newer one, keyed by the older version."""
-    cols = ["entry_id", "sent_idx", "sentence"]
+    cols = ["entry_id", "sent_idx", "sentence", *more]
     old = sentences.select(*cols, F.col("version").alias("version_x"), F.lit("x").alias("side"))
     new = sentences.select(*cols, (F.col("version") - 1).alias("version_x"), F.lit("y").alias("side"))
     return old.unionByName(new)
 
 
-def exact_partners(sentences: DataFrame) -> DataFrame:
+def exact_partners(sentences: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     """Every sentence in both roles with the nearest equal sentence of the other side, or NULL.
 
     Two running extremes over the occurrences of one text replace the pairs of occurrences.
+    Columns named in ``more`` are carried along.
     """
-    rows = _sides(sentences)
+    rows = _sides(sentences, more)
     up = Window.partitionBy(*PAIR, "sentence").orderBy("sent_idx")
     down = Window.partitionBy(*PAIR, "sentence").orderBy(F.desc("sent_idx"))
     at_x = F.when(F.col("side") == "x", F.col("sent_idx"))
@@ -456,6 +457,17 @@ def _search_in_rungs(side: _Side, spread: DataFrame, rungs: tuple[float, ...]) -
     return best
 
 
+def _search(side: _Side, open_rows: DataFrame, heavy: DataFrame | None, rungs, shift: int) -> DataFrame:
+    """Best partners of ``open_rows``; pairs of versions named in ``heavy`` are searched in rungs."""
+    if heavy is None:
+        return _search_direct(side, _spread_words(open_rows, side.words, shift))
+    light_rows = open_rows.join(heavy, PAIR, "left_anti")
+    heavy_rows = open_rows.join(heavy, PAIR, "left_semi")
+    return _search_direct(side, _spread_words(light_rows, side.words, shift)).unionByName(
+        _search_in_rungs(side, _spread_words(heavy_rows, side.words, shift), rungs)
+    )
+
+
 def _one_side(side: _Side, settled: DataFrame, heavy: DataFrame | None, rungs) -> DataFrame:
     own = settled.where(F.col("side") == side.name)
     exact = own.where("partner IS NOT NULL").select(
@@ -465,14 +477,7 @@ def _one_side(side: _Side, settled: DataFrame, heavy: DataFrame | None, rungs) -
     if not side.own_norm:
         return _named(_with_foreign_norm(side, own, exact, shift), side.name)
     open_rows = own.where("partner IS NULL")
-    if heavy is None:
-        best = _search_direct(side, _spread_words(open_rows, side.words, shift))
-    else:
-        light_rows = open_rows.join(heavy, PAIR, "left_anti")
-        heavy_rows = open_rows.join(heavy, PAIR, "left_semi")
-        best = _search_direct(side, _spread_words(light_rows, side.words, shift)).unionByName(
-            _search_in_rungs(side, _spread_words(heavy_rows, side.words, shift), rungs)
-        )
+    best = _search(side, open_rows, heavy, rungs, shift)
     opened = open_rows.select(*PAIR, "sent_idx").join(best, [*PAIR, "sent_idx"], "left")
     return _named(exact.unionByName(opened), side.name)
 
@@ -537,3 +542,62 @@ def match_bidirectional(
     x = _Side("x", words, near, config, _other_words(sentences, words, -1, sized=False))
     y = _Side("y", words, near, config, _other_words(sentences, words, 0, sized=config.norm != "own"))
     return combine_sides(_one_side(x, settled, heavy, rungs), _one_side(y, settled, heavy, rungs))
+
+
+# ---------------------------------------------------------------- sentences that arrive over time
+
+
+PARTNER = ["entry_id", "version_x", "side", "sent_idx"]
+
+
+def improved_partners(
+    sentences: DataFrame, config: MatchConfig = MatchConfig(), rungs: tuple[float, ...] = RUNGS, heavy_limit: int = HEAVY_LIMIT
+) -> DataFrame:
+    """What new sentences (``fresh``) change in the partners of the versions that they touch.
+
+    One row for every sentence of the touched pairs of versions: its nearest partner among the new
+    sentences, or among all if it is new itself, or NULL. Old sentences are not compared
+    with old ones again. ``nearest_partners`` adds such tables up.
+    """
+    changed = sentences.where("fresh").select("entry_id", F.explode(F.array("version", F.col("version") - 1)).alias("version_x"))
+    pairs = changed.distinct().join(version_pairs(sentences), PAIR, "left_semi")
+    settled = exact_partners(sentences, ("fresh",)).join(pairs, PAIR, "left_semi")
+    if config.norm == "own":
+        settled = settled.withColumn("sentence", F.when(F.col("partner").isNull(), F.col("sentence")))
+    settled = materialise(settled, "settled")
+    heavy = None
+    if config.norm == "own":
+        heavy = _heavy_pairs(settled, heavy_limit)
+        if heavy.isEmpty():
+            heavy = None
+    sides = []
+    for name, shift in (("x", 0), ("y", -1)):
+        sized = name == "y" and config.norm != "own"
+        own = settled.where(F.col("side") == name)
+        every, new = (_other_words(s, None, -1 - shift, sized) for s in (sentences, sentences.where("fresh")))
+        # without a norm of its own a distance can fall below that of an equal text, so all are searched
+        wanted = own if sized else own.where("partner IS NULL")
+        found = [
+            _search(_Side(name, None, None, config, others), wanted.where(rows), heavy, rungs, shift)
+            for rows, others in ((F.col("fresh"), every), (~F.col("fresh"), new))
+        ]
+        exact = own.select(*PAIR, "sent_idx", "partner", F.lit(0).alias("inexact"), F.when(F.col("partner").isNotNull(), 0.0).alias("avg_sentence_distance"))
+        near = found[0].unionByName(found[1]).withColumn("inexact", F.lit(1))
+        sides.append(exact.unionByName(near.select(*exact.columns)).withColumn("side", F.lit(name)))
+    return nearest_partners(sides[0].unionByName(sides[1]))
+
+
+def nearest_partners(rows: DataFrame) -> DataFrame:
+    """The nearest of several partners of a sentence; equal texts, then positions settle ties as in the match.
+
+    Adding up parts in any order and more than once gives the same table.
+    """
+    gap = F.abs(F.col("sent_idx") - F.col("partner"))
+    rank = F.struct("avg_sentence_distance", "inexact", gap.alias("gap"), "partner")
+    best = rows.groupBy(*PARTNER).agg(F.min(F.when(F.col("partner").isNotNull(), rank)).alias("best"))
+    return best.select(*PARTNER, "best.partner", "best.inexact", "best.avg_sentence_distance")
+
+
+def match_of_partners(partners: DataFrame) -> DataFrame:
+    """The match table of a table of nearest partners."""
+    return combine_sides(*[_named(partners.where(F.col("side") == name), name) for name in "xy"])

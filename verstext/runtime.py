@@ -48,4 +48,33 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def list_path(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of whatever store holds it; none if there is no such folder."""
+    target, store = _file_system(spark, path)
+    return [s.getPath().getName() for s in store.listStatus(target)] if store.exists(target) else []
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder in whatever store holds it."""
+    target, store = _file_system(spark, path)
+    store.delete(target, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of ``materialise`` that no later step reads.
+
+    Only steps whose own results are stored already may be behind them, as a lost executor makes
+    Spark read the files again.
+    """
+    for t in tables:
+        delete_path(t.sparkSession, t.stored_at)
