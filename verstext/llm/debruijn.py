@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from verstext.llm.rows import map_keyed
 from verstext.llm.substring_dedup import BASE, INVERSE, mixed, sliding
-from verstext.runtime import materialise
+from verstext.runtime import discard, materialise
 
 PIECE_BYTES = 2_000_000
 PLACE_BITS = 24  # of a window's sort key; the rest is the hash
@@ -191,9 +191,12 @@ def count_edges(texts: DataFrame, config: WindowConfig) -> DataFrame:
     every = materialise(stretch_rows(texts, config), "stretches")
     anchors = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("low"), F.max("content").alias("high"))
     several = anchors.where("n > 1").select("anchor", (F.col("low") < F.col("high")).alias("mixed"))
+    several = materialise(several, "anchors_again")  # so that both sides of the join are dealt anew and a frequent anchor can be split
     found = materialise(every.join(several, "anchor"), "stretches_again")
+    discard(every, several)
     once = found.groupBy(*found.columns).agg(F.count(F.lit(1)).alias("copies"))  # rows with equal texts
     once = materialise(once, "stretches_once")
+    discard(found)
     source = F.min(F.struct("text_id", "at", "size")).alias("source")
     classes = once.groupBy("anchor", "content").agg(F.sum("copies").alias("times"), F.first("mixed").alias("mixed"), source)
     classes = materialise(classes, "stretch_classes")
@@ -213,11 +216,16 @@ def count_edges(texts: DataFrame, config: WindowConfig) -> DataFrame:
     )
     known = classes.join(counted, ["anchor", "content"], "left").where("not mixed or counted is not null")
     known = materialise(known.select("anchor", "content", "times", "counted"), "edges")
+    discard(classes, wanted, cut, again)
     borders = once.where("across is not null").groupBy("anchor", "across").agg(F.sum("copies").alias("across_times"))
     borders = materialise(borders.where("across_times > 1"), "borders")
-    edges = materialise(once.join(known, ["anchor", "content"]), "edge_places").join(borders, ["anchor", "across"], "left")
+    places = materialise(once.join(known, ["anchor", "content"]), "edge_places")
+    discard(known, once)
+    edges = places.join(borders, ["anchor", "across"], "left")
     listed = edges.groupBy("text_id").agg(F.collect_list(F.struct("at", "size", "times", "across_times", "counted")).alias("edges"))
-    return materialise(listed, "edge_lists")
+    listed = materialise(listed, "edge_lists")
+    discard(places, borders)
+    return listed
 
 
 def paths(n_words: int, edges: list[dict], window: int) -> list[tuple[int, int, int]]:
