@@ -27,6 +27,7 @@ class MixConfig:
     weights: tuple[int, ...] = (1, 2, 3)
     rounds: int = 12
     band_rows: int = 256
+    task_slots: int = 65_536
     seed: str = "mix"
 
 
@@ -132,6 +133,8 @@ def permuted(index: Column, size: Column, keys: Column, name: list[Column], conf
 def block_slots(spark, plan: DataFrame, total: int, config: MixConfig) -> DataFrame:
     """``source_no, shard, pass_no, block``: one row for each slot of the mix."""
     counts = shard_counts(spark, plan, total, config)
+    # counts are small, but each stands for many slots: they are dealt to as many tasks as the slots need
+    counts = counts.repartition(max(1, -(-total // config.task_slots)), "source_no", "shard")
     numbered = counts.select(
         "source_no", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("number")
     ).join(plan.select("source_no", "blocks"), "source_no")
