@@ -3,6 +3,8 @@
 import hashlib
 import math
 import re
+import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -301,6 +303,8 @@ def test_sharding_table_and_places(spark, sf_dir, odd_docs, no_docs):
         assert got.count() == docs.count()
     assert {"slot_in", "shard_in"} < set(sharding.place(odd_docs, names, size=251).columns)
     assert sharding.place(no_docs, names, size=251).count() == 0
+    clash = spark.createDataFrame([(1, 2, 3, "a", "b", "c")], "doc_id long, slot long, slot_in long, shard string, shard_in string, shard_in_in string")
+    assert sharding.place(clash, names, size=251).drop("slot", "shard").collect()[0] == (1, 2, 3, "a", "b", "c")
     for bad in ([], ["a", "a"]):
         with pytest.raises(ValueError, match="prime"):
             sharding.fill_table(bad, 251)
@@ -363,6 +367,22 @@ def slow_longest(item, doc, config):
     return best if best >= min(config.least_tokens, len(a)) else 0
 
 
+def test_tables_of_numbers_meet_only_where_their_values_do():
+    rng = np.random.default_rng(6)
+    config = decontamination.LeakConfig()
+    item, doc = (rng.integers(0, 10**6, n).astype(str).tolist() for n in (1200, 8000))
+    doc[4000:4020] = item[300:320]
+    start = time.monotonic()
+    index, tokens = decontamination.ItemIndex([(1, " ".join(item))], config), decontamination.Tokens()
+    assert index.leaks(*tokens.read(" ".join(doc))) == [(1, 20, 1200, 20, 0)]
+    assert time.monotonic() - start < 5
+    few = doc[3950:4050]  # brute force on a part of it
+    assert slow_longest(" ".join(item[290:340]), " ".join(few), config) == 20
+    mixed = [w if n % 3 else "word" for n, w in enumerate(item[:60])]  # with literals, other numbers are a re-parameterised item
+    other = [w if w == "word" else str(int(w) + 10**7) for w in mixed]
+    assert decontamination.ItemIndex([(1, " ".join(mixed))], config).leaks(*tokens.read("a b " + " ".join(other)))[0][:3] == (1, 60, 60)
+
+
 def lone(words):
     """No two names side by side."""
     return ["b" if n % 2 and w.istitle() else w for n, w in enumerate(words)]
@@ -580,6 +600,84 @@ def test_toxicity_learns_and_generalises(spark, odd_docs, no_docs):
     assert toxicity.score(no_docs, model).count() == 0
 
 
+def slow_subwords(word, config):
+    marked = f"<{word}>"
+    grams = {marked} | {marked[i : i + n] for n in range(config.shortest, config.longest + 1) for i in range(len(marked) - n + 1)}
+    return {zlib.crc32(g.encode("utf-8", "replace")) % config.buckets for g in grams}
+
+
+def test_n_grams_of_long_words_are_those_of_short_ones():
+    config = toxicity.ToxicityConfig()
+    rng = np.random.default_rng(1)
+    for word in ("a" * 5000, "".join(rng.choice(list("abc\u00e9\u4e2d\U0001f600"), 6000)), "x" * 4095 + "\ud800" + "y" * 10, "ab"):
+        assert set(toxicity.subwords(word, config)) == slow_subwords(word, config)
+
+
+def test_long_words_among_many_take_little_memory():
+    text = " ".join(f"w{n}" for n in range(20_000)) + " " + "z" * 200_000
+    tracemalloc.start()
+    toxicity.pack_words(text, toxicity.ToxicityConfig(), {})
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20
+
+
+def slow_train(bags, labels, config):
+    """The same training written out text by text: forward pass, gradients and Adam for single numbers."""
+    rng = np.random.default_rng(config.seed)
+    table = rng.normal(0, 0.01, (config.buckets, config.dim)).astype(np.float32).astype(float)
+    seen = [sum(b in ids for ids, _ in bags) >= config.least_texts for b in range(config.buckets)]
+    table[[not x for x in seen]] = 0
+    layer = rng.normal(0, 0.5, (config.dim, 2)).astype(np.float32).astype(float)
+    bias = np.zeros(2)
+    state = [(np.zeros_like(p), np.zeros_like(p)) for p in (table, layer, bias)]
+    step = 0
+    for _ in range(max(config.epochs, -(-config.least_steps * config.batch // len(bags)))):
+        order = rng.permutation(len(bags))
+        for start in range(0, len(order), config.batch):
+            rows = order[start : start + config.batch]
+            grads = [np.zeros_like(p) for p in (table, layer, bias)]
+            for r in rows:
+                mean = sum((w * table[b] for b, w in zip(*bags[r], strict=True) if seen[b]), np.zeros(config.dim))
+                logits = [sum(mean[k] * layer[k, c] for k in range(config.dim)) + bias[c] for c in range(2)]
+                total = sum(math.exp(x) for x in logits)
+                error = np.array([math.exp(x) / total - (labels[r] == c) for c, x in enumerate(logits)]) / len(rows)
+                for b, w in zip(*bags[r], strict=True):
+                    if seen[b]:
+                        grads[0][b] += w * (layer @ error)
+                grads[1] += np.outer(mean, error)
+                grads[2] += error
+            step += 1
+            for p, g, (m, v) in zip((table, layer, bias), grads, state, strict=True):
+                m += 0.1 * (g - m)
+                v += 0.001 * (g * g - v)
+                p -= config.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    return table @ (layer[:, 1] - layer[:, 0]), bias[1] - bias[0]
+
+
+def test_training_and_scores_equal_brute_force(spark):
+    config = toxicity.ToxicityConfig(buckets=64, dim=3, epochs=2, least_steps=1, batch=5, least_texts=2, blank=4.0)
+    texts = ["good day to all", "bad idiots", "what a day", "you idiot", "idiots all day", "a good idea", "idiot idiot day", "all good"]
+    labels = np.array([0, 1, 0, 1, 1, 0, 1, 0])
+    bags = [toxicity.pack_words(t, config, {}) for t in texts]
+    for (ids, share), t in zip(bags, texts, strict=True):
+        weights = defaultdict(float)
+        for word, n in Counter(toxicity.words_of(t)).items():
+            grams = {f"<{word}>"[i : i + k] for k in range(3, 6) for i in range(len(word) + 3 - k)} | {f"<{word}>"}
+            for g in grams:
+                weights[zlib.crc32(g.encode()) % 64] += 1 + math.log(n)
+        total = sum(weights.values()) + 4.0
+        assert dict(zip(ids.tolist(), share.tolist(), strict=True)) == pytest.approx({b: w / total for b, w in weights.items()}, rel=1e-5)
+    model = toxicity.train(bags, labels, config)
+    grams, bias = slow_train(bags, labels, config)
+    assert model.gram_score == pytest.approx(grams, rel=1e-3, abs=1e-4) and model.margin_bias == pytest.approx(bias, rel=1e-3, abs=1e-4)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in toxicity.score(table, model, config=config).collect():
+        ids, share = bags[r.doc_id]
+        margin = sum(float(w) * float(model.gram_score[b]) for b, w in zip(ids, share, strict=True)) + model.margin_bias
+        assert r.score == pytest.approx(1 / (1 + math.exp(-margin)), rel=1e-5) and r.predicted == (r.score >= 0.5)
+
+
 def test_toxic_words_behind_64_characters_without_a_space(spark):
     rng = np.random.default_rng(3)
     plain = ["table", "river", "window", "garden", "paper", "signal", "winter", "market", "letter", "bridge"]

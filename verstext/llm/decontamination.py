@@ -10,6 +10,7 @@ and numbers is caught and a chance meeting of two patterns of placeholders is no
 from __future__ import annotations
 
 import re
+import uuid
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,7 +20,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from verstext.llm.rows import keep_rows, map_keyed
+from verstext.llm.rows import keep_rows, map_keyed, once_per_worker
 
 # fixed values: units that become placeholders
 UNITS = frozenset(
@@ -171,18 +172,37 @@ def window_hashes(forms: np.ndarray, size: int) -> np.ndarray:
     return stretch_hashes(forms, slice(0, n), slice(size, None)) if n > 0 else forms[:0]
 
 
+def search_hashes(view: View, by_word: bool, size: int) -> np.ndarray:
+    """What windows of one reading are joined by.
+
+    A window with a literal is joined by its template. One of placeholders alone says nothing but its
+    values: a part without literals counts only if no slot has changed, and a longer part has a window
+    with a literal. So these are joined by their values, or any two tables of numbers would meet everywhere.
+    """
+    column = view.words if by_word else view.forms
+    found = window_hashes(column, size)
+    if not len(found):
+        return found
+    blank = view.values != 0
+    if by_word:
+        blank &= view.words == view.forms  # a name is a word of its own here
+    literals = np.concatenate(([0], np.cumsum(~blank)))
+    alone = literals[size:] == literals[: len(found)]
+    return np.where(alone, window_hashes(view.values, size) * MIX + np.uint64(1), found) if alone.any() else found
+
+
 class Windows:
     """The windows of one reading of the items, sorted by hash, for each window length."""
 
-    def __init__(self, config: LeakConfig):
-        self.config = config
+    def __init__(self, config: LeakConfig, by_word: bool):
+        self.config, self.by_word = config, by_word
         self.parts: dict[int, list[np.ndarray]] = {}
         self.sizes: dict[int, np.ndarray] = {}
         self.marks: dict[int, np.ndarray] = {}
 
-    def add(self, item: int, column: np.ndarray) -> None:
-        size = min(self.config.window, len(column))
-        found = window_hashes(column, size)
+    def add(self, item: int, view: View) -> None:
+        size = min(self.config.window, len(view))
+        found = search_hashes(view, self.by_word, size)
         entry = np.zeros(len(found), dtype=[("hash", "u8"), ("item", "i8"), ("at", "i8")])
         entry["hash"], entry["item"], entry["at"] = found, item, np.arange(len(found))
         self.parts.setdefault(size, []).append(entry)
@@ -194,10 +214,10 @@ class Windows:
             mark[entries["hash"] >> np.uint64(46)] = True
         self.parts.clear()
 
-    def runs(self, column: np.ndarray):
+    def runs(self, view: View):
         """(item, start, stop, start in the document) of the runs of windows on one diagonal."""
         for size, entries in self.sizes.items():
-            here = window_hashes(column, size)
+            here = search_hashes(view, self.by_word, size)
             where = np.flatnonzero(self.marks[size][here >> np.uint64(46)])
             if not len(where):
                 continue
@@ -227,7 +247,7 @@ class ItemIndex:
     def __init__(self, items: list[tuple[int, str]], config: LeakConfig):
         tokens = Tokens()
         self.config, self.items = config, []
-        self.windows = [[Windows(config), Windows(config)] for _ in range(2)]  # [folded][words]
+        self.windows = [[Windows(config, by_word) for by_word in (False, True)] for _ in range(2)]  # [folded][words]
         for item_id, text in items:
             plain, folded = tokens.read(text)
             if not len(plain):
@@ -236,8 +256,8 @@ class ItemIndex:
             for view, (by_form, by_word) in zip(views, self.windows, strict=True):
                 if len(view) < min(config.window, len(plain)):
                     continue  # folded to less than a window: too little to tell items apart
-                by_form.add(len(self.items), view.forms)
-                by_word.add(len(self.items), view.words)
+                by_form.add(len(self.items), view)
+                by_word.add(len(self.items), view)
             self.items.append((item_id, views))
         for windows in (w for pair in self.windows for w in pair):
             windows.close()
@@ -247,8 +267,8 @@ class ItemIndex:
         best: dict[int, tuple] = {}
         for f, view in enumerate((plain, folded or plain)):
             seen = set()
-            for windows, column in zip(self.windows[f], (view.forms, view.words), strict=True):
-                for found in windows.runs(column):
+            for windows in self.windows[f]:
+                for found in windows.runs(view):
                     if found in seen:
                         continue
                     seen.add(found)
@@ -363,11 +383,14 @@ def item_blocks(benchmark: DataFrame, config: LeakConfig, item_key: str, item_te
 
 
 def start_search(docs: DataFrame, block: list[tuple[int, str]], config: LeakConfig):
-    """A start function for a task; what it returns gives the leaks of one text."""
-    shared = docs.sparkSession.sparkContext.broadcast(block)
+    """A start function for a task; what it returns gives the leaks of one text.
+
+    A Python worker builds the index once and keeps it for its later tasks.
+    """
+    shared, name = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
     def start():
-        index, tokens = ItemIndex(shared.value, config), Tokens()
+        index, tokens = once_per_worker(name, lambda: (ItemIndex(shared.value, config), Tokens()))
         return lambda text: index.leaks(*tokens.read(text))
 
     return start

@@ -10,6 +10,20 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 PIECE_ROWS = 512
+KEPT_OBJECTS = 4
+_KEPT: dict[str, object] = {}
+
+
+def once_per_worker(name: str, make: Callable[[], object]) -> object:
+    """An index or vocabulary that a Python worker makes for its first task and keeps for the next ones.
+
+    At most ``KEPT_OBJECTS`` are kept; the oldest goes first.
+    """
+    if name not in _KEPT:
+        while len(_KEPT) >= KEPT_OBJECTS:
+            del _KEPT[next(iter(_KEPT))]
+        _KEPT[name] = make()
+    return _KEPT[name]
 
 
 def map_keyed(rows: DataFrame, start: Callable[[], Callable], fields: str) -> DataFrame:

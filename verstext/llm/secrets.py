@@ -12,10 +12,11 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
-from verstext.llm.rows import map_keyed
+from verstext.llm.rows import map_keyed, once_per_worker
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -144,10 +145,10 @@ def scan_secrets(docs: DataFrame, vocabulary: str, ratio: float = 2.2, key: str
     ``base_sha256`` its digest. Rows with a NULL or repeated key are scanned like any other. There is no shuffle.
     """
     with open(vocabulary, "rb") as f:
-        shared = docs.sparkSession.sparkContext.broadcast(f.read())
+        shared, name = docs.sparkSession.sparkContext.broadcast(f.read()), uuid.uuid4().hex
 
     def start():
-        encode = load_encoder(shared.value)
+        encode = once_per_worker(name, lambda: load_encoder(shared.value))
 
         def scan(texts: list[str]):
             out = []

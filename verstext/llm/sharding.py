@@ -55,13 +55,17 @@ def slot_of(key: str, size: int):
 def place(docs: DataFrame, shards: list[str], key: str = "doc_id", size: int = TABLE_SIZE) -> DataFrame:
     """All rows and columns of ``docs`` with ``slot`` and ``shard`` added.
 
-    Existing columns of these names are kept as ``slot_in`` and ``shard_in``. Rows with a NULL key
+    Existing columns of these names are kept as ``slot_in`` and ``shard_in``, with more ``_in`` if these names
+    are taken too. Rows with a NULL key
     share one slot; rows with equal keys share a slot. Nothing is shuffled: the table of ``size``
     rows is broadcast.
     """
     for name in ("slot", "shard"):
         if name in docs.columns:
-            docs = docs.withColumnRenamed(name, f"{name}_in")
+            new = name
+            while new in docs.columns:
+                new += "_in"
+            docs = docs.withColumnRenamed(name, new)
     names = [shards[s] for s in fill_table(shards, size)]
     table = docs.sparkSession.createDataFrame(list(enumerate(names)), "slot long, shard string")
     return docs.withColumn("slot", slot_of(key, size)).join(F.broadcast(table), "slot", "left").select(*docs.columns, "slot", "shard")

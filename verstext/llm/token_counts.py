@@ -9,12 +9,13 @@ made it, so rounds give the same symbols as one merge at a time. Surviving symbo
 from __future__ import annotations
 
 import json
+import uuid
 
 import numpy as np
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from verstext.llm.rows import map_keyed
+from verstext.llm.rows import map_keyed, once_per_worker
 
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHE_ENTRIES = 1_000_000
@@ -133,13 +134,13 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, key: str = "
     beside key and text are not read. There is no shuffle.
     """
     with open(tokenizer, encoding="utf-8") as f:
-        shared = docs.sparkSession.sparkContext.broadcast(json.load(f))
+        shared, name = docs.sparkSession.sparkContext.broadcast(json.load(f)), uuid.uuid4().hex
 
     content = F.coalesce(F.col(text), F.lit(""))
     sized = docs.select(F.col(key), content.alias("text"), F.octet_length(content).cast("long").alias("n_bytes"))
 
     def start():
-        merger = RankMerger(shared.value)
+        merger = once_per_worker(name, lambda: RankMerger(shared.value))
         return lambda texts, sizes: (None, [sizes, merger.count(texts)])
 
     found = map_keyed(sized, start, "n_bytes long, n_tokens long")

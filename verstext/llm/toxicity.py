@@ -4,6 +4,9 @@ A word is the bag of its character n-grams (with word bounds) hashed into bucket
 mean of the embeddings of all its n-grams; the mean goes through a linear layer and a softmax over
 two classes. Embeddings and layer are trained together, so a misspelling that was never seen still
 shares most of its n-gram vectors with the word it stands for.
+
+The mean is weighted: each n-gram of a word that comes n times has weight 1 + log n, and ``blank`` counts
+as so much weight of n-grams that say nothing, so that a few words do not decide about a short text.
 """
 
 from __future__ import annotations
@@ -52,9 +55,37 @@ def words_of(text: str) -> list[str]:
     return [w for w in (p.strip(STRIP) for p in text.lower().split()) if w]
 
 
+LONG_WORD = 4096
+
+
+def crc_table() -> np.ndarray:
+    """The CRC-32 of each byte, by the rule of its polynomial."""
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, (table >> 1) ^ np.uint32(0xEDB88320), table >> 1)
+    return table
+
+
+def long_subwords(marked: bytes, config: ToxicityConfig) -> np.ndarray:
+    """Distinct CRC-32 of the n-grams of a long word, by arrays over its bytes."""
+    data = np.frombuffer(marked, np.uint8)
+    bounds = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # where characters begin
+    table, found = crc_table(), [np.array([zlib.crc32(marked)], dtype=np.uint32)]
+    for n in range(config.shortest, config.longest + 1):
+        start, stop = bounds[:-n], bounds[n:]
+        crc = np.full(len(start), 0xFFFFFFFF, dtype=np.uint32)
+        for step in range(int((stop - start).max())):
+            inside = np.flatnonzero(start + step < stop)
+            crc[inside] = table[(crc[inside] ^ data[start[inside] + step]) & 0xFF] ^ (crc[inside] >> np.uint32(8))
+        found.append(np.unique(~crc))
+    return np.concatenate(found)
+
+
 def subwords(word: str, config: ToxicityConfig) -> list[int]:
     """Bucket numbers of the n-grams of one word and of the word itself."""
     marked = f"<{word}>"
+    if len(word) > LONG_WORD:
+        return (long_subwords(marked.encode("utf-8", "replace"), config) % np.uint32(config.buckets)).tolist()
     grams = {marked}
     for n in range(config.shortest, config.longest + 1):
         grams.update(marked[i : i + n] for i in range(len(marked) - n + 1))
@@ -63,14 +94,13 @@ def subwords(word: str, config: ToxicityConfig) -> list[int]:
 
 def pack_words(text: str, config: ToxicityConfig, ids: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text and their shares of all its n-grams."""
-    words, counts = np.unique(words_of(text), return_counts=True) if text.strip() else ((), ())
     grams, weights = [], []
-    for word, n in zip(words, counts, strict=True):
+    for word, n in sorted(Counter(words_of(text)).items()):
         found = ids.get(word)
         if found is None:
             if len(ids) > config.cache_words:
                 ids.clear()
-            found = subwords(str(word), config)
+            found = subwords(word, config)
             if len(word) <= config.cache_chars:
                 ids[word] = found
         grams += found
