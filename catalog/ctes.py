@@ -78,11 +78,12 @@ part(
 )
 
 
-def match_parts(prefix: str, sentences: str, words: str, near: str | None, cutoff: float, limit: float):
+def match_parts(prefix: str, sentences: str, words: str, near: str | None, cutoff: float, limit: float, norm_y: str = "ly"):
     """Brute-force statement of the bidirectional match: every word pair, no pruning.
 
     ``words`` must have a ``word`` column; ``near`` lists (word_a, word_b, distance) with
-    every word next to itself. Without it only equal words are near.
+    every word next to itself. Without it only equal words are near. ``norm_y`` names the side
+    whose word count divides the distance of a newer sentence.
     """
     part(f"{prefix}bag", (words,),
          f"SELECT entry_id, version, sent_idx, word, count(*) AS c FROM {words} GROUP BY ALL")
@@ -113,7 +114,7 @@ def match_parts(prefix: str, sentences: str, words: str, near: str | None, cutof
         f"""
         SELECT h.entry_id, vx, sx, sy,
                round((sum_x + {cutoff} * (lx.n - m_x)) / lx.n, 9) AS dist_x,
-               round((sum_y + {cutoff} * (ly.n - m_y)) / ly.n, 9) AS dist_y, 0 AS exact
+               round((sum_y + {cutoff} * ({norm_y}.n - m_y)) / {norm_y}.n, 9) AS dist_y, 0 AS exact
         FROM {prefix}hits h
         JOIN {prefix}len lx ON lx.entry_id = h.entry_id AND lx.version = vx AND lx.sent_idx = sx
         JOIN {prefix}len ly ON ly.entry_id = h.entry_id AND ly.version = vx + 1 AND ly.sent_idx = sy
@@ -195,3 +196,29 @@ part(
     """,
 )
 match_parts("t_", "turns", "turn_words", "near_vectors", 1.2, 0.9)
+match_parts("nx_", "turns", "turn_words", "near_vectors", 1.2, 0.9, "lx")
+part("production_near", ("near_vectors",), "SELECT * FROM near_vectors WHERE distance < 0.5")
+match_parts("prod_", "turns", "turn_words", "production_near", 0.5, 0.44)
+
+# places on four lines made of hashes of (7, table, dimension); buckets of length 1, probes half a bucket away
+part(
+    "projections", ("vectors",),
+    """
+    SELECT vec_id, t, sum(v * g) AS place
+    FROM (SELECT vec_id, unnest(vector) AS v, unnest(range(len(vector))) AS d FROM vectors)
+    JOIN (SELECT t, d, sqrt(-2 * ln((u + 1) / 4294967297.0)) * cos(2 * pi() * w / 4294967296.0) AS g
+          FROM (SELECT t, d, CAST('0x' || substr(md5('7-' || t || '-' || d || '-a'), 1, 8) AS BIGINT) AS u,
+                       CAST('0x' || substr(md5('7-' || t || '-' || d || '-b'), 1, 8) AS BIGINT) AS w
+                FROM range(4) a(t), range((SELECT max(len(vector)) FROM vectors)) b(d))) USING (d)
+    GROUP BY ALL
+    """,
+)
+part(
+    "lsh_near", ("near_vectors", "projections"),
+    """
+    SELECT DISTINCT n.* FROM near_vectors n JOIN projections a ON a.vec_id = n.word_a
+    JOIN projections b ON b.vec_id = n.word_b AND b.t = a.t
+    WHERE floor(a.place) BETWEEN floor(b.place - 0.5) AND floor(b.place + 0.5)
+       OR floor(b.place) BETWEEN floor(a.place - 0.5) AND floor(a.place + 0.5)
+    """,
+)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.ctes import with_ctes
 from catalog.registry import query
-from catalog.views import VECTOR_CONFIG, Views
+from catalog.views import CONFIG, NORM_X_CONFIG, VECTOR_CONFIG, Views
 from verstext.functions import grams, similarity, vector
 from verstext.functions import text as tx
 from verstext.operators import align, match
@@ -30,20 +30,29 @@ def near_vectors(v: Views):
     return _rounded(v.make_near(), "distance")
 
 
-PAIRS_SQL = """
-    , pairs AS (SELECT x.entry_id, x.version AS version_x, y.version AS version_y, x.sent_idx AS sent_idx_x,
+def _pairs_sql(near: str, p: str = "") -> str:
+    """The scoring steps on the word pairs of one list of near words; table names begin with ``p``."""
+    steps = []
+    for side, other in ("xy", "yx"):
+        s = "" if side == "x" else "_y"
+        steps.append(f"""
+    {p}minima{s} AS (SELECT entry_id, version_x, version_y, sent_idx_x, sent_idx_y, word_idx_{side},
+        min(num_words_{side}) AS num_words, min(distance) AS min_word_distance FROM {p}pairs GROUP BY ALL),
+    {p}scored{s} AS (SELECT entry_id, version_x, version_y, sent_idx_x, sent_idx_y,
+        round((sum(min_word_distance) + 1.2 * (min(num_words) - count(*))) / min(num_words), 9) AS avg_sentence_distance
+      FROM {p}minima{s} GROUP BY ALL),
+    {p}best{s} AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY entry_id, version_x, sent_idx_{side}
+        ORDER BY avg_sentence_distance, abs(sent_idx_x - sent_idx_y), sent_idx_{other}) AS rn FROM {p}scored{s}) WHERE rn = 1)""")
+    return f"""
+    , {p}pairs AS (SELECT x.entry_id, x.version AS version_x, y.version AS version_y, x.sent_idx AS sent_idx_x,
         y.sent_idx AS sent_idx_y, x.word_idx AS word_idx_x, y.word_idx AS word_idx_y,
         x.num_words AS num_words_x, y.num_words AS num_words_y, nv.distance
-      FROM turn_words x JOIN near_vectors nv ON nv.word_a = x.word
-      JOIN turn_words y ON y.entry_id = x.entry_id AND y.version = x.version + 1 AND y.word = nv.word_b),
-    minima AS (SELECT entry_id, version_x, version_y, sent_idx_x, sent_idx_y, word_idx_x,
-        min(num_words_x) AS num_words, min(distance) AS min_word_distance FROM pairs GROUP BY ALL),
-    scored AS (SELECT entry_id, version_x, version_y, sent_idx_x, sent_idx_y,
-        round((sum(min_word_distance) + 1.2 * (min(num_words) - count(*))) / min(num_words), 9) AS avg_sentence_distance
-      FROM minima GROUP BY ALL),
-    best AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY entry_id, version_x, sent_idx_x
-        ORDER BY avg_sentence_distance, abs(sent_idx_x - sent_idx_y), sent_idx_y) AS rn FROM scored) WHERE rn = 1)
+      FROM turn_words x JOIN {near} nv ON nv.word_a = x.word
+      JOIN turn_words y ON y.entry_id = x.entry_id AND y.version = x.version + 1 AND y.word = nv.word_b),{",".join(steps)}
 """
+
+
+PAIRS_SQL = _pairs_sql("near_vectors")
 MATCH_CTES = "turn_words near_vectors"
 
 
@@ -54,20 +63,33 @@ def exact_similarity_join(v: Views):
         "entry_id", "version_x", "sent_idx_x", "sent_idx_y", "word_idx_x", "word_idx_y", "distance")
 
 
-def _lsh_pairs(v: Views):
-    near = match.lsh_near_vectors(v.vectors, VECTOR_CONFIG.word_cutoff, bucket_length=0.5, tables=3)
-    return match.word_pairs(v.turn_words, near)
+@query("lsh_near_vectors", with_ctes("lsh_near", "SELECT word_a, word_b, round(distance, 6) AS distance FROM lsh_near"))
+def lsh_near_vectors(v: Views):
+    return _rounded(v.lsh_near, "distance")
 
 
-@query("lsh_similarity_join")
+@query("lsh_similarity_join", with_ctes(MATCH_CTES + " lsh_near", _pairs_sql("lsh_near") + """
+    SELECT entry_id, version_x, sent_idx_x, sent_idx_y, word_idx_x, word_idx_y, round(distance, 6) AS distance FROM pairs"""))
 def lsh_similarity_join(v: Views):
-    return _lsh_pairs(v).select("entry_id", "version_x", "sent_idx_x", "sent_idx_y", "word_idx_x", "word_idx_y", "distance")
+    found = _rounded(match.word_pairs(v.turn_words, v.lsh_near), "distance")
+    return found.select("entry_id", "version_x", "sent_idx_x", "sent_idx_y", "word_idx_x", "word_idx_y", "distance")
+
 
+def _matches_sql(p: str) -> str:
+    cut = "CASE WHEN avg_sentence_distance < 0.9 THEN sent_idx_%s END"
+    return (f"SELECT entry_id, version_x, sent_idx_x, {cut % 'y'} AS sent_idx_y FROM {p}best "
+            f"UNION SELECT entry_id, version_x, {cut % 'x'}, sent_idx_y FROM {p}best_y")
 
-@query("lsh_recall")
+
+@query("lsh_recall", with_ctes(MATCH_CTES + " lsh_near", _pairs_sql("near_vectors", "e_") + _pairs_sql("lsh_near", "l_") + f"""
+    , e_all AS ({_matches_sql("e_")}), l_all AS ({_matches_sql("l_")}),
+    n AS (SELECT (SELECT count(*) FROM (SELECT * FROM e_all INTERSECT SELECT * FROM l_all)) AS agree,
+                 (SELECT count(*) FROM l_all) AS found, (SELECT count(*) FROM e_all) AS exact)
+    SELECT agree, found, exact, round(agree / exact, 6) AS recall FROM n"""))
 def lsh_recall(v: Views):
-    found = match.match_steps(_lsh_pairs(v), VECTOR_CONFIG)
-    return align.match_agreement(found, match.match_steps(v.turn_pairs, VECTOR_CONFIG))
+    found = match.match_steps(match.word_pairs(v.turn_words, v.lsh_near), VECTOR_CONFIG)
+    return _rounded(align.match_agreement(found, match.match_steps(v.turn_pairs, VECTOR_CONFIG)).withColumns(
+        {c: F.col(c).cast("long") for c in ("agree", "found", "exact")}), "recall")
 
 
 @query("word_min_distance", with_ctes(MATCH_CTES, PAIRS_SQL + """
@@ -117,6 +139,17 @@ def match_by_vectors(v: Views):
     return _rounded(v.turn_matched, *DIST)
 
 
+@query("match_by_vectors_in_production", with_ctes("prod_matched", f"SELECT {MATCH_COLS} FROM prod_matched"))
+def match_by_vectors_in_production(v: Views):
+    found = match.match_bidirectional(v.turns, words=v.turn_words, near=v.production_near, config=CONFIG)
+    return _rounded(found, *DIST)
+
+
+@query("match_by_old_length", with_ctes("nx_matched", f"SELECT {MATCH_COLS} FROM nx_matched"))
+def match_by_old_length(v: Views):
+    return _rounded(match.match_bidirectional(v.turns, words=v.turn_words, near=v.near, config=NORM_X_CONFIG), *DIST)
+
+
 @query("complete_matches", with_ctes("matched sentences", """
     , kept AS (SELECT entry_id, version_x, version_y, sent_idx_x, sent_idx_y FROM matched
                WHERE sent_idx_x IS NOT NULL AND sent_idx_y IS NOT NULL)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from verstext.config import MatchConfig
 from verstext.functions.text import sentence_pieces
 from verstext.functions.vector import l2_normalise
-from verstext.operators import diff, labels, match, moves, sentences as sent
+from verstext.operators import diff, labels, match, moves, near as near_pairs, sentences as sent
 from verstext.runtime import materialise, scratch_path
 
 # Fixed value: 2024-01-01T00:00:00Z in seconds.
@@ -23,6 +23,8 @@ START = 1704067200
 # The nearest vectors of the test table are 0.99 apart, so its checks use a wider cutoff.
 VECTOR_CONFIG = MatchConfig(word_cutoff=1.2, sentence_threshold=0.9)
 CONFIG = MatchConfig()
+NORM_X_CONFIG = MatchConfig(word_cutoff=1.2, sentence_threshold=0.9, norm="x")
+LSH = {"bucket_length": 1.0, "tables": 4, "seed": 7, "probe": 0.5}
 
 
 class Views:
@@ -154,12 +156,21 @@ class Views:
         return rows.withColumn("word", digest % n)
 
     def make_near(self) -> DataFrame:
-        return match.near_vectors(self.vectors, VECTOR_CONFIG.word_cutoff)
+        return near_pairs.near_vectors(self.vectors, VECTOR_CONFIG.word_cutoff, unit=True)
 
     @cached_property
     def near(self) -> DataFrame:
         return self.stored("near", self.make_near)
 
+    @cached_property
+    def production_near(self) -> DataFrame:
+        """Near words at the cutoff that the matcher is run with."""
+        return self.stored("production_near", lambda: near_pairs.near_vectors(self.vectors, CONFIG.word_cutoff, unit=True))
+
+    @cached_property
+    def lsh_near(self) -> DataFrame:
+        return self.stored("lsh_near", lambda: near_pairs.lsh_near_vectors(self.vectors, VECTOR_CONFIG.word_cutoff, **LSH))
+
     @cached_property
     def turn_pairs(self) -> DataFrame:
         return match.word_pairs(self.turn_words, self.near)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verstext.config import MatchConfig
-from verstext.operators import match, sentences as sent
+from verstext.operators import match, near, sentences as sent
 
 KEYS = ["source", "entry_id", "version", "sent_idx"]
 
@@ -114,9 +114,25 @@ def test_near_vectors_are_exact_and_lsh_finds_a_subset(spark, block):
     v[30:] = v[:30] + rng.normal(scale=0.1, size=(30, 8))
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     table = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "vec_id long, vector array<double>")
-    got = {(r.word_a, r.word_b): r.distance for r in match.near_vectors(table, 0.5, pivots=4, block=block).collect()}
+    got = {(r.word_a, r.word_b): r.distance for r in near.near_vectors(table, 0.5, pivots=4, block=block, unit=block > 7).collect()}
     d = np.linalg.norm(v[:, None] - v[None], axis=2)
     assert set(got) == {(int(i), int(j)) for i, j in zip(*np.nonzero(d < 0.5))}
     assert all(abs(got[k] - d[k]) < 1e-8 for k in got)
-    found = {(r.word_a, r.word_b) for r in match.lsh_near_vectors(table, 0.5, 0.5, 3).collect()}
-    assert found and found <= set(got)
+    found = {(r.word_a, r.word_b) for r in near.lsh_near_vectors(table, 0.5, 0.5, 3, block=block).collect()}
+    assert found <= set(got) and len(found) >= 0.9 * len(got)
+    assert near.near_vectors(table.limit(0), 0.5).count() == near.lsh_near_vectors(table.limit(0), 0.5, 0.5, 3).count() == 0
+
+
+def test_pairs_compared_grow_less_than_the_square(spark):
+    rng = np.random.default_rng(9)
+    compared = []
+    for n in (250, 1000, 4000):
+        v = rng.normal(size=(n, 3))
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        table = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(v)], "vec_id long, vector array<double>")
+        pivots = near.find_pivots(table, 0.05, None, True)
+        compared.append(near.cell_sizes(near.in_cells(table, pivots)).selectExpr("sum(members * visitors)").first()[0])
+        if n == 1000:
+            d = np.linalg.norm(v[:, None] - v[None], axis=2)
+            assert near.near_vectors(table, 0.05, unit=True).count() == (d < 0.05).sum()
+    assert compared[1] < 12 * compared[0] and compared[2] < 12 * compared[1] and compared[2] < 0.1 * 4000**2

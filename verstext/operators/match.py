@@ -21,8 +21,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from verstext.config import MatchConfig
@@ -61,96 +59,6 @@ def version_pairs(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- near words
 
 
-def near_vectors(
-    vectors: DataFrame, cutoff: float, pivots: int = 16, block: int = 2048, digits: int = 9
-) -> DataFrame:
-    """All (word_a, word_b, distance) below ``cutoff``, exact, for a table (vec_id, vector).
-
-    Every vector lives in the cell of its nearest pivot. A vector can only be near a member of
-    another cell when its distance to that cell's pivot is at most ``2 * cutoff`` more than to its
-    own, so it is copied to those cells and no others. A crowded cell is cut into blocks of
-    members; each task multiplies one block with one block and emits near pairs only.
-    """
-    columns = "word_a long, word_b long, distance double"
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).toPandas()
-    if sample.empty:
-        return vectors.sparkSession.createDataFrame([], columns)
-    centres = np.stack(sample["vector"].to_numpy())
-    n_blocks = vectors.agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.lit(1))).scalar()
-
-    def place(batches):
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            v = np.stack(pdf["vector"].to_numpy())
-            d = np.linalg.norm(v[:, None, :] - centres[None, :, :], axis=2)
-            home = d.argmin(axis=1)
-            reach = d <= d.min(axis=1, keepdims=True) + 2 * cutoff + 1e-9
-            row, cell = np.nonzero(reach)
-            yield pd.DataFrame(
-                {
-                    "vec_id": pdf["vec_id"].to_numpy()[row],
-                    "vector": pdf["vector"].to_numpy()[row],
-                    "cell": cell,
-                    "home": home[row] == cell,
-                    "n_blocks": pdf["n_blocks"].to_numpy()[row],
-                }
-            )
-
-    placed = (
-        vectors.select("vec_id", "vector", n_blocks.alias("n_blocks"))
-        .mapInPandas(place, "vec_id long, vector array<double>, cell int, home boolean, n_blocks long")
-        .withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("n_blocks")))
-    )
-    blocks = F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)
-    members = F.when(
-        F.col("home"),
-        F.transform(blocks, lambda b: F.struct(F.lit("a").alias("role"), F.col("block").alias("left"), b.alias("right"))),
-    ).otherwise(F.array().cast("array<struct<role:string,left:long,right:long>>"))
-    visitors = F.transform(
-        blocks, lambda b: F.struct(F.lit("b").alias("role"), b.alias("left"), F.col("block").alias("right"))
-    )
-    spread = placed.withColumn("_to", F.explode(F.concat(members, visitors))).select(
-        "vec_id", "vector", "cell", F.col("_to.role").alias("role"),
-        F.col("_to.left").alias("left"), F.col("_to.right").alias("right"),
-    )
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        left, right = group[group["role"] == "a"], group[group["role"] == "b"]
-        if left.empty or right.empty:
-            return pd.DataFrame({"word_a": [], "word_b": [], "distance": []})
-        a, b = np.stack(left["vector"].to_numpy()), np.stack(right["vector"].to_numpy())
-        ids_a, ids_b = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
-        square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
-        i, j = np.nonzero(square < (cutoff + 1e-6) ** 2)
-        exact = np.sqrt(((a[i] - b[j]) ** 2).sum(1)).round(digits)
-        exact[ids_a[i] == ids_b[j]] = 0.0
-        keep = exact < cutoff
-        return pd.DataFrame({"word_a": ids_a[i][keep], "word_b": ids_b[j][keep], "distance": exact[keep]})
-
-    return spread.groupBy("cell", "left", "right").applyInPandas(compare, columns)
-
-
-def lsh_near_vectors(
-    vectors: DataFrame, cutoff: float, bucket_length: float, tables: int, seed: int = 7
-) -> DataFrame:
-    """The same pairs found with random projections; a subset of the exact ones."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    data = vectors.select("vec_id", array_to_vector("vector").alias("features"))
-    model = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes", bucketLength=bucket_length,
-        numHashTables=tables, seed=seed,
-    ).fit(data)
-    near = model.approxSimilarityJoin(data, data, cutoff, distCol="distance")
-    return near.select(
-        F.col("datasetA.vec_id").alias("word_a"),
-        F.col("datasetB.vec_id").alias("word_b"),
-        F.round("distance", 9).alias("distance"),
-    )
-
-
 def word_pairs(word_rows: DataFrame, near: DataFrame | None) -> DataFrame:
     """Near word pairs of adjacent versions: equal keys first, then the list of near words."""
     x = word_rows.select(
