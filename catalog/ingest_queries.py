@@ -100,11 +100,10 @@ def entry_slice(v: Views):
 
 @query("multi_version_only", with_ctes("entryversion", """
     SELECT id, entry_id, version FROM
-      (SELECT *, count(*) OVER (PARTITION BY entry_id) AS n FROM entryversion WHERE archive_url IS NOT NULL AND trim(summary) <> '')
+      (SELECT *, count(*) OVER (PARTITION BY entry_id) AS n FROM entryversion WHERE trim(summary) <> '')
     WHERE n > 1"""))
 def multi_version_only(v: Views):
-    rows = v.entryversion.where("archive_url IS NOT NULL")
-    return ingest.multi_version_only(rows).select("id", "entry_id", "version")
+    return ingest.multi_version_only(v.entryversion).select("id", "entry_id", "version")
 
 
 @query("missing_pairs", with_ctes("entryversion", """

@@ -285,16 +285,17 @@ def changed_headline_entries(v: Views):
     return align.changed_headline_entries(v.entryversion, 2)
 
 
-@query("max_word_similarity", with_ctes("t_matched turn_words vectors", """
-    , c AS (SELECT m.entry_id, m.version_x, m.sent_idx_x, m.sent_idx_y, x.word_idx AS wx,
-                   max(list_cosine_similarity(a.vector, b.vector)) AS best
+@query("max_word_similarity", with_ctes("t_matched turn_words vectors", f"""
+    , p AS (SELECT m.entry_id, m.version_x, m.sent_idx_x, m.sent_idx_y, x.word_idx AS wx, y.word_idx AS wy, list_cosine_similarity(a.vector, b.vector) AS cosine
       FROM (SELECT * FROM t_matched WHERE sent_idx_x IS NOT NULL AND sent_idx_y IS NOT NULL) m
       JOIN turn_words x ON x.entry_id = m.entry_id AND x.version = m.version_x AND x.sent_idx = m.sent_idx_x
       JOIN turn_words y ON y.entry_id = m.entry_id AND y.version = m.version_y AND y.sent_idx = m.sent_idx_y
-      JOIN vectors a ON a.vec_id = x.word JOIN vectors b ON b.vec_id = y.word GROUP BY ALL)
-    SELECT entry_id, version_x, sent_idx_x, sent_idx_y, round(avg(best), 6) AS similarity FROM c GROUP BY ALL"""))
+      JOIN vectors a ON a.vec_id = x.word JOIN vectors b ON b.vec_id = y.word),
+    sx AS (SELECT {EDGE_COLS}, avg(best) AS similarity_x FROM (SELECT {EDGE_COLS}, wx, max(cosine) AS best FROM p GROUP BY ALL) GROUP BY ALL),
+    sy AS (SELECT {EDGE_COLS}, avg(best) AS similarity_y FROM (SELECT {EDGE_COLS}, wy, max(cosine) AS best FROM p GROUP BY ALL) GROUP BY ALL)
+    SELECT {EDGE_COLS}, round(similarity_x, 6) AS similarity_x, round(similarity_y, 6) AS similarity_y FROM sx JOIN sy USING ({EDGE_COLS})"""))
 def max_word_similarity(v: Views):
-    return _rounded(align.max_word_similarity(v.turn_matched, v.turn_words, v.vectors), "similarity")
+    return _rounded(align.max_word_similarity(v.turn_matched, v.turn_words, v.vectors), "similarity_x", "similarity_y")
 
 
 @query("attach_sentences", with_ctes("matched sentences", """

@@ -66,13 +66,13 @@ def write_matches(v: Views):
 
 
 @query("save_table", with_ctes("sentences", """
-    SELECT source, count(*) AS n FROM
-    (SELECT source FROM sentences UNION ALL SELECT source FROM sentences WHERE sent_idx = 0) GROUP BY source"""))
+    SELECT source, entry_id, version, sent_idx, md5(sentence) AS sentence_md5 FROM
+    (SELECT * FROM sentences UNION ALL SELECT * FROM sentences WHERE sent_idx = 0)"""))
 def save_table(v: Views):
     name, path = f"split_sentences_{uuid.uuid4().hex}", v.scratch("table")
     writers.save_table(v.sentences, name, path, "overwrite")
     writers.save_table(v.sentences.where("sent_idx = 0"), name, path, "append")
-    return v.spark.table(name).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return _rows(v.spark.table(name))
 
 
 @query("replace_table", with_ctes("sentences", """
@@ -100,21 +100,24 @@ def export_tsv(v: Views):
 
 
 PAYLOAD_SQL = """
-    SELECT n.source, n.entry_id, n.version_x, n.num_nodes, coalesce(a.num_arcs, 0) AS num_arcs, n.first_node
-    FROM (SELECT x.source, x.entry_id, x.version AS version_x, x.n + y.n AS num_nodes, x.first_node
-          FROM (SELECT source, entry_id, version, count(*) AS n, min_by(sentence, sent_idx) AS first_node
-                FROM sentences GROUP BY ALL) x
-          JOIN (SELECT entry_id, version, count(*) AS n FROM sentences GROUP BY ALL) y
-            ON y.entry_id = x.entry_id AND y.version = x.version + 1) n
-    LEFT JOIN (SELECT entry_id, version_x, count(*) AS num_arcs FROM matched
-               WHERE sent_idx_x IS NOT NULL AND sent_idx_y IS NOT NULL GROUP BY ALL) a
-      ON a.entry_id = n.entry_id AND a.version_x = n.version_x"""
+    , n AS (SELECT entry_id, version AS version_x, 0 AS side, version, sent_idx, sentence, source FROM sentences
+            UNION ALL SELECT entry_id, version - 1, 1, version, sent_idx, sentence, source FROM sentences),
+    nodes AS (SELECT source, entry_id, version_x, count(*) AS num_nodes,
+                     md5(string_agg(version || ':' || sent_idx || ':' || sentence, '|' ORDER BY version, sent_idx)) AS nodes_md5
+              FROM n GROUP BY ALL HAVING min(side) < max(side)),
+    arcs AS (SELECT entry_id, version_x, count(*) AS num_arcs, string_agg(sent_idx_x || '-' || sent_idx_y, ',' ORDER BY sent_idx_x, sent_idx_y) AS arcs
+             FROM matched WHERE sent_idx_x IS NOT NULL AND sent_idx_y IS NOT NULL GROUP BY ALL)
+    SELECT source, entry_id, CAST(version_x AS INTEGER) AS version_x, num_nodes, nodes_md5, coalesce(num_arcs, 0) AS num_arcs, coalesce(arcs, '') AS arcs
+    FROM nodes LEFT JOIN arcs USING (entry_id, version_x)"""
 
 
 def _payload_view(df):
+    node = F.transform("nodes", lambda n: F.concat_ws(":", n["version"].cast("string"), n["sent_idx"].cast("string"), n["sentence"]))
+    arc = F.transform("arcs", lambda a: F.concat_ws("-", a["sent_idx_x"].cast("string"), a["sent_idx_y"].cast("string")))
     return df.select(
         "source", "entry_id", "version_x", F.size("nodes").cast("long").alias("num_nodes"),
-        F.size("arcs").cast("long").alias("num_arcs"), F.col("nodes")[0]["sentence"].alias("first_node"),
+        F.md5(F.array_join(node, "|").cast("binary")).alias("nodes_md5"), F.size("arcs").cast("long").alias("num_arcs"),
+        F.array_join(arc, ",").alias("arcs"),
     )
 
 
@@ -131,15 +134,48 @@ def payload_nodes_arcs(v: Views):
     return _payload_view(payload.payload_nodes_arcs(v.matched, v.sentences))
 
 
-@query("compact_outputs", with_ctes("sentences", """
-    SELECT entry_id, version, count(*) AS n FROM sentences GROUP BY ALL"""))
+ROWS_SQL = "SELECT source, entry_id, version, sent_idx, md5(sentence) AS sentence_md5 FROM sentences"
+LEAST_ROWS = 2_500
+
+
+def _rows(df):
+    return df.select("source", "entry_id", "version", "sent_idx", F.md5(F.col("sentence")).alias("sentence_md5"))
+
+
+def _files_by_day(v: Views) -> str:
+    """One file for each of 64 days, by entry, and one more without rows; days are of very different size."""
+    path = v.scratch("days")
+    day = F.floor(F.pow(F.col("entry_id") % 64, F.lit(2)) / 64).cast("int")
+    v.sentences.repartitionById(64, day).write.parquet(path)
+    v.sentences.limit(0).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+@query("small_files", with_ctes("sentences", f"""
+    , d AS (SELECT (entry_id % 64) * (entry_id % 64) // 64 AS day, count(*) AS rows FROM sentences GROUP BY 1)
+    SELECT rows, count(*) AS files, TRUE AS has_size FROM (SELECT rows FROM d WHERE rows < {LEAST_ROWS} UNION ALL SELECT 0) GROUP BY rows"""))
+def small_files(v: Views):
+    files = writers.small_files(writers.file_table(v.spark, _files_by_day(v)), least_rows=LEAST_ROWS)
+    return files.groupBy("rows").agg(F.count(F.lit(1)).alias("files"), F.min(F.col("file_size") > 0).alias("has_size"))
+
+
+@query("rewrite_small", with_ctes("sentences", f"{ROWS_SQL}"))
+def rewrite_small(v: Views):
+    """The files that stay and the rewritten ones together hold every row once."""
+    path, target = _files_by_day(v), v.scratch("rewritten")
+    writers.rewrite_small(v.spark, path, target, LEAST_ROWS, rows_per_file=100_000)
+    small = writers.small_files(writers.file_table(v.spark, path), least_rows=LEAST_ROWS).select("file_path")
+    old = v.spark.read.schema(schema.SENTENCES).parquet(path).withColumn("file_path", F.col("_metadata.file_path"))
+    stay = old.join(small, "file_path", "left_anti").drop("file_path")
+    return _rows(stay.unionByName(v.spark.read.schema(schema.SENTENCES).parquet(target)))
+
+
+@query("compact_outputs", with_ctes("sentences", ROWS_SQL))
 def compact_outputs(v: Views):
     small, large = v.scratch("small"), v.scratch("large")
     v.sentences.repartition(32).write.parquet(small)
     writers.compact_outputs(v.spark, small, large, rows_per_file=1_000_000)
-    return v.spark.read.schema(schema.SENTENCES).parquet(large).groupBy("entry_id", "version").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    return _rows(v.spark.read.schema(schema.SENTENCES).parquet(large))
 
 
 @query("source_from_path", with_ctes("entryversion", """

@@ -63,6 +63,23 @@ def corpus_totals(v: Views):
     return out.withColumns({f"scaled_{n}s": F.round(f"scaled_{n}s", 2) for n in FLAGS})
 
 
+@query("corpus_sketches", with_ctes("sentences", """
+    , t AS (SELECT source, count(DISTINCT entry_id) AS entries, count(DISTINCT (entry_id, version)) AS versions, count(DISTINCT sentence) AS sentences,
+                   count(*) AS n FROM sentences GROUP BY GROUPING SETS ((source), ()))
+    SELECT source, entries, versions, sentences, n AS rows, TRUE AS within_bounds FROM t"""))
+def corpus_sketches(v: Views):
+    """Sketches of two arrivals that share every third document, added up, beside the exact numbers."""
+    days = [v.sentences.where(F.col("entry_id") % 3 != k) for k in (1, 2)]
+    seen = stats.add_sketches(*[stats.corpus_sketches(d) for d in days])
+    near = stats.sketched_totals(seen).withColumnRenamed("source", "of").drop("rows")
+    exact = v.sentences.groupingSets([["source"], []], "source").agg(
+        F.countDistinct("entry_id").alias("exact_entries"), F.countDistinct("entry_id", "version").alias("exact_versions"),
+        F.countDistinct("sentence").alias("exact_sentences"), F.count(F.lit(1)).alias("rows"))
+    both = exact.join(near, F.col("source").eqNullSafe(F.col("of")))
+    off = [F.abs(F.col(n) / F.col(f"exact_{n}") - 1) < 0.05 for n in stats.SKETCHED]
+    return both.select("source", *[F.col(f"exact_{n}").alias(n) for n in stats.SKETCHED], "rows", (off[0] & off[1] & off[2]).alias("within_bounds"))
+
+
 @query("source_totals", with_ctes("entryversion", """
     SELECT source, count(*) AS articles, CAST(sum(n) AS BIGINT) AS versions, count(*) FILTER (n > 1 AND n < 40) AS articles_in_band,
            CAST(coalesce(sum(n) FILTER (n > 1 AND n < 40), 0) AS BIGINT) AS versions_in_band
@@ -255,9 +272,7 @@ def top_k(v: Views):
     SELECT ngram, n, round(lift, 6) AS lift, 'top' AS side FROM (SELECT * FROM l ORDER BY lift DESC, ngram LIMIT 30)
     UNION ALL SELECT ngram, n, round(lift, 6), 'bottom' FROM (SELECT * FROM l ORDER BY lift, ngram LIMIT 30)"""))
 def ngram_lift(v: Views):
-    toks = _flagged(v).select("is_added", tx.content_tokens("sentence").alias("t"))
-    grams = toks.select("is_added", F.explode(F.concat("t", tx.bigrams(F.col("t")))).alias("ngram"))
-    return _rounded(stats.ngram_lift(grams, "is_added", 30), "lift")
+    return _rounded(stats.ngram_lift(_flagged(v), "sentence", "is_added", 30), "lift")
 
 
 @query("doc_len_attach", with_ctes("sentences", """
@@ -305,6 +320,7 @@ def title_counts(v: Views):
 
 
 @query("partition_skew", with_ctes("sentences", """
-    SELECT CAST('0x' || substr(md5(CAST(entry_id AS VARCHAR)), 1, 8) AS BIGINT) // 268435456 AS partition, count(*) AS n FROM sentences GROUP BY 1"""))
+    SELECT CAST(CAST('0x' || substr(md5(CAST(entry_id AS VARCHAR)), 1, 8) AS BIGINT) // 268435456 AS INTEGER) AS partition, count(*) AS n FROM sentences GROUP BY 1"""))
 def partition_skew(v: Views):
-    return stats.partition_skew(v.sentences, F.floor(hash_uniform("entry_id") * 16))
+    placed = stats.place_rows(v.sentences, F.floor(hash_uniform("entry_id") * 16), 16)
+    return stats.partition_skew(placed)

@@ -212,6 +212,11 @@ def ngrams(token_array: Column, n: int) -> Column:
     return F.when(F.size(token_array) >= n, runs).otherwise(F.array().cast("array<string>"))
 
 
+def text_key(text) -> Column:
+    """128 bits that stand for a text wherever rows only meet by equal texts."""
+    return F.struct(F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), F.col(text) if isinstance(text, str) else text).alias("h2"))
+
+
 def token_hashes(text) -> Column:
     """One 64-bit hash for each token of a text."""
     return F.transform(tokens(text), lambda t: F.xxhash64(t))

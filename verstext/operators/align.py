@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
 
-from verstext.functions import vector
 from verstext.functions.text import plain_letters
+from verstext.operators.frequent import join_by_word
 from verstext.operators.match import SENT_PAIR, adjacent_versions
 
 EDGE = ["entry_id", "version_x", "sent_idx_x", "sent_idx_y"]
@@ -55,25 +59,39 @@ def changed_headline_entries(versions: DataFrame, changes: int) -> DataFrame:
 
 
 def max_word_similarity(matched: DataFrame, words: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Mean over the old words of the greatest cosine to a word of the matched new sentence.
+    """For both sides of a match the mean over the words of the greatest cosine to a word of the other sentence.
 
-    The vectors of a sentence travel as one list, so a matched pair is one row that holds both
-    lists once, and its words are compared inside the row.
+    The words of a sentence travel as one list with their vectors in a row, so a matched pair is one row
+    that holds both lists once, and one product of the two gives both means. Frequent words meet their
+    vectors without a shuffle.
     """
     edges = matched.where("sent_idx_x IS NOT NULL AND sent_idx_y IS NOT NULL").select(*EDGE)
-    bags = (
-        words.groupBy("entry_id", "version", "sent_idx", "word").agg(F.count(F.lit(1)).alias("c"))
-        .join(vectors.withColumnRenamed("vec_id", "word"), "word")
-    )
-    old = bags.groupBy("entry_id", F.col("version").alias("version_x"), F.col("sent_idx").alias("sent_idx_x")).agg(
-        F.collect_list(F.struct("c", "vector")).alias("own"), F.sum("c").alias("n")
-    )
-    new = bags.groupBy(
-        "entry_id", (F.col("version") - 1).alias("version_x"), F.col("sent_idx").alias("sent_idx_y")
-    ).agg(F.collect_list("vector").alias("others"))
-    best = F.transform("own", lambda w: w["c"] * F.array_max(F.transform("others", lambda o: vector.dot(w["vector"], o))))
-    rows = edges.join(old, ["entry_id", "version_x", "sent_idx_x"]).join(new, ["entry_id", "version_x", "sent_idx_y"])
-    return rows.select(*EDGE, (F.aggregate(best, F.lit(0.0), lambda acc, b: acc + b) / F.col("n")).alias("similarity"))
+    bags = words.groupBy("entry_id", "version", "sent_idx", "word").agg(F.count(F.lit(1)).alias("c"))
+    known = join_by_word(bags, vectors.withColumnRenamed("vec_id", "word"), "word")
+
+    def side(name: str) -> DataFrame:
+        version = F.col("version") - (1 if name == "y" else 0)
+        own = known.groupBy("entry_id", version.alias("version_x"), F.col("sent_idx").alias(f"sent_idx_{name}")).agg(
+            F.collect_list(F.struct("c", "vector")).alias("own")
+        )
+        counts, parts = F.transform("own", lambda w: w["c"]), F.flatten(F.transform("own", lambda w: w["vector"]))
+        return own.withColumns({f"count_{name}": counts, f"parts_{name}": parts}).drop("own")
+
+    rows = edges.join(side("x"), ["entry_id", "version_x", "sent_idx_x"]).join(side("y"), ["entry_id", "version_x", "sent_idx_y"])
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = {"similarity_x": [], "similarity_y": []}
+            for cx, px, cy, py in zip(*(batch[c] for c in ("count_x", "parts_x", "count_y", "parts_y")), strict=True):
+                a, b = (np.asarray(p).reshape(len(c), -1) for p, c in ((px, cx), (py, cy)))
+                a, b = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (a, b))
+                cosine = a @ b.T
+                for name, best, counts in (("similarity_x", cosine.max(axis=1), cx), ("similarity_y", cosine.max(axis=0), cy)):
+                    found[name].append(float(np.average(best, weights=counts)))
+            yield batch[EDGE].assign(**found)
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.mapInPandas(compare, ", ".join(f"{c} {kinds[c]}" for c in EDGE) + ", similarity_x double, similarity_y double")
 
 
 def match_agreement(found: DataFrame, exact: DataFrame) -> DataFrame:
@@ -114,15 +132,25 @@ def locate_sentences(sentences: DataFrame, docs: DataFrame, max_edits: int = 0)
     such place counts. Of ``max_edits + 1`` pieces of the sentence at least one must be left as it
     is, so every occurrence of every piece, moved by as many characters as there may be edits, is a
     place to try. A sentence of at most ``max_edits`` characters is only looked for as such.
+
+    The sentences of a stored version meet their document as one row, so its text is copied once for each
+    version and not for each sentence.
     """
-    rows = sentences.join(docs, "entry_id")
-    at = F.instr(F.col("text"), F.col("sentence"))
-    start = F.when(at > 0, at)
+    others = [c for c in sentences.columns if c not in ("entry_id", "version")]
+    lists = sentences.groupBy("entry_id", "version").agg(F.array_sort(F.collect_list(F.struct("sent_idx", *[c for c in others if c != "sent_idx"]))).alias("list"))
+    rows = lists.join(docs, "entry_id")
     if max_edits:
-        start = F.coalesce(start, _near_place(plain_letters("text"), plain_letters("sentence"), max_edits))
-    w = Window.partitionBy("entry_id", "version").orderBy("sent_idx")
-    return (
-        rows.withColumn("start", start).withColumn("found", F.col("start").isNotNull())
-        .withColumn("out_of_order", F.coalesce(F.col("start") < F.lag("start").over(w), F.lit(False)))
-        .drop("text")
-    )
+        rows = rows.withColumn("plain", plain_letters("text"))
+
+    def start(s: Column) -> Column:
+        at = F.instr(F.col("text"), s["sentence"])
+        exact = F.when(at > 0, at)
+        return F.coalesce(exact, _near_place(F.col("plain"), plain_letters(s["sentence"]), max_edits)) if max_edits else exact
+
+    rows = rows.withColumn("starts", F.transform("list", start))
+    placed = F.transform("list", lambda s, i: F.struct(
+        s.alias("row"), F.get("starts", i).alias("start"),
+        F.coalesce(F.get("starts", i) < F.get("starts", i - 1), F.lit(False)).alias("out_of_order"),
+    ))
+    found = rows.select("entry_id", "version", F.explode(placed).alias("p"))
+    return found.select("entry_id", "version", *[F.col(f"p.row.{c}").alias(c) for c in others], "p.start", F.col("p.start").isNotNull().alias("found"), "p.out_of_order")

@@ -17,11 +17,13 @@ PAIR = ["entry_id", "version_x"]
 
 
 def _numbered_sides(sentences: DataFrame) -> DataFrame:
-    cols = ["entry_id", "sent_idx", "sentence"]
+    """Each sentence, by the key of its text, as an older and a newer one, with the number of the occurrence."""
+    sentences = sentences.withColumn("text", tx.text_key("sentence"))
+    cols = ["entry_id", "sent_idx", "text"]
     old = sentences.select(*cols, F.col("version").alias("version_x"), F.lit("x").alias("side"))
     new = sentences.select(*cols, (F.col("version") - 1).alias("version_x"), F.lit("y").alias("side"))
     both = old.unionByName(new).join(version_pairs(sentences), PAIR, "left_semi")
-    order = Window.partitionBy(*PAIR, "sentence", "side").orderBy("sent_idx")
+    order = Window.partitionBy(*PAIR, "text", "side").orderBy("sent_idx")
     return both.withColumn("occurrence", F.row_number().over(order))
 
 
@@ -29,17 +31,33 @@ def _idx(side: str) -> Column:
     return F.max(F.when(F.col("side") == side, F.col("sent_idx"))).alias(f"sent_idx_{side}")
 
 
+def _slots(sentences: DataFrame) -> DataFrame:
+    """Aligned slots by the key of the text: both indexes for a kept sentence, one for the others."""
+    return _numbered_sides(sentences).groupBy(*PAIR, "text", "occurrence").agg(_idx("x"), _idx("y"))
+
+
+def _texts(sentences: DataFrame, side: str, name: str) -> DataFrame:
+    version = F.col("version") - (1 if side == "y" else 0)
+    return sentences.select("entry_id", version.alias("version_x"), F.col("sent_idx").alias(f"sent_idx_{side}"), F.col("sentence").alias(name))
+
+
 def set_diff(sentences: DataFrame) -> DataFrame:
     """Aligned slots by equal text alone: both indexes for a kept sentence, one for the others."""
-    return _numbered_sides(sentences).groupBy(*PAIR, "sentence", "occurrence").agg(_idx("x"), _idx("y"))
+    slots = _slots(sentences).drop("text")
+    old = slots.where("sent_idx_x IS NOT NULL").join(_texts(sentences, "x", "sentence"), [*PAIR, "sent_idx_x"])
+    new = slots.where("sent_idx_x IS NULL").join(_texts(sentences, "y", "sentence"), [*PAIR, "sent_idx_y"])
+    return old.unionByName(new).select(*PAIR, "sentence", "occurrence", "sent_idx_x", "sent_idx_y")
 
 
 def sentence_diff(sentences: DataFrame, matched: DataFrame) -> DataFrame:
-    """One row per aligned slot with texts and tags of both versions."""
-    slots = set_diff(sentences)
+    """One row per aligned slot with texts and tags of both versions.
+
+    The slots are made from keys of the texts. The texts come last, by place: the old one once, the new
+    one only where it is another one.
+    """
+    slots = _slots(sentences)
     kept = slots.where("sent_idx_x IS NOT NULL AND sent_idx_y IS NOT NULL").select(
-        *PAIR, "sent_idx_x", "sent_idx_y", F.col("sentence").alias("sent_old"),
-        F.col("sentence").alias("sent_new"),
+        *PAIR, "sent_idx_x", "sent_idx_y", F.lit(True).alias("same")
     )
     mutual = matched.where(
         "avg_sentence_distance_x IS NOT NULL AND avg_sentence_distance_y IS NOT NULL"
@@ -54,15 +72,18 @@ def sentence_diff(sentences: DataFrame, matched: DataFrame) -> DataFrame:
         .agg(
             F.max("sent_idx_x").alias("sent_idx_x"),
             F.max("sent_idx_y").alias("sent_idx_y"),
-            F.max(F.when(F.col("sent_idx_x").isNotNull(), F.col("sentence"))).alias("sent_old"),
-            F.max(F.when(F.col("sent_idx_y").isNotNull(), F.col("sentence"))).alias("sent_new"),
+            (F.max(F.when(F.col("sent_idx_x").isNotNull(), F.col("text")))
+             == F.max(F.when(F.col("sent_idx_y").isNotNull(), F.col("text")))).alias("same"),
         )
         .drop("_x", "_y")
     )
-    same = F.col("sent_old") == F.col("sent_new")
-    old_tag = F.when(F.col("sent_idx_x").isNull() | F.coalesce(same, F.lit(False)), " ").otherwise("-")
-    new_tag = F.when(F.col("sent_idx_y").isNull() | F.coalesce(same, F.lit(False)), " ").otherwise("+")
-    return kept.unionByName(rest).select(
+    rest = rest.withColumn("same", F.coalesce("same", F.lit(False)))
+    old_tag = F.when(F.col("sent_idx_x").isNull() | F.col("same"), " ").otherwise("-")
+    new_tag = F.when(F.col("sent_idx_y").isNull() | F.col("same"), " ").otherwise("+")
+    rows = kept.unionByName(rest).join(_texts(sentences, "x", "sent_old"), [*PAIR, "sent_idx_x"], "left")
+    alone = rows.where("NOT same").join(_texts(sentences, "y", "sent_new"), [*PAIR, "sent_idx_y"], "left")
+    whole = rows.where("same").withColumn("sent_new", F.col("sent_old")).unionByName(alone, allowMissingColumns=True)
+    return whole.select(
         *PAIR, (F.col("version_x") + 1).alias("version_y"), "sent_idx_x", "sent_idx_y",
         old_tag.alias("tag_old"), new_tag.alias("tag_new"),
         F.coalesce("sent_old", F.lit("")).alias("sent_old"), F.coalesce("sent_new", F.lit("")).alias("sent_new"),

@@ -15,13 +15,16 @@ Pairs are found by equal keys only, never by pairing all sentences of two versio
    rung uses the full threshold.
 
 Every way is exact, so the result equals that of scoring all pairs.
+
+Texts stay where they are: sentences meet by 128-bit keys of their texts, and the tokens of those that no
+copy settles follow once, as 64-bit hashes, which only meet inside a pair of versions.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from verstext.config import MatchConfig
 from verstext.functions import text as tx
@@ -191,8 +194,9 @@ def complete_matches(matched: DataFrame, sentences: DataFrame) -> DataFrame:
 
 
 def _sides(sentences: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
-    """Each sentence once as an older and once as a newer one, keyed by the older version."""
-    cols = ["entry_id", "sent_idx", "sentence", *more]
+    """Each sentence, by the key of its text, once as an older and once as a newer one, keyed by the older version."""
+    sentences = sentences.withColumn("text", tx.text_key("sentence"))
+    cols = ["entry_id", "sent_idx", "text", *more]
     old = sentences.select(*cols, F.col("version").alias("version_x"), F.lit("x").alias("side"))
     new = sentences.select(*cols, (F.col("version") - 1).alias("version_x"), F.lit("y").alias("side"))
     return old.unionByName(new)
@@ -205,8 +209,8 @@ def exact_partners(sentences: DataFrame, more: tuple[str, ...] = ()) -> DataFram
     Columns named in ``more`` are carried along.
     """
     rows = _sides(sentences, more)
-    up = Window.partitionBy(*PAIR, "sentence").orderBy("sent_idx")
-    down = Window.partitionBy(*PAIR, "sentence").orderBy(F.desc("sent_idx"))
+    up = Window.partitionBy(*PAIR, "text").orderBy("sent_idx")
+    down = Window.partitionBy(*PAIR, "text").orderBy(F.desc("sent_idx"))
     at_x = F.when(F.col("side") == "x", F.col("sent_idx"))
     at_y = F.when(F.col("side") == "y", F.col("sent_idx"))
     rows = (
@@ -222,18 +226,32 @@ def exact_partners(sentences: DataFrame, more: tuple[str, ...] = ()) -> DataFram
         .when(idx - before <= after - idx, before)
         .otherwise(after)
     )
-    return rows.withColumn("partner", nearest).drop("_bx", "_by", "_ax", "_ay")
+    return rows.withColumn("partner", nearest).drop("text", "_bx", "_by", "_ax", "_ay")
 
 
-def _spread_words(rows: DataFrame, words: DataFrame | None, version_shift: int) -> DataFrame:
-    """Word rows (pair key, sent_idx, word, num_words) of sentence rows or of a given word table."""
-    if words is None:
-        return (
-            rows.withColumn("_t", tx.tokens("sentence"))
-            .withColumn("num_words", F.size("_t"))
-            .select(*PAIR, "sent_idx", "num_words", F.explode("_t").alias("word"))
-        )
-    keyed = words.select(
+def _token_column(near: DataFrame | None) -> Column:
+    """Tokens as hashes, or as texts where a list of near words names them."""
+    return tx.token_hashes("sentence") if near is None else tx.tokens("sentence")
+
+
+def _open_tokens(settled: DataFrame, sentences: DataFrame, near: DataFrame | None, every: bool) -> DataFrame:
+    """``entry_id, version, sent_idx, tokens`` of the sentences that are searched, or of all."""
+    place = ["entry_id", "version", "sent_idx"]
+    rows = sentences.select(*place, _token_column(near).alias("tokens"))
+    if every:
+        return rows
+    version = F.col("version_x") + (F.col("side") == "y").cast("int")
+    opened = settled.where("partner IS NULL").select("entry_id", version.alias("version"), "sent_idx").distinct()
+    return materialise(rows.join(opened, place, "left_semi"), "open_tokens")
+
+
+def _spread_words(side: _Side, rows: DataFrame, version_shift: int) -> DataFrame:
+    """Word rows (pair key, sent_idx, word, num_words) of sentence rows, from their tokens or a given word table."""
+    if side.words is None:
+        at = (F.col("version") + version_shift).alias("version_x")
+        found = side.tokens.select("entry_id", at, "sent_idx", "tokens").join(rows.select(*PAIR, "sent_idx"), [*PAIR, "sent_idx"])
+        return found.select(*PAIR, "sent_idx", F.size("tokens").alias("num_words"), F.explode("tokens").alias("word"))
+    keyed = side.words.select(
         "entry_id", (F.col("version") + version_shift).alias("version_x"), "sent_idx", "num_words", "word"
     )
     return keyed.join(rows.select(*PAIR, "sent_idx"), [*PAIR, "sent_idx"], "left_semi")
@@ -248,19 +266,20 @@ class _Side:
     near: DataFrame | None
     config: MatchConfig
     others: DataFrame
+    tokens: DataFrame | None = None
 
     @property
     def own_norm(self) -> bool:
         return self.config.norm == "own" or self.name == "x"
 
 
-def _other_words(sentences: DataFrame, words: DataFrame | None, shift: int, sized: bool) -> DataFrame:
+def _other_words(sentences: DataFrame, words: DataFrame | None, shift: int, sized: bool, near: DataFrame | None = None) -> DataFrame:
     """Distinct words of the sentences that can be partners, with their word count if ``sized``."""
     size = ["n_other"] if sized else []
     if words is None:
         rows = sentences.select(
             "entry_id", (F.col("version") + shift).alias("version_x"), F.col("sent_idx").alias("other"),
-            tx.tokens("sentence").alias("_t"),
+            _token_column(near).alias("_t"),
         )
         return rows.withColumn("n_other", F.size("_t")).select(
             *PAIR, "other", *size, F.explode(F.array_distinct("_t")).alias("word_b")
@@ -368,11 +387,11 @@ def _search_in_rungs(side: _Side, spread: DataFrame, rungs: tuple[float, ...]) -
 def _search(side: _Side, open_rows: DataFrame, heavy: DataFrame | None, rungs, shift: int) -> DataFrame:
     """Best partners of ``open_rows``; pairs of versions named in ``heavy`` are searched in rungs."""
     if heavy is None:
-        return _search_direct(side, _spread_words(open_rows, side.words, shift))
+        return _search_direct(side, _spread_words(side, open_rows, shift))
     light_rows = open_rows.join(heavy, PAIR, "left_anti")
     heavy_rows = open_rows.join(heavy, PAIR, "left_semi")
-    return _search_direct(side, _spread_words(light_rows, side.words, shift)).unionByName(
-        _search_in_rungs(side, _spread_words(heavy_rows, side.words, shift), rungs)
+    return _search_direct(side, _spread_words(side, light_rows, shift)).unionByName(
+        _search_in_rungs(side, _spread_words(side, heavy_rows, shift), rungs)
     )
 
 
@@ -393,7 +412,7 @@ def _one_side(side: _Side, settled: DataFrame, heavy: DataFrame | None, rungs) -
 def _with_foreign_norm(side: _Side, own: DataFrame, exact: DataFrame, shift: int) -> DataFrame:
     """Divided by the partner's word count a distance can fall below zero, so an equal text does
     not settle a sentence: every sentence is searched, and the equal text only wins a tie."""
-    found = _search_direct(side, _spread_words(own, side.words, shift))
+    found = _search_direct(side, _spread_words(side, own, shift))
     rank = F.struct("avg_sentence_distance", "inexact", "partner")
     best = (
         exact.withColumn("inexact", F.lit(0)).unionByName(found.withColumn("inexact", F.lit(1)))
@@ -439,16 +458,15 @@ def match_bidirectional(
     combinations of sentences) are searched in rungs, all others directly; both are exact.
     """
     settled = exact_partners(sentences).join(version_pairs(sentences), PAIR, "left_semi")
-    if config.norm == "own":
-        settled = settled.withColumn("sentence", F.when(F.col("partner").isNull(), F.col("sentence")))
     settled = materialise(settled, "settled")
+    tokens = _open_tokens(settled, sentences, near, config.norm != "own") if words is None else None
     heavy = None
     if config.norm == "own":
         heavy = _heavy_pairs(settled, heavy_limit)
         if heavy.isEmpty():
             heavy = None
-    x = _Side("x", words, near, config, _other_words(sentences, words, -1, sized=False))
-    y = _Side("y", words, near, config, _other_words(sentences, words, 0, sized=config.norm != "own"))
+    x = _Side("x", words, near, config, _other_words(sentences, words, -1, False, near), tokens)
+    y = _Side("y", words, near, config, _other_words(sentences, words, 0, config.norm != "own", near), tokens)
     return combine_sides(_one_side(x, settled, heavy, rungs), _one_side(y, settled, heavy, rungs))
 
 
@@ -470,9 +488,8 @@ def improved_partners(
     changed = sentences.where("fresh").select("entry_id", F.explode(F.array("version", F.col("version") - 1)).alias("version_x"))
     pairs = changed.distinct().join(version_pairs(sentences), PAIR, "left_semi")
     settled = exact_partners(sentences, ("fresh",)).join(pairs, PAIR, "left_semi")
-    if config.norm == "own":
-        settled = settled.withColumn("sentence", F.when(F.col("partner").isNull(), F.col("sentence")))
     settled = materialise(settled, "settled")
+    tokens = _open_tokens(settled, sentences, None, config.norm != "own")
     heavy = None
     if config.norm == "own":
         heavy = _heavy_pairs(settled, heavy_limit)
@@ -486,7 +503,7 @@ def improved_partners(
         # without a norm of its own a distance can fall below that of an equal text, so all are searched
         wanted = own if sized else own.where("partner IS NULL")
         found = [
-            _search(_Side(name, None, None, config, others), wanted.where(rows), heavy, rungs, shift)
+            _search(_Side(name, None, None, config, others, tokens), wanted.where(rows), heavy, rungs, shift)
             for rows, others in ((F.col("fresh"), every), (~F.col("fresh"), new))
         ]
         exact = own.select(*PAIR, "sent_idx", "partner", F.lit(0).alias("inexact"), F.when(F.col("partner").isNotNull(), 0.0).alias("avg_sentence_distance"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from verstext.functions import text as tx
+from verstext.operators.frequent import join_by_word
 
 DOC = ["entry_id", "version"]
 
@@ -80,7 +81,7 @@ def drop_null_vectors(word_rows: DataFrame, vector: str = "embedding") -> DataFr
 
 def attach_vectors(word_rows: DataFrame, vectors: DataFrame, vec_id: str = "vec_id") -> DataFrame:
     """Word rows with the vector of their word id; rows without one keep NULL."""
-    return word_rows.join(vectors.withColumnRenamed(vec_id, "word"), "word", "left")
+    return join_by_word(word_rows, vectors.withColumnRenamed(vec_id, "word"), "word", "left")
 
 
 def join_sentences(
@@ -149,7 +150,7 @@ def mean_vector(word_rows: DataFrame, vectors: DataFrame, keys: list[str]) -> Da
     """
     bags = word_rows.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("_c"))
     dims = (
-        bags.join(vectors.withColumnRenamed("vec_id", "word"), "word")
+        join_by_word(bags, vectors.withColumnRenamed("vec_id", "word"), "word")
         .select(*keys, "_c", F.posexplode("vector").alias("dim", "_v"))
     )
     return dims.groupBy(*keys, "dim").agg(

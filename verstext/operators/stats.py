@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from verstext.config import UNCHANGED_DISTANCE
+from verstext.functions import text as tx
 from verstext.operators.match import adjacent_versions
 from verstext.operators.ordering import average_rank, quantiles, weighted_quantiles
 from verstext.runtime import materialise
@@ -74,6 +75,35 @@ def corpus_totals(matched: DataFrame, total_versions: int) -> DataFrame:
     )
 
 
+SKETCHED = ("entries", "versions", "sentences")
+
+
+def corpus_sketches(sentences: DataFrame) -> DataFrame:
+    """Per source the sketches of its distinct entries, versions and sentence texts, and its number of sentences.
+
+    A sketch has a few kilobytes whatever it counted, and sketches add up: the table of a day can be
+    united with that of all days before, and a large source is counted in parts like any other.
+    """
+    keys = {"entries": F.xxhash64("entry_id"), "versions": F.xxhash64("entry_id", "version"), "sentences": F.xxhash64("sentence")}
+    sketches = [F.hll_sketch_agg(k, F.lit(14)).alias(n) for n, k in keys.items()]
+    return sentences.groupBy("source").agg(*sketches, F.count(F.lit(1)).alias("rows"))
+
+
+def add_sketches(*tables: DataFrame) -> DataFrame:
+    """Several sketch tables as one: what both have seen counts once."""
+    together = tables[0]
+    for t in tables[1:]:
+        together = together.unionByName(t)
+    return together.groupBy("source").agg(*[F.hll_union_agg(n).alias(n) for n in SKETCHED], F.sum("rows").alias("rows"))
+
+
+def sketched_totals(sketches: DataFrame) -> DataFrame:
+    """Approximate distinct numbers for each source and, in the row without a source, for all of them."""
+    whole = sketches.agg(F.lit(None).cast("string").alias("source"), *[F.hll_union_agg(n).alias(n) for n in SKETCHED], F.sum("rows").alias("rows"))
+    both = sketches.select("source", *SKETCHED, "rows").unionByName(whole)
+    return both.select("source", *[F.hll_sketch_estimate(n).alias(n) for n in SKETCHED], "rows")
+
+
 def source_totals(versions: DataFrame, low: int = 1, high: int = 40) -> DataFrame:
     """Articles and versions per source, overall and for low < n < high versions."""
     per_entry = versions.groupBy("source", "entry_id").agg(F.count(F.lit(1)).alias("n"))
@@ -281,16 +311,21 @@ def top_k(df: DataFrame, col: str, k: int) -> DataFrame:
     return df.groupBy(col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), col).limit(k)
 
 
-def ngram_lift(grams: DataFrame, flag: str, k: int) -> DataFrame:
-    """Runs whose mean frequency in flagged sentences differs most from the overall mean.
+def ngram_lift(sentences: DataFrame, text: str, flag: str, k: int, sizes: tuple[int, ...] = (1, 2)) -> DataFrame:
+    """Runs of content tokens whose mean frequency in flagged sentences differs most from the overall mean.
 
-    ``grams`` has one row per occurrence with a 0/1 ``flag``; the k highest and the k lowest.
+    ``sentences`` has one row for each sentence with a 0/1 ``flag``; the k highest and the k lowest runs. Equal
+    sentences are counted first, so the runs of a text that many versions keep are spread once, with
+    a weight, and counted before they are shuffled. The totals follow from the lengths.
     """
-    per = grams.groupBy("ngram").agg(F.sum(flag).alias("_f"), F.count(F.lit(1)).alias("n"))
-    per = materialise(per, "ngrams")
-    flagged, total = per.agg(F.sum("_f")).scalar(), per.agg(F.sum("n")).scalar()
+    once = sentences.groupBy(F.col(text).alias("text")).agg(F.sum(flag).alias("f"), F.count(F.lit(1)).alias("n"))
+    once = materialise(once.select(tx.content_tokens("text").alias("t"), "f", "n").where(F.size("t") > 0), "sentence_weights")
+    runs = sum((F.greatest(F.size("t") - (s - 1), F.lit(0)) for s in sizes), F.lit(0))
+    totals = once.agg(F.sum(runs * F.col("f")).alias("flagged"), F.sum(runs * F.col("n")).alias("total")).first()
+    every = F.concat(*[tx.ngrams(F.col("t"), s) if s > 1 else F.col("t") for s in sizes])
+    per = once.select(F.explode(every).alias("ngram"), "f", "n").groupBy("ngram").agg(F.sum("f").alias("_f"), F.sum("n").alias("n"))
     lift = per.where("_f > 0").select(
-        "ngram", "n", F.round((F.col("_f") / flagged) / (F.col("n") / total), 9).alias("lift")
+        "ngram", "n", F.round((F.col("_f") / totals["flagged"]) / (F.col("n") / totals["total"]), 9).alias("lift")
     )
     top = lift.orderBy(F.desc("lift"), "ngram").limit(k).withColumn("side", F.lit("top"))
     bottom = lift.orderBy("lift", "ngram").limit(k).withColumn("side", F.lit("bottom"))
@@ -339,7 +374,11 @@ def title_counts(versions: DataFrame, k: int) -> DataFrame:
     )
 
 
-def partition_skew(df: DataFrame, partition: Column | None = None) -> DataFrame:
-    """Rows per partition: those that Spark has made, or those of a rule given as a column."""
-    number = F.spark_partition_id() if partition is None else partition
-    return df.groupBy(number.alias("partition")).agg(F.count(F.lit(1)).alias("n"))
+def partition_skew(df: DataFrame) -> DataFrame:
+    """Rows in each partition that Spark has made; empty ones have no row."""
+    return df.groupBy(F.spark_partition_id().alias("partition")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def place_rows(df: DataFrame, partition: Column, partitions: int) -> DataFrame:
+    """Rows in the partition that a rule names, 0 to ``partitions`` - 1."""
+    return df.repartitionById(partitions, partition.cast("int"))
