@@ -36,8 +36,16 @@ def lowest_per_url(df: DataFrame, order: str = "id") -> DataFrame:
 
 
 def dedup_versions(df: DataFrame, order: str = "id") -> DataFrame:
-    """One row per url, then one per (entry, version); the lowest ``order`` stays."""
-    return _lowest(lowest_per_url(df, order), ["entry_id", "version"], order)
+    """One row per url, then one per (entry, version); the lowest ``order`` stays.
+
+    Which rows stay is settled on their keys; the rows themselves are shuffled once, at the end.
+    """
+    version = ["entry_id", "version"]
+    keys = df.select(order, "url", *version)
+    first = keys.where(F.col("url").isNotNull()).groupBy("url").agg(F.min(F.struct(order, *version)).alias("k")).select("k.*")
+    left = first.unionByName(keys.where(F.col("url").isNull()).drop("url"))
+    stay = left.groupBy(*version).agg(F.min(order).alias(order))
+    return df.join(stay, [*version, order], "left_semi").dropDuplicates([*version, order])
 
 
 def version_of_text(text) -> Column:

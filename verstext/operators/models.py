@@ -15,6 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from verstext.functions.text import content_tokens
+from verstext.operators.frequent import join_by_word
 
 ALL_TERMS = (1 << 31) - 1  # no selection by number
 
@@ -43,6 +44,21 @@ def topic_model(df: DataFrame, key: str, text: str, topics: int = 20, iterations
     return topics_of, words
 
 
+def term_weights(df: DataFrame, key: str, text: str, least_share: float = 0.0005) -> DataFrame:
+    """``key, term, n, weight``: the TF-IDF features of the classifier as rows, without a vocabulary on the driver.
+
+    The weight is n * ln((texts + 1) / (texts with the term + 1)) for the terms that at least ``least_share`` of the
+    texts have.
+    """
+    rows = _tokens(df.select(key, text), text)
+    counts = rows.select(key, F.explode("tokens").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
+    n_texts = df.count()
+    spread = rows.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("texts"))
+    weight = F.log((F.lit(n_texts) + 1) / (F.col("texts") + 1))
+    idf = spread.where(F.col("texts") >= least_share * n_texts).select("term", weight.alias("idf"))
+    return join_by_word(counts, idf, "term").select(key, "term", "n", (F.col("n") * F.col("idf")).alias("weight"))
+
+
 def tfidf_logistic(df: DataFrame, text: str, label: str, k: int = 50, least_share: float = 0.0005) -> DataFrame:
     """The k terms with the largest and the k with the smallest coefficient of a TF-IDF classifier."""
     counter = CountVectorizer(inputCol="tokens", outputCol="counts", minDF=least_share, vocabSize=ALL_TERMS)
