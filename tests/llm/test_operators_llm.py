@@ -448,7 +448,7 @@ def test_neighbouring_names_and_number_words_are_one_slot(spark):
 
 def test_urls_equal_a_plain_form(spark, sf_dir):
     odd = [None, "", "no scheme", "http://", "HTTP://A.Example.ORG/es/x?q#f", "x://org/", "x://org", "http://notexample.org/en/1", "http://example.org/en/12#a/b",
-           "http://example.org/en/2", "http://h.com:80/de/", "http://h.com/de/", "a://b://c/d", "http://\u00c9X.com/fr/\nz", "http://x.com?y=/fr/"]
+           "http://example.org/en/2", "http://h.com:80/de/", "http://h.com/de/", "a://b://c/d", "http://u@x.co.uk:8/de/1", "http://y.co.uk/", "http://10.0.0.1/de/", "http://10.0.0.2/", "http://\u00c9X.com/fr/\nz", "http://x.com?y=/fr/"]
     rows = [(n, u) for n, u in enumerate(odd)] + [(None, "http://h.com/de/1"), (1, "")]
     for pages in (spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"), spark.createDataFrame(rows, "page_id long, url string")):
         got = url_filter.judge_urls(pages, queries.RULES).collect()
@@ -456,6 +456,25 @@ def test_urls_equal_a_plain_form(spark, sf_dir):
     assert url_filter.judge_urls(pages.limit(0), queries.RULES).count() == 0
 
 
+def slow_domain(host):
+    bare = re.sub(":[0-9]*$", "", host.split("@")[-1])
+    if bare.startswith("[") or re.fullmatch(r"(\d{1,3}\.){3}\d{1,3}", bare, re.ASCII):
+        return bare, "ip"
+    labels = bare.split(".")
+    n = 2 if ".".join(labels[-2:]) in url_filter.SUFFIXES else 1
+    return ".".join(labels[-n - 1 :]), ".".join(labels[-n:])
+
+
+def test_registered_domains(spark):
+    want = {"a.b.co.uk": "b.co.uk", "co.uk": "co.uk", "192.168.1.10": "192.168.1.10", "192.168.1.10:80": "192.168.1.10", "[::1]:8080": "[::1]",
+            "user@x.org:80": "x.org", "u:p@w.x.org": "x.org", "a.b.com": "b.com", "com": "com", "": "", "1.2.3.4.com": "4.com"}
+    hosts = spark.createDataFrame([(h,) for h in want], "host string")
+    rows = hosts.select("host", url_filter.registered_domain(F.col("host"), url_filter.SUFFIXES)).collect()
+    assert dict(map(tuple, rows)) == want == {h: slow_domain(h)[0] for h in want}
+    few = hosts.select("host", url_filter.registered_domain(F.col("host"), ["example.org"])).collect()
+    assert dict(map(tuple, few))["a.b.co.uk"] == "co.uk"
+
+
 def slow_urls(rows):
     cut = []
     for key, url in rows:
@@ -472,8 +491,8 @@ def slow_urls(rows):
     for _, host, _, rule in cut:
         n[host] += rule is not None
         b[host] += rule is not None and rule.verdict == "block"
-    domain = {h: ".".join(re.sub(":[0-9]*$", "", h).split(".")[-2:]) for _, h, _, _ in cut}
-    suffix = {d: d.split(".")[-1] for d in domain.values()}
+    domain = {h: slow_domain(h)[0] for _, h, _, _ in cut}
+    suffix = {d: slow_domain(d)[1] for d in domain.values()}
 
     def up(counts, parent):
         out = Counter()

@@ -49,13 +49,34 @@ def first_fit(rules: Sequence[Rule], host: Column, path: Column, value) -> Colum
     return out
 
 
-def registered_domain(host: Column) -> Column:
-    """Last two labels of the host without a port; the host itself if it has fewer."""
-    return F.substring_index(F.regexp_replace(host, r":[0-9]*$", ""), ".", -2)
+# fixed values: suffixes of two labels under which names are registered
+SUFFIXES = (
+    "co.uk", "org.uk", "ac.uk", "gov.uk", "me.uk", "com.au", "net.au", "org.au", "edu.au", "co.nz", "org.nz", "co.jp", "ne.jp", "or.jp", "ac.jp",
+    "com.br", "org.br", "com.cn", "org.cn", "co.in", "org.in", "co.kr", "or.kr", "com.mx", "com.ar", "com.tr", "com.tw", "com.sg", "com.hk", "co.za", "co.il",
+)
+ADDRESSES = "ip"
 
 
-def suffix_of(domain: Column) -> Column:
-    return F.substring_index(domain, ".", -1)
+def bare_host(host: Column) -> Column:
+    """The host without a user part before ``@`` and without a port."""
+    return F.regexp_replace(F.regexp_replace(host, r"(?s)^.*@", ""), r":[0-9]*$", "")
+
+
+def is_address(bare: Column) -> Column:
+    return bare.rlike(r"^([0-9]{1,3}\.){3}[0-9]{1,3}$") | bare.startswith("[")
+
+
+def registered_domain(host: Column, suffixes: Sequence[str]) -> Column:
+    """The label before the suffix and the suffix; an address is a domain of its own."""
+    bare = bare_host(host)
+    two = F.substring_index(bare, ".", -2)
+    return F.when(is_address(bare), bare).when(two.isin(*suffixes), F.substring_index(bare, ".", -3)).otherwise(two)
+
+
+def suffix_of(domain: Column, suffixes: Sequence[str]) -> Column:
+    """The listed suffix of two labels, else the last label; addresses have one suffix together."""
+    two = F.substring_index(domain, ".", -2)
+    return F.when(is_address(domain), F.lit(ADDRESSES)).when(two.isin(*suffixes), two).otherwise(F.substring_index(domain, ".", -1))
 
 
 def strength(share: str, n: str, centre: str) -> Column:
@@ -71,14 +92,14 @@ def strength(share: str, n: str, centre: str) -> Column:
     return F.when(spread > 0, F.least(F.lit(1000.0), F.greatest(F.lit(1.0), chance / spread - 1))).otherwise(F.lit(1000.0))
 
 
-def reputations(pages: DataFrame, z: float) -> DataFrame:
+def reputations(pages: DataFrame, z: float, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """``host, low`` of every host: the lower posterior bound of its share of blocked pages."""
     hosts = pages.groupBy("host").agg(
         F.count("outcome").cast("double").alias("n"), F.coalesce(F.sum("outcome"), F.lit(0)).cast("double").alias("b")
-    ).select("host", registered_domain(F.col("host")).alias("domain"), "n", "b")
+    ).select("host", registered_domain(F.col("host"), suffixes).alias("domain"), "n", "b")
     hosts = materialise(hosts, "host_outcomes")
     domains = hosts.groupBy("domain").agg(F.sum("n").alias("dn"), F.sum("b").alias("db"))
-    domains = domains.withColumn("suffix", suffix_of(F.col("domain")))
+    domains = domains.withColumn("suffix", suffix_of(F.col("domain"), suffixes))
     suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("db").alias("sb"))
     root = suffixes.agg(((F.sum("sb") + 1) / (F.sum("sn") + 2)).alias("root"))
 
@@ -98,11 +119,12 @@ def reputations(pages: DataFrame, z: float) -> DataFrame:
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[Rule], limit: float = 0.5, z: float = 1.0, key: str = "page_id",
-               url: str = "url") -> DataFrame:
+               url: str = "url", suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """``page_id, host, path, rule, verdict`` of every row.
 
     A NULL url or one without ``://`` has an empty host and path; it fits no rule and is judged by
-    the reputation of the empty host. ``rules`` is a short written list and becomes one expression.
+    the reputation of the empty host. ``rules`` is a short written list and becomes one expression, as is
+    ``suffixes``, the suffixes of two labels under which names are registered (any last label is one as well).
     Without any labelled page the bound follows from the share 1/2 and pages are allowed. Counts
     are added up by host before they are shuffled; only urls and keys move. Repeated rows and NULL
     keys are judged like any other; other columns are not read.
@@ -114,6 +136,6 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], limit: float = 0.5, z: f
         first_fit(rules, F.col("host"), F.col("path"), lambda r: r.verdict).alias("ruled"),
     )
     outcomes = marked.select("host", (F.col("ruled") == "block").cast("int").alias("outcome"))
-    low = reputations(outcomes, z)
+    low = reputations(outcomes, z, suffixes)
     verdict = F.coalesce("ruled", F.when(F.col("low") >= limit, F.lit("block")).otherwise(F.lit("allow")))
     return marked.join(low, "host", "left").select(F.col("key").alias(key), "host", "path", "rule", verdict.alias("verdict"))
