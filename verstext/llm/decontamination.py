@@ -54,6 +54,8 @@ class LeakConfig:
 
 def canonical(token: str) -> tuple[str, str]:
     """(template token, slot value); the value is empty for a word that stays as it is."""
+    if token.isalpha() and token == token.lower() and not token[0].isupper() and token not in NUMBER_WORDS and token not in UNITS:
+        return token, ""  # most tokens
     bare = token.strip(EDGES)
     if not bare:
         return "", ""
@@ -172,62 +174,72 @@ def window_hashes(forms: np.ndarray, size: int) -> np.ndarray:
     return stretch_hashes(forms, slice(0, n), slice(size, None)) if n > 0 else forms[:0]
 
 
-def search_hashes(view: View, by_word: bool, size: int) -> np.ndarray:
-    """What windows of one reading are joined by.
+class Windows:
+    """The windows of one reading of the items, sorted by hash, for each window length.
 
     A window with a literal is joined by its template. One of placeholders alone says nothing but its
     values: a part without literals counts only if no slot has changed, and a longer part has a window
     with a literal. So these are joined by their values, or any two tables of numbers would meet everywhere.
     """
-    column = view.words if by_word else view.forms
-    found = window_hashes(column, size)
-    if not len(found):
-        return found
-    blank = view.values != 0
-    if by_word:
-        blank &= view.words == view.forms  # a name is a word of its own here
-    literals = np.concatenate(([0], np.cumsum(~blank)))
-    alone = literals[size:] == literals[: len(found)]
-    return np.where(alone, window_hashes(view.values, size) * MIX + np.uint64(1), found) if alone.any() else found
-
-
-class Windows:
-    """The windows of one reading of the items, sorted by hash, for each window length."""
 
     def __init__(self, config: LeakConfig, by_word: bool):
         self.config, self.by_word = config, by_word
-        self.parts: dict[int, list[np.ndarray]] = {}
-        self.sizes: dict[int, np.ndarray] = {}
-        self.marks: dict[int, np.ndarray] = {}
+        self.parts: dict[tuple[int, bool], list[np.ndarray]] = {}
+        self.sizes: dict[int, dict[bool, np.ndarray]] = {}  # by size, and whether of placeholders alone
+        self.marks: dict[tuple[int, bool], np.ndarray] = {}
+
+    def column(self, view: View) -> np.ndarray:
+        return view.words if self.by_word else view.forms
+
+    def alone(self, view: View, size: int) -> np.ndarray:
+        """Which windows are placeholders alone; read by words, a name is a literal."""
+        literal = view.values == 0
+        if self.by_word:
+            literal |= view.words != view.forms
+        count = np.concatenate(([0], np.cumsum(literal)))
+        return count[size:] == count[:-size]
 
     def add(self, item: int, view: View) -> None:
         size = min(self.config.window, len(view))
-        found = search_hashes(view, self.by_word, size)
-        entry = np.zeros(len(found), dtype=[("hash", "u8"), ("item", "i8"), ("at", "i8")])
-        entry["hash"], entry["item"], entry["at"] = found, item, np.arange(len(found))
-        self.parts.setdefault(size, []).append(entry)
+        alone = self.alone(view, size)
+        for kind, column in ((False, self.column(view)), (True, view.values)):
+            at = np.flatnonzero(alone == kind)
+            if len(at):
+                entry = np.zeros(len(at), dtype=[("hash", "u8"), ("item", "i8"), ("at", "i8")])
+                entry["hash"], entry["item"], entry["at"] = window_hashes(column, size)[at], item, at
+                self.parts.setdefault((size, kind), []).append(entry)
 
     def close(self) -> None:
-        for size, parts in self.parts.items():
-            entries = self.sizes[size] = np.sort(np.concatenate(parts), order="hash")
-            mark = self.marks[size] = np.zeros(1 << 18, dtype=bool)
+        for (size, kind), parts in self.parts.items():
+            entries = np.sort(np.concatenate(parts), order="hash")
+            self.sizes.setdefault(size, {})[kind] = entries
+            mark = self.marks[size, kind] = np.zeros(1 << 18, dtype=bool)
             mark[entries["hash"] >> np.uint64(46)] = True
         self.parts.clear()
 
+    def hits(self, view: View, size: int, kind: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the document, window of an item) of equal windows of one kind."""
+        entries, mark = self.sizes[size][kind], self.marks[size, kind]
+        here = window_hashes(view.values if kind else self.column(view), size)
+        found = mark[here >> np.uint64(46)]
+        if kind and found.any():
+            found &= self.alone(view, size)
+        where = np.flatnonzero(found)
+        if not len(where):
+            return where, entries[:0]
+        here = here[where]
+        low = np.searchsorted(entries["hash"], here, "left")
+        sizes = np.searchsorted(entries["hash"], here, "right") - low
+        inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return np.repeat(where, sizes), entries[np.repeat(low, sizes) + inside]
+
     def runs(self, view: View):
         """(item, start, stop, start in the document) of the runs of windows on one diagonal."""
-        for size, entries in self.sizes.items():
-            here = search_hashes(view, self.by_word, size)
-            where = np.flatnonzero(self.marks[size][here >> np.uint64(46)])
-            if not len(where):
-                continue
-            here = here[where]
-            low = np.searchsorted(entries["hash"], here, "left")
-            sizes = np.searchsorted(entries["hash"], here, "right") - low
-            at = np.repeat(where, sizes)
+        for size, kinds in self.sizes.items():
+            found = [self.hits(view, size, kind) for kind in kinds]
+            at, entry = found[0] if len(found) == 1 else (np.concatenate(c) for c in zip(*found, strict=True))
             if not len(at):
                 continue
-            entry = entries[np.repeat(low, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)]
             order = np.lexsort((entry["at"], at - entry["at"], entry["item"]))
             at, entry = at[order], entry[order]
             starts = np.flatnonzero(np.concatenate((
