@@ -86,10 +86,13 @@ def subwords(word: str, config: ToxicityConfig) -> list[int]:
     marked = f"<{word}>"
     if len(word) > LONG_WORD:
         return (long_subwords(marked.encode("utf-8", "replace"), config) % np.uint32(config.buckets)).tolist()
-    grams = {marked}
-    for n in range(config.shortest, config.longest + 1):
-        grams.update(marked[i : i + n] for i in range(len(marked) - n + 1))
-    return [zlib.crc32(g.encode("utf-8", "replace")) % config.buckets for g in sorted(grams)]
+    data = marked.encode("utf-8", "replace")
+    if len(data) == len(marked):  # of one byte each, so the bytes can be cut themselves
+        grams = [data[i : i + n] for n in range(config.shortest, config.longest + 1) for i in range(len(data) - n + 1)]
+    else:
+        grams = [marked[i : i + n].encode("utf-8", "replace") for n in range(config.shortest, config.longest + 1) for i in range(len(marked) - n + 1)]
+    crc, buckets = zlib.crc32, config.buckets
+    return [crc(g) % buckets for g in dict.fromkeys([data, *grams])]
 
 
 def pack_words(text: str, config: ToxicityConfig, ids: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
