@@ -27,7 +27,7 @@ def split_job(versions: DataFrame, done: DataFrame | None = None, high: int | No
 
 
 def match_job(versions: DataFrame, done: DataFrame | None = None, config: MatchConfig = MatchConfig(), high: int | None = None) -> DataFrame:
-    sentences = materialise(split_job(versions, done, high), "sentences")
+    sentences = materialise(split_job(versions, done, high), "sentences", "zstd")
     return match.match_bidirectional(sentences, config=config)
 
 
@@ -41,7 +41,7 @@ class DiffTables:
 
 def diff_job(sentences: DataFrame, matched: DataFrame) -> DiffTables:
     """The four diff tables of all adjacent versions."""
-    slots = materialise(diff.sentence_diffs_long(sentences, matched), "sentence_diffs")
+    slots = materialise(diff.sentence_diffs_long(sentences, matched), "sentence_diffs", "zstd")
     words = diff.word_diffs_long(diff.word_diff(slots))
     return DiffTables(slots, diff.sentence_stats(slots), words, diff.word_stats(words))
 
