@@ -136,6 +136,7 @@ def payload_nodes_arcs(v: Views):
 
 ROWS_SQL = "SELECT source, entry_id, version, sent_idx, md5(sentence) AS sentence_md5 FROM sentences"
 LEAST_ROWS = 2_500
+DAY_ROWS = 1_000_000
 
 
 def _rows(df):
@@ -143,10 +144,17 @@ def _rows(df):
 
 
 def _files_by_day(v: Views) -> str:
-    """One file for each of 64 days, by entry, and one more without rows; days are of very different size."""
+    """One file for each of 64 days, by entry, and one more without rows; days are of very different size.
+
+    A day of more than ``DAY_ROWS`` rows is several large files, so that no task holds it alone.
+    """
     path = v.scratch("days")
     day = F.floor(F.pow(F.col("entry_id") % 64, F.lit(2)) / 64).cast("int")
-    v.sentences.repartitionById(64, day).write.parquet(path)
+    rows = {r.day: r.n for r in v.sentences.groupBy(day.alias("day")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    parts = [max(1, rows.get(d, 0) // DAY_ROWS) for d in range(64)]
+    begin = F.element_at(F.array(*[F.lit(sum(parts[:d])) for d in range(64)]), day + 1)
+    part = F.pmod(F.xxhash64("entry_id", "version", "sent_idx"), F.element_at(F.array(*[F.lit(p) for p in parts]), day + 1))
+    v.sentences.repartitionById(sum(parts), (begin + part).cast("int")).write.parquet(path)
     v.sentences.limit(0).coalesce(1).write.mode("append").parquet(path)
     return path
 
@@ -166,14 +174,15 @@ def rewrite_small(v: Views):
     writers.rewrite_small(v.spark, path, target, LEAST_ROWS, rows_per_file=100_000)
     small = writers.small_files(writers.file_table(v.spark, path), least_rows=LEAST_ROWS).select("file_path")
     old = v.spark.read.schema(schema.SENTENCES).parquet(path).withColumn("file_path", F.col("_metadata.file_path"))
-    stay = old.join(small, "file_path", "left_anti").drop("file_path")
+    # at most one small file for each day
+    stay = old.join(F.broadcast(small), "file_path", "left_anti").drop("file_path")
     return _rows(stay.unionByName(v.spark.read.schema(schema.SENTENCES).parquet(target)))
 
 
 @query("compact_outputs", with_ctes("sentences", ROWS_SQL))
 def compact_outputs(v: Views):
     small, large = v.scratch("small"), v.scratch("large")
-    v.sentences.repartition(32).write.parquet(small)
+    v.sentences.write.option("maxRecordsPerFile", 10_000).parquet(small)
     writers.compact_outputs(v.spark, small, large, rows_per_file=1_000_000)
     return _rows(v.spark.read.schema(schema.SENTENCES).parquet(large))
 

@@ -73,18 +73,20 @@ def rewrite_small(spark: SparkSession, source: str, target: str, least_rows: int
 
     Large files keep their place: they and ``target`` together hold every row once.
     """
-    paths = small_files(file_table(spark, source), least_rows=least_rows).where("rows > 0").select("file_path")
-    rows = spark.read.option("recursiveFileLookup", "true").parquet(source)
-    chosen = rows.withColumn("file_path", F.col("_metadata.file_path")).join(paths, "file_path", "left_semi").drop("file_path")
-    n = chosen.count()
-    chosen.repartition(max(1, -(-n // rows_per_file))).write.option("maxRecordsPerFile", rows_per_file).parquet(target)
+    # a list of files, as the one that Spark makes of a folder: only the small ones are read
+    chosen = small_files(file_table(spark, source), least_rows=least_rows).where("rows > 0").select("file_path", "rows").collect()
+    whole = spark.read.option("recursiveFileLookup", "true").parquet(source)
+    rows = spark.read.schema(whole.schema).parquet(*[r.file_path for r in chosen]) if chosen else whole.limit(0)
+    n = sum(r.rows for r in chosen)
+    rows.repartition(max(1, -(-n // rows_per_file))).write.option("maxRecordsPerFile", rows_per_file).parquet(target)
 
 
 def compact_outputs(spark: SparkSession, source: str, target: str, rows_per_file: int) -> None:
     """Rewrite many small files as few large ones in a new place; nothing is deleted.
 
-    The number of files, and of the tasks that write them, follows from the number of rows.
+    The number of files, and of the tasks that write them, follows from the number of rows. The files that a
+    task reads become one, so no row is shuffled.
     """
     df = spark.read.parquet(source)
     files = max(1, -(-df.count() // rows_per_file))
-    df.repartition(files).write.option("maxRecordsPerFile", rows_per_file).parquet(target)
+    df.coalesce(files).write.option("maxRecordsPerFile", rows_per_file).parquet(target)
