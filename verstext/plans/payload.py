@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from verstext.operators.match import version_pairs
+from verstext.operators.attached import pair_lists
 
 
 def payload_nodes_arcs(matched: DataFrame, sentences: DataFrame) -> DataFrame:
@@ -12,18 +12,4 @@ def payload_nodes_arcs(matched: DataFrame, sentences: DataFrame) -> DataFrame:
 
     One pair holds the text of two versions, so the nested lists are bounded by their texts.
     """
-    pair = ["entry_id", "version_x"]
-    node = F.struct("version", "sent_idx", "sentence")
-    old = sentences.withColumn("version_x", F.col("version")).withColumn("side", F.lit(0))
-    new = sentences.withColumn("version_x", F.col("version") - 1).withColumn("side", F.lit(1))
-    nodes = (
-        old.unionByName(new).join(version_pairs(sentences), pair, "left_semi")
-        .groupBy("source", *pair).agg(F.array_sort(F.collect_list(node)).alias("nodes"))
-    )
-    arcs = (
-        matched.where("sent_idx_x IS NOT NULL AND sent_idx_y IS NOT NULL")
-        .groupBy(*pair)
-        .agg(F.array_sort(F.collect_list(F.struct("sent_idx_x", "sent_idx_y"))).alias("arcs"))
-    )
-    empty = F.array().cast("array<struct<sent_idx_x:int,sent_idx_y:int>>")
-    return nodes.join(arcs, pair, "left").withColumn("arcs", F.coalesce("arcs", empty))
+    return pair_lists(sentences, matched.where("sent_idx_x IS NOT NULL AND sent_idx_y IS NOT NULL"))

@@ -42,7 +42,8 @@ def export_tsv(df: DataFrame, path: str, label: str, text: str, doc: str, sent:
 
 
 def export_payload_json(df: DataFrame, path: str) -> None:
-    df.write.json(path)
+    """One JSON line for each pair. It holds the texts of two versions, nearly the same, which gzip keeps once."""
+    df.write.json(path, compression="gzip")
 
 
 def file_table(spark: SparkSession, path: str) -> DataFrame:
