@@ -9,6 +9,7 @@ from catalog.registry import query
 from catalog.views import Views
 from verstext.functions import text as tx
 from verstext.operators import ingest, match
+from verstext.runtime import materialise
 
 
 def _crawl(v: Views):
@@ -124,10 +125,12 @@ def missing_pairs(v: Views):
     SELECT min(id) OVER (PARTITION BY entry_id) AS root,
            row_number() OVER (PARTITION BY entry_id ORDER BY version) - 1 AS position, id FROM entryversion"""))
 def version_chains(v: Views):
-    steps = ingest.next_versions(v.entryversion)
+    # the texts of the versions are read once
+    versions = materialise(v.entryversion.select("id", "entry_id", "version"), "version_ids")
+    steps = ingest.next_versions(versions)
     real = steps.select((F.col("entry_id") * 10 + F.col("version_x")).alias("old_id"),
                         (F.col("entry_id") * 10 + F.col("version_y")).alias("new_id"))
-    ends = v.entryversion.select(F.col("id").alias("old_id"), F.col("id").alias("new_id"))
+    ends = versions.select(F.col("id").alias("old_id"), F.col("id").alias("new_id"))
     last = ends.join(real, "old_id", "left_anti")
     return ingest.version_chains(real.unionByName(last)).select("root", "position", "id")
 

@@ -1,11 +1,14 @@
 """Rows dealt as blocks come out whole and in order, and texts of several versions take little room."""
 
 import random
+import re
 
+import pandas as pd
 import pyarrow as pa
 import pytest
 
-from verstext.operators import dealing
+from verstext.functions import text
+from verstext.operators import align, dealing, ingest, sentences as sent
 from verstext.plans.payload import payload_nodes_arcs
 
 KEYS, ORDER = ["entry_id", "stretch"], ["version", "sent_idx"]
@@ -55,3 +58,67 @@ def test_payload_keeps_sources_apart_and_shuffles_blocks(spark):
     got = {r.source: ([tuple(n) for n in r.nodes], [tuple(a) for a in r.arcs]) for r in df.collect()}
     arcs = [(0, 0), (0, 1)]
     assert got == {"a": ([(0, 0, "x"), (1, 0, "y"), (1, 1, "z")], arcs), "b": ([(0, None, "n")], arcs), None: ([(1, 0, "u")], arcs)}
+
+
+def exchanges(df):
+    """Shuffles of the plan before it has run."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_joined_sentences(spark):
+    rows = [(1, 0, 1, "b"), (1, 0, 0, "a"), (1, 0, None, "n"), (1, 0, 2, None), (None, 0, 0, "u"), (2, 1, 0, "c"), (None, 0, 1, "w"), (3, 0, 0, None)]
+    df = spark.createDataFrame(rows, "entry_id long, version int, sent_idx int, sentence string")
+    out = sent.join_sentences(df, separator="|", out="story", count="n")
+    assert exchanges(out) == 1
+    assert {(r.entry_id, r.version): (r.story, r.n) for r in out.collect()} == {
+        (1, 0): ("n|a|b", 4), (None, 0): ("u|w", 2), (2, 1): ("c", 1), (3, 0): ("", 1),
+    }
+
+
+def test_places_need_one_shuffle_of_sentences(spark):
+    df = spark.createDataFrame([(1, 0, 0, "b c"), (1, 0, 1, "é"), (1, 0, 2, "zz"), (1, 0, 3, None), (2, 0, 0, "q")], "entry_id long, version int, sent_idx int, sentence string")
+    docs = spark.createDataFrame([(1, "é b c b c"), (2, None)], "entry_id long, text string").hint("merge")
+    out = align.locate_sentences(df, docs)
+    assert exchanges(out) == 2
+    assert {(r.entry_id, r.sent_idx): (r.start, r.found, r.out_of_order) for r in out.collect()} == {
+        (1, 0): (3, True, False), (1, 1): (1, True, True), (1, 2): (None, False, False), (1, 3): (None, False, False), (2, 0): (None, False, False),
+    }
+
+
+def test_runs_are_counted_where_their_text_lies(spark):
+    df = spark.createDataFrame([(1, "red fox red fox"), (1, "red"), (2, "fox")], "doc long, text string")
+    out = sent.ngram_counts(df, "text", "doc")
+    assert not re.search(r"hashpartitioning\(ngram#\d+, doc", out._jdf.queryExecution().executedPlan().toString())
+    assert {r.ngram: (r.n, r.doc_freq) for r in out.collect()} == {"red": (3, 1), "fox": (3, 2), "red fox": (2, 1), "fox red": (1, 1)}
+
+
+def test_links_are_read_once(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    links = spark.createDataFrame([(1, 2), (2, 3), (3, 3), (5, 6)], "old_id long, new_id long").mapInArrow(count, "old_id long, new_id long")
+    out = ingest.version_chains(links)
+    assert sorted(map(tuple, out.collect())) == [(1, 0, 1), (1, 1, 2), (1, 2, 3), (5, 0, 5), (5, 1, 6)]
+    assert reads.value == 4
+
+
+def test_words_that_begin_like_numerals_stay():
+    found = text.strip_list_marks.func(pd.Series(["a mild (iv) dim VI x. civic ", "1. (a) iv. b", "(ii) c (\n) mix", None, "no x", " İ ı "]))
+    old = [re.compile(m.replace("WORD", r"\w")) for m in text.LIST_MARKS]
+
+    def slow(s):
+        before = None
+        while s is not None and s != before:
+            before = s
+            for m in old:
+                s = m.sub("", s)
+        return s
+
+    rng = random.Random(2)
+    many = pd.Series(["".join(rng.choices("ivxm. ()ab1\n", k=14)) for _ in range(4000)])
+    assert list(text.strip_list_marks.func(many)) == [slow(s) for s in many]
+    assert found[3] is None and found[0] == slow("a mild (iv) dim VI x. civic ") and found[5] == slow(" İ ı ")

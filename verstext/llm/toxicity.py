@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -95,7 +96,7 @@ def subwords(word: str, config: ToxicityConfig) -> list[int]:
     return [crc(g) % buckets for g in dict.fromkeys([data, *grams])]
 
 
-def pack_words(text: str, config: ToxicityConfig, ids: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+def pack_words(text: str, config: ToxicityConfig, ids: dict[str, array]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text and their shares of all its n-grams."""
     grams, weights = [], []
     for word, n in sorted(Counter(words_of(text)).items()):
@@ -105,7 +106,7 @@ def pack_words(text: str, config: ToxicityConfig, ids: dict[str, list[int]]) ->
                 ids.clear()
             found = subwords(word, config)
             if len(word) <= config.cache_chars:
-                ids[word] = found
+                ids[word] = array("i", found)  # a list would hold an object for each number
         grams += found
         weights += [1 + math.log(n)] * len(found)
     if not grams:
@@ -181,7 +182,7 @@ def labelled_bags(docs: DataFrame, labels: DataFrame, key: str, text: str, label
     rows = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("text")).join(sample, key)
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids: dict[str, list[int]] = {}
+        ids: dict[str, array] = {}
         for batch in batches:
             bags = [pack_words(t, config, ids) for t in batch["text"]]
             yield pd.DataFrame({
@@ -238,7 +239,7 @@ def scorer(docs: DataFrame, model: ToxicityModel, config: ToxicityConfig):
 
     def start():
         grams, bias = shared.value
-        known: dict[str, tuple[float, int]] = {}
+        known: dict[str, complex] = {}  # sum and number of the n-grams of a word, as one small object
         damp = [0.0] + [1 + math.log(n) for n in range(1, 4096)]
 
         def margin(content: str) -> float:
@@ -247,12 +248,12 @@ def scorer(docs: DataFrame, model: ToxicityModel, config: ToxicityConfig):
                 found = known.get(word)
                 if found is None:
                     ids = subwords(word, config)
-                    found = (float(grams[ids].sum()), len(ids))
+                    found = complex(grams[ids].sum(), len(ids))
                     if len(word) <= config.cache_chars:
                         known[word] = found
                 w = damp[n] if n < 4096 else 1 + math.log(n)
-                total += w * found[0]
-                weight += w * found[1]
+                total += w * found.real
+                weight += w * found.imag
             return total / (weight + config.blank) + bias
 
         def scores(texts: list[str]) -> list[float]:
