@@ -122,3 +122,11 @@ def test_words_that_begin_like_numerals_stay():
     many = pd.Series(["".join(rng.choices("ivxm. ()ab1\n", k=14)) for _ in range(4000)])
     assert list(text.strip_list_marks.func(many)) == [slow(s) for s in many]
     assert found[3] is None and found[0] == slow("a mild (iv) dim VI x. civic ") and found[5] == slow(" İ ı ")
+
+
+def test_tokens_are_made_once(spark, tmp_path):
+    spark.createDataFrame([(1, "A  b"), (2, " "), (3, None)], "k int, sentence string").write.parquet(str(tmp_path / "s"))
+    out = sent.words(spark.read.parquet(str(tmp_path / "s")), ["k"])
+    plan = out._jdf.queryExecution().executedPlan().toString().split("FileScan")[0]
+    assert plan.count("split(lower(") == 1
+    assert [tuple(r) for r in out.orderBy("word_idx").collect()] == [(1, 2, 0, "a", "a"), (1, 2, 1, "b", "b")]
