@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from catalog.ctes import with_ctes
 from catalog.registry import query
-from catalog.views import Views
+from catalog.views import CONFIG, Views
 from verstext.operators import match
 from verstext.plans import payload
 from verstext.sources import readers, schema, writers
@@ -124,7 +124,10 @@ def _payload_view(df):
 @query("export_payload_json", with_ctes("sentences matched", PAYLOAD_SQL))
 def export_payload_json(v: Views):
     path = v.scratch("payload")
-    df = payload.payload_nodes_arcs(v.matched, v.sentences)
+    # made twice from the documents, so that they do not lie beside the exported texts
+    sentences = v.make_sentences()
+    matched = v.stored("matched", lambda: match.match_bidirectional(sentences, config=CONFIG))
+    df = payload.payload_nodes_arcs(matched, sentences)
     writers.export_payload_json(df, path)
     return _payload_view(v.spark.read.schema(df.schema).json(path))
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from verstext.runtime import shuffles_go
+
 
 def write_matches(df: DataFrame, path: str, files_per_source: int = 0) -> None:
     """Partitioned result table; only the partitions that occur in ``df`` are replaced."""
@@ -43,7 +45,8 @@ def export_tsv(df: DataFrame, path: str, label: str, text: str, doc: str, sent:
 
 def export_payload_json(df: DataFrame, path: str) -> None:
     """One JSON line for each pair. It holds the texts of two versions, nearly the same, which gzip keeps once."""
-    df.write.json(path, compression="gzip")
+    with shuffles_go(df.sparkSession):
+        df.write.json(path, compression="gzip")
 
 
 def file_table(spark: SparkSession, path: str) -> DataFrame:
