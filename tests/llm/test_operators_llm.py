@@ -742,3 +742,20 @@ def test_rows_without_an_id_are_judged_by_their_own_text(spark):
     for block_chars in (16_000_000, 20):
         kept = decontamination.drop_leaks(leaky, items, decontamination.LeakConfig(block_chars=block_chars))
         assert kept.columns == docs.columns and sorted(r.n for r in kept.collect()) == [0, 2, 3]
+
+
+def test_packed_bags_train_the_same_model():
+    """The sample stays compressed while the model is fitted."""
+    import numpy as np
+
+    from verstext.llm import toxicity
+
+    config = toxicity.ToxicityConfig(least_texts=1, epochs=2, least_steps=4)
+    ids = {}
+    bags = [toxicity.pack_words(t, config, ids) for t in ("you are bad", "kind words here", "", "bad bad words")]
+    raw = [(b.astype(np.uint16), s) for b, s in bags]
+    packed = toxicity.PackedBags([len(b) for b, _ in raw], [toxicity.pack_bag(b.tobytes(), s.tobytes()) for b, s in raw])
+    assert all((a == c).all() and (b == d).all() for (a, b), (c, d) in zip(raw, packed, strict=True))
+    labels = np.array([1, 0, 0, 1])
+    one, two = toxicity.train(raw, labels, config), toxicity.train(packed, labels, config)
+    assert (one.gram_score == two.gram_score).all() and one.margin_bias == two.margin_bias

@@ -15,12 +15,14 @@ import math
 import zlib
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
 from verstext.llm.rows import keep_rows, map_keyed
 
@@ -124,7 +126,28 @@ class ToxicityModel:
     margin_bias: float
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, config: ToxicityConfig) -> ToxicityModel:
+class PackedBags(Sequence):
+    """Bags that stay compressed; one is opened when it is asked for, so a sample is not held in full."""
+
+    def __init__(self, sizes: Sequence[int], packed: Sequence[bytes]):
+        self.sizes, self.packed = sizes, packed
+
+    def __len__(self) -> int:
+        return len(self.packed)
+
+    def __getitem__(self, at: int) -> tuple[np.ndarray, np.ndarray]:
+        n = int(self.sizes[at])
+        opened = pa.Codec("zstd").decompress(self.packed[at], 6 * n, asbytes=True)
+        return np.cumsum(np.frombuffer(opened, np.uint16, n), dtype=np.uint16), np.frombuffer(opened, np.float32, n, 2 * n)
+
+
+def pack_bag(grams: bytes, share: bytes) -> bytes:
+    """Sorted buckets as steps, and the shares, of which many are equal."""
+    steps = np.diff(np.frombuffer(grams, np.uint16), prepend=np.uint16(0))
+    return pa.Codec("zstd").compress(steps.tobytes() + share, asbytes=True)
+
+
+def train(bags: Sequence[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, config: ToxicityConfig) -> ToxicityModel:
     """Adam on the cross entropy of the softmax, embeddings and layer together."""
     rng = np.random.default_rng(config.seed)
     table = rng.normal(0, 0.01, (config.buckets, config.dim)).astype(np.float32)
@@ -132,8 +155,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, config:
     for ids, _ in bags:  # an n-gram is in a bag once
         texts[ids] += 1
     seen = texts >= config.least_texts
-    bags = [(ids[seen[ids]], share[seen[ids]]) for ids, share in bags]  # rare n-grams say nothing
-    table[~seen] = 0
+    table[~seen] = 0  # rare n-grams say nothing
     layer = rng.normal(0, 0.5, (config.dim, 2)).astype(np.float32)
     bias = np.zeros(2, dtype=np.float32)
     params = [table, layer, bias]
@@ -144,9 +166,9 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, config:
         order = rng.permutation(len(bags))
         for start in range(0, len(order), config.batch):
             rows = order[start : start + config.batch]
-            sizes = np.array([len(bags[r][0]) for r in rows])
-            ids = np.concatenate([bags[r][0] for r in rows])
-            share = np.concatenate([bags[r][1] for r in rows])
+            chosen = [(ids[seen[ids]], share[seen[ids]]) for ids, share in (bags[r] for r in rows)]
+            sizes = np.array([len(ids) for ids, _ in chosen])
+            ids, share = (np.concatenate(part) for part in zip(*chosen))
             owner = np.repeat(np.arange(len(rows)), sizes)
             mean = np.stack(
                 [np.bincount(owner, weights=table[ids, k] * share, minlength=len(rows)) for k in range(config.dim)], axis=1
@@ -171,7 +193,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, config:
 
 
 def labelled_bags(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, config: ToxicityConfig) -> DataFrame:
-    """The bags of a bounded sample of labelled rows: the lowest key hashes of each class."""
+    """The bags of a bounded sample of labelled rows, compressed: the lowest key hashes of each class."""
     known = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).cast("int").alias("label"))
     learnt = known.where(~held_out(key)).withColumn("order", F.xxhash64(key))
     parts = [
@@ -193,7 +215,15 @@ def labelled_bags(docs: DataFrame, labels: DataFrame, key: str, text: str, label
     kind = docs.schema[key].dataType.simpleString()
     bags = rows.mapInPandas(pack, f"key {kind}, label int, grams binary, share binary")
     one = bags.groupBy("key").agg(F.min(F.struct("label", "grams", "share")).alias("row"))  # repeated rows count once
-    return one.select("key", "row.*")
+    rows = one.select("key", "row.*")
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams, share = (batch.column(c).to_pylist() for c in ("grams", "share"))
+            sizes, packed = pa.array([len(g) // 2 for g in grams], pa.int32()), pa.array(map(pack_bag, grams, share), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("label"), sizes, packed], ["key", "label", "size", "bag"])
+
+    return rows.mapInArrow(squeeze, StructType([rows.schema["key"], rows.schema["label"], StructField("size", IntegerType()), StructField("bag", BinaryType())]))
 
 
 def held_out(key: str):
@@ -214,8 +244,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         if len(set(targets)) < 2:
             model = constant(targets, config)
         else:
-            bags = [(np.frombuffer(g, np.uint16), np.frombuffer(s, np.float32)) for g, s in zip(sample["grams"], sample["share"], strict=True)]
-            model = train(bags, targets, config)
+            model = train(PackedBags(sample["size"].to_list(), sample["bag"].to_list()), targets, config)
         return pd.DataFrame({"scores": [model.gram_score.tobytes()], "bias": [model.margin_bias]})
 
     bags = labelled_bags(docs, labels, key, text, label, config)
