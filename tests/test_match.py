@@ -123,6 +123,32 @@ def test_near_vectors_are_exact_and_lsh_finds_a_subset(spark, block):
     assert near.near_vectors(table.limit(0), 0.5).count() == near.lsh_near_vectors(table.limit(0), 0.5, 0.5, 3).count() == 0
 
 
+@pytest.mark.parametrize(("norm", "part_words"), [("own", 40), ("x", 1_000_000)])
+def test_near_words_of_adjacent_versions_stand_for_the_whole_list(spark, documents, norm, part_words):
+    rng = np.random.default_rng(6)
+    many = documents.unionByName(documents.where("version = 0").withColumn("version", F.explode(F.sequence(F.lit(5), F.lit(30)))))
+    words = sent.words(many, KEYS).withColumn("word", F.pmod(F.xxhash64("token"), F.lit(31)))  # some words have no vector
+    v = rng.normal(size=(20, 6))
+    v[10:] = v[:10] + rng.normal(scale=0.1, size=(10, 6))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    table = [(i, [float(x) for x in row]) for i, row in enumerate(v)]
+    table += [table[3], (4, table[5][1]), (25, None), (None, table[0][1])]  # an id may come twice or be NULL
+    vectors = spark.createDataFrame(table, "vec_id long, vector array<double>")
+    whole = near.near_vectors(vectors.where("vector IS NOT NULL"), 0.5, unit=True).localCheckpoint()
+    local = near.near_words(words, vectors, 0.5, part_words).localCheckpoint()
+    older = words.select("entry_id", F.col("version").alias("version_x"), F.col("word").alias("word_a")).distinct()
+    newer = words.select("entry_id", (F.col("version") - 1).alias("version_x"), F.col("word").alias("word_b")).distinct()
+    want = older.join(whole, "word_a").join(newer, ["entry_id", "version_x", "word_b"]).select(local.columns)
+    assert local.count() and sorted(map(tuple, local.collect())) == sorted(map(tuple, want.collect()))
+    assert near.near_words(words, vectors.limit(0), 0.5).count() == near.near_words(words.limit(0), vectors, 0.5).count() == 0
+    config = MatchConfig(norm=norm)
+    for limit in (None, 0):
+        found = (match.match_bidirectional(many, words=words, near=n, config=config, heavy_limit=limit) for n in (local, whole))
+        assert rows(next(found)) == rows(next(found))
+    pairs = (match.word_pairs(words, n) for n in (local, whole))
+    assert sorted(map(repr, next(pairs).collect())) == sorted(map(repr, next(pairs).select(match.word_pairs(words, local).columns).collect()))
+
+
 def test_pairs_compared_grow_less_than_the_square(spark):
     rng = np.random.default_rng(9)
     compared = []
