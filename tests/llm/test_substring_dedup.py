@@ -86,6 +86,15 @@ def test_index_finds_every_earlier_string(depth):
     assert [sorted(g) for g in got] == want
 
 
+def test_streaming_starts_at_the_last_string_of_a_segment(monkeypatch):
+    calls, step = [], sd.RunLengthIndex.step
+    monkeypatch.setattr(sd.RunLengthIndex, "step", lambda self, *a: calls.append(1) or step(self, *a))
+    text = bytes(np.random.default_rng(4).integers(97, 123, 84, dtype=np.uint8))
+    which, starts = sd.match_segments([text, b"?" + text[5:70], text[:20]], np.array([1, 2, 0]), 50)
+    assert sorted(zip(which.tolist(), starts.tolist(), strict=True)) == [(1, i) for i in range(1, 17)]
+    assert len(calls) == 84 - 50
+
+
 def test_every_string_covers_a_context():
     config = sd.RepeatConfig()
     rest = config.length - config.seed

@@ -12,9 +12,9 @@
    stored as runs with samples at the run ends, sorted to a depth of ``length`` bytes and by
    document among equal strings. Runs are also cut where a string of several documents begins, so the
    sample there names its smallest document.
-4. *Matching statistics.* Every segment is streamed backwards through the index: a step follows the
-   runs of one byte, and the match is held to ``length`` bytes. A string is a repeat if the sample at
-   its first row is a smaller document.
+4. *Matching statistics.* Every segment is streamed backwards through the index, from the rows of its last
+   string on: a step follows the runs of one byte, and the match is held to ``length`` bytes. A string is a repeat
+   if the sample at its first row is a smaller document.
 5. The marks of a document go back to its text, which is read whole.
 """
 
@@ -145,11 +145,12 @@ def anchor_pieces(rows: DataFrame, parts: int, config: RepeatConfig) -> DataFram
         size = 0
 
         def out() -> pa.RecordBatch:
+            held.sort(key=lambda h: h[0])  # the anchors are in the order of documents and places now
             ids, tags = (np.array([h[i] for h in held], dtype=np.int64) for i in range(2))
             number = np.repeat(np.arange(len(held)), [len(a[0]) for *_, a in held])
             at, hashes, segments, around = (np.concatenate([a[i] for *_, a in held]) for i in range(4))
             part = (hashes >> np.uint64(16)) % np.uint64(parts)
-            order = np.lexsort((at, ids[number], segments, hashes, part))
+            order = np.lexsort((segments, hashes, part))
             at, hashes, segments, around, number, part = (x[order] for x in (at, hashes, segments, around, number, part))
             keys = ids[number]
             new = np.ones(len(at), dtype=bool)
@@ -217,16 +218,17 @@ def classify(hashes, segments, around, docs, tags, at):
 
     The text is needed at all places where the smallest document of a class has it.
     """
-    order = np.lexsort((at, docs, segments, hashes))
+    order = np.argsort(segments, kind="stable")
     hashes, segments, around, docs, tags, at = (x[order] for x in (hashes, segments, around, docs, tags, at))
     new_class = np.ones(len(hashes), dtype=bool)
     new_class[1:] = (hashes[1:] != hashes[:-1]) | (segments[1:] != segments[:-1])
     first = np.flatnonzero(new_class)
     sizes = np.diff(np.append(first, len(docs)))
-    full = docs > np.repeat(docs[first], sizes)
+    smallest = np.minimum.reduceat(docs, first) if len(first) else docs
+    full = docs > np.repeat(smallest, sizes)
     near = np.zeros(len(first), dtype=bool)
     for i in range(4):
-        near |= meets_another(hashes[first], around[first] >> np.uint64(16 * i) & np.uint64(0xFFFF), docs[first])
+        near |= meets_another(hashes[first], around[first] >> np.uint64(16 * i) & np.uint64(0xFFFF), smallest)
     return hashes, docs, tags, at, full, ~full & np.repeat(near, sizes)
 
 
@@ -259,19 +261,36 @@ class RunLengthIndex:
         def ahead(values: np.ndarray, shift: int) -> np.ndarray:
             return np.concatenate((values[shift:], np.zeros(min(shift, n), dtype=np.int64)))
 
-        def dense(values: np.ndarray) -> np.ndarray:
-            return np.unique(values, return_inverse=True)[1] + 1
-
-        span = min(7, depth - 1)  # so many symbols of nine bits fit into one number
-        code = np.zeros(n, dtype=np.int64)
+        bits = (n + 1).bit_length()
+
+        def ordered(values: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+            """Rows by value, then place, and the values in that order; sorting numbers is faster than sorting places."""
+            if top + bits > 63:
+                rows = np.argsort(values, kind="stable")
+                return rows, values[rows]
+            packed = np.sort(values << bits | np.arange(n))
+            return packed & ((1 << bits) - 1), packed >> bits
+
+        def dense(values: np.ndarray, top: int) -> np.ndarray:
+            rows, values = ordered(values, top)
+            out = np.empty(n, dtype=np.int64)
+            out[rows] = np.cumsum(np.concatenate(([True], values[1:] != values[:-1])))
+            return out
+
+        # as many symbols as fit into one number beside the place
+        seen = np.bincount(text, minlength=258) > 0
+        symbol = np.cumsum(seen) - 1  # keeps the order; 0 is there
+        wide = max(1, int(symbol[-1]).bit_length())
+        span = max(1, min((63 - bits) // wide, depth - 1))
+        code, small = np.zeros(n, dtype=np.int64), symbol[text]
         for k in range(span):
-            code = code << 9 | ahead(text, k)
-        rank = dense(code)
+            code = code << wide | ahead(small, k)
+        rank = dense(code, span * wide)
         while 2 * span < depth:
-            rank = dense(rank * (n + 2) + ahead(rank, span))
+            rank = dense(rank << bits | ahead(rank, span), 2 * bits)
             span *= 2
         # two overlapping ranks order ``depth`` symbols; places ascend with the documents, which settles ties
-        rows = np.argsort(rank * (n + 2) + ahead(rank, depth - span), kind="stable")
+        rows = ordered(rank << bits | ahead(rank, depth - span), 2 * bits)[0]
         same = rank[rows][1:] == rank[rows][:-1]
 
         def starts_of(length: int) -> np.ndarray:
@@ -301,8 +320,14 @@ class RunLengthIndex:
         self.smaller = np.cumsum(counts) - counts
         seen = np.bincount(self.run_head, weights=lengths, minlength=258).astype(np.int64)
         self.head_first = np.cumsum(seen) - seen
-        self.short_start = starts_of(depth - 1)
-        self.short_end = np.append(self.short_start[1:], n)
+        begins = np.zeros(n, dtype=np.int64)
+        short = starts_of(depth - 1)
+        begins[short] = short
+        self.short_start = np.maximum.accumulate(begins)  # first row of the rows that agree in all but the last byte
+        begins[:] = 0
+        begins[starts] = starts
+        self.place_start = np.empty(n, dtype=np.int64)
+        self.place_start[rows] = np.maximum.accumulate(begins)  # of a text place: first row of its string
 
     def rank(self, head: np.ndarray, row: np.ndarray) -> np.ndarray:
         """Rows before ``row`` whose byte is ``head``, from the runs alone."""
@@ -314,15 +339,12 @@ class RunLengthIndex:
         count = self.head_before[at] - self.head_first[head] + np.minimum(self.head_length[at], row - start)
         return np.where(own, count, 0)
 
-    def step(self, low: np.ndarray, high: np.ndarray, match: np.ndarray, head: np.ndarray):
-        """Put ``head`` before the match; a match of full depth first gives up its last byte."""
-        full = match >= self.depth
-        if full.any():
-            at = np.searchsorted(self.short_start, low[full], side="right") - 1
-            low, high = low.copy(), high.copy()
-            low[full], high[full] = self.short_start[at], self.short_end[at]
-        base = self.smaller[head]
-        return base + self.rank(head, low), base + self.rank(head, high), np.minimum(match + 1, self.depth)
+    def step(self, low: np.ndarray, head: np.ndarray) -> np.ndarray:
+        """First row of the string that has ``head`` before the string of ``low``, without its last byte.
+
+        The strings must be in the index, as those of its own segments are.
+        """
+        return self.smaller[head] + self.rank(head, self.short_start[low])
 
     def smallest_doc(self, low: np.ndarray) -> np.ndarray:
         """Document of the sample at a row; rows inside a run belong to strings of one document."""
@@ -343,14 +365,14 @@ def match_segments(segments: list[bytes], docs: np.ndarray, depth: int) -> tuple
     text[place] = flat.astype(np.int64) + 1
     owner[place] = np.repeat(docs, sizes)
     index = RunLengthIndex(text, owner, depth)
-    low, high = np.zeros(len(segments), np.int64), np.full(len(segments), index.n)
-    match = np.zeros(len(segments), np.int64)
+    low = np.zeros(len(segments), np.int64)
+    whole = np.flatnonzero(sizes >= depth)
+    low[whole] = index.place_start[ends[whole] - depth]  # a segment is in the index, so the rows of its last string are known
     which, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for back in range(1, int(sizes.max()) + 1):
-        live = np.flatnonzero(sizes >= back)
-        head = text[ends[live] - back]
-        low[live], high[live], match[live] = index.step(low[live], high[live], match[live], head)
-        at = live[match[live] >= depth]
+    for back in range(depth, int(sizes.max()) + 1):
+        at = np.flatnonzero(sizes >= back)
+        if back > depth:
+            low[at] = index.step(low[at], text[ends[at] - back])
         at = at[index.smallest_doc(low[at]) < docs[at]]
         which.append(at)
         starts.append(sizes[at] - back)
