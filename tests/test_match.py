@@ -149,6 +149,20 @@ def test_near_words_of_adjacent_versions_stand_for_the_whole_list(spark, documen
     assert sorted(map(repr, next(pairs).collect())) == sorted(map(repr, next(pairs).select(match.word_pairs(words, local).columns).collect()))
 
 
+def test_a_word_meets_its_near_words_once_for_all_sentences_that_have_it(spark):
+    rows = spark.createDataFrame([(1, 0, s, w, 1, 2) for s in range(3) for w in (7, 8)], "entry_id long, version_x long, sent_idx int, word long, c long, n int")
+    others = spark.createDataFrame([(1, 0, o, 2, w) for o in range(4) for w in (8, 9)], "entry_id long, version_x long, other int, n_other int, word_b long")
+    near_list = spark.createDataFrame([(7, 9, 0.3), (7, 8, 0.1), (8, 8, 0.0), (5, 8, 0.1)], "word_a long, word_b long, distance double")
+    side = match._Side("x", None, near_list, MatchConfig(), others)
+    found = match._hits(side, rows, [])
+    assert sorted(map(tuple, found.collect())) == [(1, 0, s, o, 0.1, 2, 2) for s in range(3) for o in range(4)]
+    given = rows.withColumn("other", F.col("sent_idx"))
+    assert sorted(map(tuple, match._hits(side, given, ["other"]).collect())) == [(1, 0, s, s, 0.1, 2, 2) for s in range(3)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    keys = [line.split("[", 1)[1].split("]")[0] for line in plan.splitlines() if "Aggregate [" in line]
+    assert keys and not [k for k in keys if "sent_idx" in k and "word" in k]
+
+
 def test_pairs_compared_grow_less_than_the_square(spark):
     rng = np.random.default_rng(9)
     compared = []
