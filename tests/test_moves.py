@@ -80,3 +80,25 @@ def test_crossing_counts(spark, graph, total):
     rows = [(graph, 0, 1, x, y) for x, y in GOLDEN[graph][0]]
     counted = moves.crossing_edges(spark.createDataFrame(rows, COLS)).collect()
     assert sum(r.crossings for r in counted) == 2 * total
+
+
+def test_pairs_in_one_task_and_repeated_rows_match_one_at_a_time_removal(spark, monkeypatch):
+    from verstext.operators import nearest
+
+    monkeypatch.setattr(nearest, "BATCH_ROWS", 40)  # pairs end inside and across tables
+    rng = random.Random(11)
+    graphs = {}
+    for entry in range(12):
+        for version in range(rng.randint(1, 30)):
+            n = rng.randint(1, 9)
+            graphs[entry, version] = [(rng.randint(0, n), rng.randint(0, n)) for _ in range(rng.randint(1, 14))]
+    rows = [(e, v, v + 1, x, y) for (e, v), pairs in graphs.items() for x, y in pairs]
+    rows += rows[::3] + [(None, 0, 1, 1, 2), (None, 0, 1, 2, 1), (3, 0, 1, None, 1), (3, 0, 1, 1, None)]
+    moved = moves.moved_edges(spark.createDataFrame(rows, COLS).coalesce(2))
+    got = {k: set() for k in graphs}
+    for r in moved.collect():
+        assert r.version_y == r.version_x + 1 and (r.sent_idx_x, r.sent_idx_y) not in got[r.entry_id, r.version_x]
+        got[r.entry_id, r.version_x].add((r.sent_idx_x, r.sent_idx_y))
+    assert got == {k: one_at_a_time(p) for k, p in graphs.items()}
+    plan = moved._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Exchange") == 1 and "Window" not in plan and "FlatMapGroups" not in plan
