@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from catalog.views import Views
 from verstext.functions import similarity
 from verstext.operators import align, evaluate, labels, stats
 
@@ -105,3 +106,43 @@ def test_the_control_sample_is_the_first_n_of_each_source(spark, n):
         own = sorted((r.u, r.entry_id) for r in drawn if r.source == source)[:n]
         want |= {(source, e, i + 1) for i, (_, e) in enumerate(own)}
     assert {(r.source, r.entry_id, r["rank"]) for r in got} == want and len(got) == len(want)
+
+
+def test_the_query_finds_sentences_with_edits(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    rng = random.Random(4)
+    line = "".join(rng.choice("abcdé —") for _ in range(40))
+    # an updated sentence is the old one and " updated 0": the text goes on nearly so, or it does not
+    texts = [f"{line}{end}. {line}. And so on, {line} upd4ted {v}s. {line} ùpdatd 0. X" for v, end in enumerate((" upda 0", " was here", "", " updated 0", "ab"))]
+    docs = [(i, t, "en", "web", len(t)) for i, t in enumerate(texts * 3)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = entry.queries()["locate_sentences"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    res = con.execute(entry.oracle_sql()["locate_sentences"])
+    names = [d[0] for d in res.description]
+    want = {tuple(dict(zip(names, r, strict=True))[c] for c in got[0].asDict()) for r in res.fetchall()}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    views = Views(spark, str(tmp_path))
+    exact = align.locate_sentences(views.sentences, views.documents.select(F.col("doc_id").alias("entry_id"), "text"))
+    assert sum(r.found for r in got) > exact.where("found").count()
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_places_are_the_first_of_all(seed, monkeypatch):
+    monkeypatch.setattr(align, "PLACES", 5)
+    monkeypatch.setattr(align, "FEW_PLACES", 0 if seed == 1 else 4)
+    rng = random.Random(seed)
+    for _ in range(300):
+        k = rng.randint(1, 5)
+        text = "".join(rng.choice("ab") for _ in range(rng.randint(0, 40)))
+        probe = list(text[rng.randint(0, 30):][: rng.randint(1, 16)] or "abab")
+        for _ in range(rng.randint(0, k + 1)):
+            at = rng.randrange(len(probe) + 1)
+            probe[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "b", "c"])
+        probe = "".join(probe)
+        want = [p + 1 for p in range(len(text)) if len(probe) > k and edits(text[p : p + len(probe)], probe) <= k]
+        assert align._near_place(text, probe, k) == min(want, default=None)
