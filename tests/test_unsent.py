@@ -22,7 +22,7 @@ def tables(spark):
     return texts, materialise(match.match_bidirectional(texts), "matched", "zstd")
 
 
-@pytest.mark.parametrize("name, kind", [("complete_matches", "LeftAnti"), ("label_deleted", "LeftAnti"), ("label_additions", "Inner"), ("sentence_labels", "LeftOuter")])
+@pytest.mark.parametrize("name, kind", [("complete_matches", "LeftAnti"), ("label_deleted", "LeftAnti"), ("label_additions", "Inner"), ("sentence_labels", "LeftOuter"), ("sentence_labels", "Inner")])
 def test_a_match_is_not_broadcast(tables, name, kind):
     texts, matched = tables
     made = {
@@ -40,3 +40,13 @@ def test_words_are_not_broadcast(spark, tables):
     near = spark.createDataFrame([(a, a, 0.0) for a in range(-6, 7)], "word_a long, word_b long, distance double")
     for found in (match.word_pairs(words, near), match.word_pairs(words, None)):
         assert {j for j, _ in joins(found)} == {"SortMergeJoin"} and found.count() > 0
+
+
+def test_labels_stand_next_to_every_old_sentence(spark):
+    rows = [("s", 1, 0, 0, "a"), ("s", 1, 0, 0, "a"), ("s", 1, 0, None, "b"), ("s", 1, 1, 0, "c"), ("t", 2, 0, 0, "d"), ("s", None, 0, 0, "e"), ("s", 3, None, 0, "f")]
+    texts = spark.createDataFrame(rows, "source string, entry_id long, version int, sent_idx int, sentence string")
+    merged = spark.createDataFrame([(1, 0, 0, 1, None, 2, 0, 0, -1), (1, 1, 0, 1, 1, 1, 1, 1, 1)], "entry_id long, version_x int, sent_idx_x int, " + ", ".join(f"{c} int" for c in labels.LABELS))
+    found = labels.label_all_sentences(merged, texts)
+    assert sorted((tuple(r) for r in found.collect()), key=str) == [("s", 1, 0, 0, "a", 1, 0, 2, 0, 0, -1)] * 2 + [("s", 1, 0, None, "b", 0, 0, 0, 0, 0, 0)]
+    below = found._jdf.queryExecution().optimizedPlan().toString().partition("LeftOuter")[2]
+    assert below and not any("sentence#" in line for line in below.splitlines() if "Project [" in line)  # no text joins them
